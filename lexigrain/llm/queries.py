@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import token_counts, url_filters
+from lexigrain.llm import decontam, packing, quality, substring_dedup, token_counts, url_filters
 from lexigrain.llm.shared import new_folder, written
+from lexigrain.llm.vocab import vocabulary_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +85,48 @@ WITH kept AS (
 SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens
 FROM counted GROUP BY ALL
 """
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: By inspection of natural prose in these languages; wide enough for unusual prose, not for noise, markup or other scripts.
+BANDS = {
+    "default": quality.Band((0.9, 8.0), (0.9, 9.0), (0.0, 0.3), (0.3, 1.0)),
+}
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = quality.counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judged(counted, BANDS).select(*columns, "band_failed", "n_tokens", "chars_per_token", "chars_per_token_2", "byte_share", "evenness")
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op7_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT rid, doc_id, i, array_to_string(w[i:i+12], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d)
+), hit AS (
+  SELECT rid, i FROM win JOIN (SELECT k, min(doc_id) AS least FROM win GROUP BY k) USING (k) WHERE least < doc_id
+), gone AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS p FROM hit),
+word AS (SELECT rid, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT rid, string_agg(t, ' ' ORDER BY p) AS s FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid
+), lost AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN lost USING (rid)
+"""
