@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import decontam, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filters
+from lexigrain.llm import decontam, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filters
 from lexigrain.llm.shared import new_folder, written
 from lexigrain.llm.vocab import vocabulary_path
 
@@ -140,3 +140,27 @@ FROM d LEFT JOIN kept USING (rid) LEFT JOIN lost USING (rid)
 @query
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i+2], ' ')) AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS MATERIALIZED (
+  SELECT x, y FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 90 * (p.c + q.c - k)
+), sym AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(x, y) AS (
+  SELECT x, y FROM sym UNION SELECT r.x, t.y FROM reach r JOIN sym t ON r.y = t.x
+), least AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, least(coalesce(m, d.doc_id), d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.x = d.doc_id
+"""
