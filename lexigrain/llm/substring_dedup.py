@@ -8,8 +8,9 @@ windows whose named sub-window is repeated go on to the next length, and so on u
 no candidate is left or the full length is reached. There, a window is removed if a
 document with a smaller doc_id has it too.
 
-Rows are first combined in each batch: one row per hash goes into the shuffle, however
-many copies a batch holds. What a batch already proves is sent on without a hash.
+Rows are hash and document only, first combined in each batch: one row per hash goes into
+the shuffle, however many copies a batch holds, and what a batch already proves is sent
+on under a key of its own. Answers are hashes as well; a document finds their places anew.
 
 Defined results: null or empty texts have no words; rows with a null doc_id are returned
 and take no part; rows that share a doc_id do not remove each other's words; an empty
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrain.llm.arrays import CHUNK_BYTES, Sums, chunks, covered, grams, ranges, words
-from lexigrain.llm.windows import POS_BITS, firsts, gathered, leftmost_least, lists, own_place, row_marks, signed
+from lexigrain.llm.arrays import BASE, U, chunks, covered, grams, mix, words, Sums
+from lexigrain.llm.windows import leftmost_least, lists, signed
 
-#: ``proved`` is for places that need no more comparing; they get ``salt`` so as not to meet.
-ROWS = "h long, salt long, doc_id long, place long, proved boolean"
+#: ``proved`` is a hash that needs no more comparing; ``key`` is then one that meets no other.
+ROWS = "key long, doc_id long, proved long"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -45,118 +46,106 @@ class Chunk:
     """Words of a chunk of documents, and which windows of the full length lie in one document."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, window: int, base: int):
-        self.buf, self.offs, self.window, self.base = buf, offs, window, base
+        self.window, self.base = window, base
         self.start, self.end, self.doc = words(buf, offs)
-        sums = Sums(buf)
-        self.w = sums.spans(self.start, self.end)
-        self.marks = row_marks(buf, offs, sums)
+        self.w = Sums(buf).spans(self.start, self.end)
         self.n_words = np.bincount(self.doc, minlength=len(offs) - 1)
         self.first = np.cumsum(self.n_words) - self.n_words
         n = len(self.w) - window + 1
-        self.valid = self.doc[:n] == self.doc[window - 1 :] if n > 0 else np.zeros(0, bool)
+        self.valid = np.flatnonzero(self.doc[:n] == self.doc[window - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
     def named(self) -> np.ndarray:
-        """For each window start: place of its named sub-window."""
-        return leftmost_least(grams(self.w, self.base), self.window - self.base + 1)
+        """For each valid window: place of its named sub-window."""
+        return leftmost_least(grams(self.w, self.base), self.window - self.base + 1)[self.valid]
+
+    def among(self, at: np.ndarray, length: int, answers: list[np.ndarray]) -> np.ndarray:
+        """Which of the windows at these places their own document's answers name."""
+        n = [len(x) for x in answers]
+        if not sum(n):
+            return np.zeros(len(at), bool)
+        has = np.array(n) > 0
+        out = has[self.doc[at]]
+        own = U(1) + np.arange(len(n)).astype(U)
+        ask = mix(grams(self.w, length)[at[out]] ^ own[self.doc[at[out]]] * BASE)
+        out[out] = np.isin(ask, mix(np.concatenate(answers).view(U) ^ np.repeat(own, n) * BASE))
+        return out
+
+
+def emitted(h: np.ndarray, doc: np.ndarray, last: bool) -> pa.RecordBatch:
+    """A batch's rows: for each hash the witness with the smallest document, and what the batch proves.
+
+    Before the last level a hash with two documents is proved for all of them; at the
+    last, for all but the smallest.
+    """
+    o = np.lexsort((doc, h))
+    h, doc = h[o], doc[o]
+    new_h = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+    new = new_h | np.concatenate([[True], doc[1:] != doc[:-1]])[: len(h)]
+    h, doc, first = h[new], doc[new], new_h[new]
+    later = ~first
+    proved = later.copy()
+    if not last:
+        proved[:-1] |= later[1:]
+    key = np.concatenate([h[first], mix(h[proved] ^ mix(doc[proved].astype(U)))])
+    answer = pa.array(np.concatenate([h[first], h[proved]]).view(np.int64), mask=np.arange(len(key)) < int(first.sum()))
+    return pa.RecordBatch.from_arrays([signed(key), pa.array(np.concatenate([doc[first], doc[proved]])), answer], names=["key", "doc_id", "proved"])
+
+
+def level_rows(docs: DataFrame, window: int, base: int, length: int, before: int | None) -> DataFrame:
+    """Rows of one level; ``before`` is the length whose ``answers`` the documents carry, none at the first."""
 
-    def place(self, at: np.ndarray) -> np.ndarray:
-        """Word number in its document, with the row's mark."""
-        d = self.doc[at]
-        return (self.marks[d] << POS_BITS) | (at - self.first[d])
-
-    def at(self, d: int, places: np.ndarray) -> np.ndarray:
-        return self.first[d] + own_place(places, int(self.marks[d]))
-
-
-def emitted(h: np.ndarray, doc_ids: np.ndarray, places: np.ndarray, last: bool) -> pa.RecordBatch:
-    """One row to compare for each hash, with its smallest document; the others are proved (at the last level only those of larger documents)."""
-    o, first, again = firsts(h, doc_ids, places)
-    h, doc_ids, places = h[o], doc_ids[o], places[o]
-    if last:
-        head = np.maximum.accumulate(np.where(first, np.arange(len(o)), 0))
-        proved = doc_ids > doc_ids[head] if len(o) else np.zeros(0, bool)
-        keep = first | proved | (doc_ids == doc_ids[head] if len(o) else proved)
-        first = ~proved
-    else:
-        # repeated in one document alone is not enough: documents must differ
-        head = np.maximum.accumulate(np.where(first, np.arange(len(o)), 0))
-        group = np.cumsum(first) - 1
-        n = int(group[-1]) + 1 if len(o) else 0
-        many = np.zeros(n, bool)
-        if len(o):
-            many[group[doc_ids != doc_ids[head]]] = True
-            proved = many[group]
-            first = first | (~proved & again)
-        else:
-            proved = np.zeros(0, bool)
-        keep = np.ones(len(o), bool)
-    salt = np.where(first, 0, places ^ (doc_ids << 20) | 1)
-    return pa.RecordBatch.from_arrays([signed(h[keep]), *(pa.array(x[keep]) for x in (salt, doc_ids, places, proved))], names=["h", "salt", "doc_id", "place", "proved"])
-
-
-def first_level(docs: DataFrame, window: int, base: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column("doc_id").is_valid())
+            batch = batch.filter(batch.column("doc_id" if before is None else "answers").is_valid())
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            found: list[list[np.ndarray]] = [[], [], []]
-            for lo, _hi, buf, offs in chunks(batch.column("text")):
-                c = Chunk(buf, offs, window, base)
-                at = np.unique(c.named()[c.valid])
-                for x, y in zip(found, (grams(c.w, base)[at], ids[lo + c.doc[at]], c.place(at)), strict=True):
-                    x.append(y)
-            if found[0]:
-                yield emitted(*map(np.concatenate, found), last=False)
-
-    return docs.mapInArrow(run, ROWS)
-
-
-def next_level(docs: DataFrame, candidates: DataFrame, window: int, base: int, length: int, of_base: bool) -> DataFrame:
-    """Rows of windows of ``length`` that start at the full-length windows still in question."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column("places").is_valid())
-            ids, places = batch.column("doc_id").to_numpy(zero_copy_only=False), lists(batch.column("places"))
-            found: list[list[np.ndarray]] = [[], [], []]
+            answers = None if before is None else lists(batch.column("answers"))
+            found: list[list[np.ndarray]] = [[], []]
             for lo, hi, buf, offs in chunks(batch.column("text")):
                 c = Chunk(buf, offs, window, base)
-                own = np.concatenate([c.at(d, places[lo + d]) for d in range(hi - lo)])
-                flag = np.zeros(len(c.w) + 1, bool)
-                flag[own] = True
-                at = np.flatnonzero(c.valid & (flag[c.named()] if of_base else flag[: len(c.valid)]))
-                for x, y in zip(found, (grams(c.w, length)[at], ids[lo + c.doc[at]].astype(np.int64), c.place(at)), strict=True):
-                    x.append(y)
+                if before is None:
+                    at = np.unique(c.named())
+                elif before == base:
+                    named = c.named()
+                    places, where = np.unique(named, return_inverse=True)
+                    at = c.valid[c.among(places, base, answers[lo:hi])[where]]
+                else:
+                    at = c.valid[c.among(c.valid, before, answers[lo:hi])]
+                found[0].append(grams(c.w, length)[at])
+                found[1].append(ids[lo + c.doc[at]])
             if found[0]:
                 yield emitted(*map(np.concatenate, found), last=length == window)
 
-    return docs.join(candidates, "doc_id", "left").mapInArrow(run, ROWS)
+    return docs.mapInArrow(run, ROWS)
 
 
-def repeated_places(rows: DataFrame, last: bool) -> DataFrame:
-    """(doc_id, places) of rows whose hash another document has (at the last level: a smaller one)."""
-    w = Window.partitionBy("h", "salt")
+def answered(rows: DataFrame, last: bool) -> DataFrame:
+    """(doc_id, answers): hashes that another document has too (at the last level: a smaller one)."""
+    w = Window.partitionBy("key")
     rows = rows.withColumn("least", F.min("doc_id").over(w))
-    rows = rows.filter("proved or doc_id > least") if last else rows.withColumn("most", F.max("doc_id").over(w)).filter("proved or most > least")
-    return gathered(rows.select("doc_id", "place"))
+    if last:
+        rows = rows.filter("proved is not null or doc_id > least")
+    else:
+        rows = rows.withColumn("most", F.max("doc_id").over(w)).filter("proved is not null or most > least")
+    # at most a document's own windows
+    return rows.select("doc_id", F.coalesce("proved", "key").alias("h")).groupBy("doc_id").agg(F.collect_list("h").alias("answers"))
 
 
 def remove_repeats(documents: DataFrame, window: int = 13, base: int = 7) -> DataFrame:
     """``RESULT`` per row of ``documents``."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     levels = lengths(window, base)
-    base = levels[0]
-    found = repeated_places(first_level(docs, window, base), last=len(levels) == 1)
-    for k, n in enumerate(levels[1:]):
-        found = repeated_places(next_level(docs, found, window, base, n, of_base=k == 0), last=n == window)
+    base, before = levels[0], None
+    carried = docs
+    for n in levels:
+        found = answered(level_rows(carried, window, base, n, before), last=n == window)
+        carried, before = docs.join(found, "doc_id", "left"), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = lists(batch.column("places"))
+            answers = lists(batch.column("answers"))
             for lo, hi, buf, offs in chunks(batch.column("text")):
                 c = Chunk(buf, offs, window, base)
-                starts = np.concatenate([c.at(d, places[lo + d]) for d in range(hi - lo)])
-                gone = covered(len(c.w), starts, window)
+                gone = covered(len(c.w), c.valid[c.among(c.valid, window, answers[lo:hi])], window)
                 removed = np.bincount(c.doc[gone], minlength=hi - lo)
                 data, sha = buf.tobytes(), []
                 for d in range(hi - lo):
@@ -169,4 +158,4 @@ def remove_repeats(documents: DataFrame, window: int = 13, base: int = 7) -> Dat
                     sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(c.n_words), pa.array(removed), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return docs.join(found, "doc_id", "left").mapInArrow(run, RESULT)
+    return carried.mapInArrow(run, RESULT)
