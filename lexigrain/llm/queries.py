@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import decontam, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filters
+from lexigrain.llm import decontam, line_dedup, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup, token_counts, url_filters
 from lexigrain.llm.shared import new_folder, written
 from lexigrain.llm.vocab import vocabulary_path
 
@@ -110,7 +110,7 @@ BANDS = {
 
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = quality.counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
+    counted = quality.counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"), vocabulary_path("byte_bpe_multi_50k.tiktoken"), ["doc_id", "lang"])
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.judged(counted, BANDS).select(*columns, "band_failed", "n_tokens", "chars_per_token", "chars_per_token_2", "byte_share", "evenness")
 
@@ -164,3 +164,14 @@ reach(x, y) AS (
 SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, least(coalesce(m, d.doc_id), d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.x = d.doc_id
 """
+
+
+@query
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymised(documents, key="registered-query")[0]
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
