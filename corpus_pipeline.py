@@ -1,8 +1,80 @@
-"""The corpus pipeline."""
+"""From raw documents to packed sequences.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame that is written and read again
+for the next one. All but the last return the columns of ``documents``:
+
+1. quality_rules: documents that the base rules or the tokeniser bands reject go.
+2. line_dedup: of lines that are near-equal across the corpus one occurrence stays;
+   documents left without any word go.
+3. ngram_jaccard_join: of each group of documents linked by five-word shingles at a
+   similarity of 0.8 the one with the smallest doc_id stays.
+4. benchmark_decontamination: documents that hold a passage of a benchmark item go.
+5. best_fit_packing: what is left becomes sequences of at most 2048 tokens.
+
+Rows with a null doc_id pass stages 2 to 4 as they are. ``ORACLE_SQL`` is None, as SQL
+has no tokenizers; tests hold every stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexigrain.llm import decontam, line_dedup, ngram_join, packing, quality
+from lexigrain.llm.queries import BANDS
+from lexigrain.llm.shared import written
+from lexigrain.llm.vocab import vocabulary_path
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def without(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """``docs`` less these doc_ids; Spark broadcasts them only if their size allows."""
+    return docs.join(written(doc_ids.distinct(), "dropped"), "doc_id", "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.kept_documents(docs, BANDS, vocabulary_path("piece_bpe_32k.model"), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    columns = docs.columns
+    out = line_dedup.remove_lines(docs).filter("text is null or n_removed_lines = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    return out.select(*columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = written(ngram_join.jaccard_components(docs, n=5, percent=80).select("doc_id", "component_id"), "components")
+    left = without(docs, found.filter("doc_id <> component_id").select("doc_id"))
+    twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    twice = written(twice, "repeated-ids")
+    if twice.isEmpty():
+        return left
+    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, decontam.contaminated(docs, benchmark).select("doc_id"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("best_fit_packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
