@@ -23,26 +23,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrain.llm.arrays import chunks
+from lexigrain.llm.arrays import chunks, words
 from lexigrain.llm.shared import written
-from lexigrain.llm.vocab import WordTokens, word_bpe_encoder
+from lexigrain.llm.vocab import WordTokens, word_bpe_tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def token_rows(tokens: WordTokens, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``tokens`` for all words of a chunk, and how many each document has.
+
+    The vocabulary is lower case and cuts a mark off the letters before it, so words
+    are looked up in lower case (unless a special token's spelling may be there), and a
+    closing comma or stop after a letter as a word of its own: the same ids from fewer
+    different words.
+    """
+    start, end, doc = words(buf, offs)
+    data = buf.tobytes()
+    data = data if b"<|" in data else data.lower()
+    last, before = buf[end - 1], buf[np.maximum(end - 2, 0)] | 0x20
+    mark = ((last == 44) | (last == 46)) & (end - start > 1) & (before >= 97) & (before <= 122)
+    rows = tokens.rows([data[a:b] for a, b in zip(start.tolist(), (end - mark).tolist(), strict=True)] + [b",", b"."])
+    comma, stop = rows[-2:]
+    out = np.repeat(rows[:-2], 1 + mark)
+    own = np.cumsum(1 + mark)[mark] - 1
+    out[own] = np.where(last[mark] == 44, comma, stop)
+    return out, np.bincount(doc, weights=1 + mark, minlength=len(offs) - 1).astype(np.int64)
+
+
 def token_pieces(documents: DataFrame, path: str, capacity: int = 2048, closing_id: int = 0) -> DataFrame:
     """One row per piece, without the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(word_bpe_encoder(path))
+        tokens = word_bpe_tokens(path)
         for batch in batches:
             doc = batch.column("doc_id")
             for lo, hi, buf, offs in chunks(batch.column("text")):
-                data = buf.tobytes()
-                parts = [data[a:b].split() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-                rows = words.rows([w for p in parts for w in p])
-                ids = words.tokens(rows).astype("<u4")
-                ends = np.concatenate([[0], np.cumsum(words.length[rows])])[np.cumsum([0, *map(len, parts)])]
+                rows, n_rows = token_rows(tokens, buf, offs)
+                ids = tokens.tokens(rows).astype("<u4")
+                ends = np.concatenate([[0], np.cumsum(tokens.length[rows])])[np.cumsum(np.append(0, n_rows))]
                 at, piece, start, length, crc = [], [], [], [], []
                 for k in range(hi - lo):
                     own = np.append(ids[ends[k] : ends[k + 1]], np.uint32(closing_id)).astype("<u4")

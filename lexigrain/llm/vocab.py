@@ -5,13 +5,18 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from functools import cache
+from itertools import chain
 
 import numpy as np
 
 from lexigrain.llm.arrays import ranges
 
-#: Words kept in a Python worker's memory (about 100 MB); then it starts anew.
-MAX_WORDS = 400_000
+#: Words kept in a Python worker's memory (about 120 MB); then it starts anew.
+MAX_WORDS = 500_000
+
+#: Words in an order of the encoder's choice, all their ids, and how many ids each has.
+Encoded = tuple[list[bytes], np.ndarray, np.ndarray]
 
 
 def vocabulary_path(name: str) -> str:
@@ -20,11 +25,16 @@ def vocabulary_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def packed(words: list[bytes], ids: list[list[int]]) -> Encoded:
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return words, np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
+
+
 class WordTokens:
-    """Token ids of words, as arrays. ``encode`` maps a list of words (bytes) to a list of id lists."""
+    """Token ids of words, as arrays. ``encode`` maps new words to ``Encoded``."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], Encoded], max_words: int = MAX_WORDS):
+        self.encode, self.max_words = encode, max_words
         self.reset()
 
     def reset(self) -> None:
@@ -33,17 +43,16 @@ class WordTokens:
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         """The row of each word, new words first encoded."""
-        if len(self.index) > MAX_WORDS:
+        if len(self.index) > self.max_words:
             self.reset()
-        fresh = list(set(words) - self.index.keys())
+        fresh = list(set(words).difference(self.index))
         if fresh:
+            fresh, flat, n = self.encode(fresh)
             at = len(self.index)
             self.index.update(zip(fresh, range(at, at + len(fresh)), strict=True))
-            ids = self.encode(fresh)
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
             self.length = np.concatenate([self.length, n])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(n.sum()))])
+            self.flat = np.concatenate([self.flat, flat])
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def tokens(self, rows: np.ndarray) -> np.ndarray:
@@ -57,7 +66,7 @@ def piece_encoder(path: str) -> tuple[Callable, np.ndarray]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     is_byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
-    return lambda ws: sp.encode([w.decode("utf-8", "replace") for w in ws], num_threads=1), is_byte
+    return lambda ws: packed(ws, sp.encode([w.decode("utf-8", "replace") for w in ws], num_threads=1)), is_byte
 
 
 def rank_encoder(path: str) -> Callable:
@@ -70,18 +79,18 @@ def rank_encoder(path: str) -> Callable:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda ws: enc.encode_ordinary_batch([w.decode("utf-8", "replace") for w in ws], num_threads=1)
+    return lambda ws: packed(ws, [enc.encode_ordinary(w.decode("utf-8", "replace")) for w in ws])
 
 
-#: A run of letters that normalisation and pre-tokenising leave whole, and one mark after it.
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)", re.ASCII)
+#: Letters that normalisation and pre-tokenising leave whole.
+SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def word_bpe_encoder(path: str) -> Callable:
     """A ``tokenizers`` BPE file with word ends whose pre-tokens never cross white space.
 
-    Simple words are encoded joined by blanks and told apart by their word ends; all
-    others one by one. Both give the ids that the whole text would give.
+    Words of plain letters are encoded joined by blanks and told apart by their word
+    ends; all others one by one. Both give the ids that the whole text would give.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -90,33 +99,40 @@ def word_bpe_encoder(path: str) -> Callable:
     vocab = tok.get_vocab()
     is_end = np.zeros(max(vocab.values()) + 1, bool)
     is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-    marks = {m: tok.encode(m, add_special_tokens=False).ids for m in ".,"} | {"": []}
 
-    def alone(ws: list[str]) -> list[list[int]]:
-        return [x.ids for x in tok.encode_batch_fast(ws, add_special_tokens=False)]
-
-    def joined(ws: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for k in range(0, len(ws), 256):
-            part = ws[k : k + 256]
-            ids = tok.encode(" ".join(part), add_special_tokens=False).ids
+    def alone(ws: list[bytes]) -> Encoded:
+        return packed(ws, [x.ids for x in tok.encode_batch_fast([w.decode("utf-8", "replace") for w in ws], add_special_tokens=False)])
+
+    def encode(ws: list[bytes]) -> Encoded:
+        plain = [w for w in ws if w.isalpha() or SIMPLE.fullmatch(w.decode("utf-8", "replace"))]
+        rest = list(set(ws).difference(plain)) if len(plain) < len(ws) else []
+        parts = [alone(rest)]
+        for k in range(0, len(plain), 512):
+            part = plain[k : k + 512]
+            x = tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids
+            ids = np.array(x, np.int32)
             ends = np.flatnonzero(is_end[ids]) + 1
-            if len(ends) != len(part):
-                out += alone(part)
-                continue
-            at = 0
-            for e in ends.tolist():
-                out.append(ids[at:e])
-                at = e
-        return out
-
-    def encode(ws: list[bytes]) -> list[list[int]]:
-        text = [w.decode("utf-8", "replace") for w in ws]
-        found = [SIMPLE.fullmatch(t) for t in text]
-        bases = list({m[1].lower() for m in found if m})
-        known = dict(zip(bases, joined(bases), strict=True))
-        rest = [t for t, m in zip(text, found, strict=True) if not m]
-        others = iter(alone(rest))
-        return [known[m[1].lower()] + marks[m[2]] if m else next(others) for m in found]
+            parts.append((part, ids, np.diff(ends, prepend=0)) if len(ends) == len(part) else alone(part))
+        words, flat, n = zip(*parts, strict=True)
+        return list(chain.from_iterable(words)), np.concatenate(flat), np.concatenate(n)
 
     return encode
+
+
+# One of each per Python worker, kept from task to task: loading a vocabulary costs more than many tasks.
+
+
+@cache
+def word_bpe_tokens(path: str) -> WordTokens:
+    return WordTokens(word_bpe_encoder(path))
+
+
+@cache
+def piece_tokens(path: str) -> tuple[WordTokens, np.ndarray]:
+    encode, is_byte = piece_encoder(path)
+    return WordTokens(encode, MAX_WORDS // 2), is_byte
+
+
+@cache
+def rank_tokens(path: str) -> WordTokens:
+    return WordTokens(rank_encoder(path), MAX_WORDS // 2)
