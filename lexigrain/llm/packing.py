@@ -99,15 +99,11 @@ def dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[i
                 fixed.append(((i,), left.pop(i)))
                 break
             k = fits[-1]
-            low = have[0]
-            copies = left[low] - (low == i)
-            two = (2 * low if copies > 1 else low + have[1] if copies == 1 and len(have) > 1 else 2 * capacity) if copies else 2 * capacity
-            exact = i + k == capacity
-            if not exact and i + two <= capacity:
+            two = [n for n in have for _ in range(min(2, left[n] - (n == i)))][:2]
+            if i + k != capacity and len(two) == 2 and i + sum(two) <= capacity:
                 break
+            # the shortest others only grow as pieces go, so this holds until i or k runs out
             n = left[i] // 2 if i == k else min(left[i], left[k])
-            if not exact and low == k:
-                n = min(n, max(1, left[k] - 2))  # the two shortest change as k runs out
             fixed.append(((i, k), n))
             for x in (i, k):
                 left[x] -= n
