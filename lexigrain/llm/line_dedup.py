@@ -3,7 +3,7 @@
 Lines are cut at ``\\n`` and normalised: ASCII lower case, digits alike, no ASCII
 punctuation, blanks as one. Lines of at least ``min_words`` words are judged. Equal
 normalised lines are one line from the first shuffle on. Two lines link if their 64-bit
-SimHashes (over words) differ in at most ``bits`` bits and their edit similarity
+SimHashes (over their different words) differ in at most ``bits`` bits and their edit similarity
 (1 - Levenshtein distance / longer length, of the normalised lines) is at least
 ``percent`` / 100. Of each connected group one occurrence stays, the first by doc_id
 and place; all others are cut out of their documents.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.arrays import BASE, U, Sums, byte_table, bytes_of, chunks, mix, words
+from lexigrain.llm.arrays import BASE, U, Sums, byte_table, bytes_of, chunks, mix, ranges, words
 from lexigrain.llm.components import connected_components
 from lexigrain.llm.shared import written
 from lexigrain.llm.windows import POS_BITS, gathered, lists, own_place, row_marks
@@ -90,17 +90,28 @@ class Lines:
         self.hash = mix(np.add.reduceat(terms, self.begin) + self.n_words.astype(U)) if len(self.judged) else w[:0]
 
     def simhash(self, rows: np.ndarray) -> np.ndarray:
-        """SimHashes of some judged lines: majority of the words' hash bits, ties to 0."""
-        out = np.zeros(len(rows), U)
-        for a in range(0, len(rows), 4096):
-            part = rows[a : a + 4096]
-            n = self.n_words[part]
-            first = np.cumsum(n) - n
-            take = np.arange(int(n.sum())) + np.repeat(self.begin[part] - first, n)
-            bits = np.unpackbits(mix(self.words[take] ^ U(0x1B873593CC9E2D51)).view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-            out[a : a + 4096] = np.packbits(2 * ones > n[:, None], axis=1).view(U).ravel()
-        return out
+        """SimHashes of some judged lines: majority of the bits of their different words' hashes, ties to 0.
+
+        Eight byte counters share a 64-bit number, so sums run over at most 255 words and
+        are then added up per line.
+        """
+        n = self.n_words[rows]
+        line = np.repeat(np.arange(len(rows)), n)
+        h = self.words[ranges(self.begin[rows], n)]
+        once = np.unique(mix(h ^ (line.astype(U) + U(1)) * BASE), return_index=True)[1]
+        once.sort()
+        h, line = mix(h[once] ^ U(0x1B873593CC9E2D51)), line[once]
+        n = np.bincount(line, minlength=len(rows))
+        if not len(h):
+            return np.zeros(len(rows), U)
+        pieces = -(-n // 255)
+        first = np.repeat(np.cumsum(n) - n, pieces) + 255 * ranges(np.zeros(len(rows), np.int64), pieces)
+        ones = np.zeros((len(rows), 64), np.int64)
+        new = np.cumsum(pieces) - pieces
+        for j in range(8):
+            part = np.add.reduceat((h >> U(j)) & U(0x0101010101010101), first).view(np.uint8).reshape(-1, 8)
+            ones[:, j::8] = np.add.reduceat(part.astype(np.int64), new, axis=0)
+        return ((2 * ones > n[:, None]).astype(U) << np.arange(64, dtype=U)).sum(axis=1, dtype=U)
 
 
 def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
@@ -219,9 +230,10 @@ def line_texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of enough edit similarity."""
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    # distance * 100 <= (100 - percent) * longer length; a distance beyond the threshold is -1
+    # distance * 100 <= (100 - percent) * longer length; a distance beyond the threshold is -1, and a narrow band is cheap
     most = f"cast(greatest(length(x), length(y)) * {100 - percent} div 100 as int)"
-    return both.filter(f"abs(length(x) - length(y)) <= {most} and levenshtein(x, y, {most}) >= 0").select("a", "b")
+    within = " or ".join(f"levenshtein(x, y, least({band}, {most})) >= 0" for band in (16, 128))
+    return both.filter(f"abs(length(x) - length(y)) <= {most} and ({within} or ({most} > 128 and levenshtein(x, y, {most}) >= 0))").select("a", "b")
 
 
 def group_firsts(docs: DataFrame, min_words: int, bits: int, percent: int) -> tuple[DataFrame, DataFrame]:
