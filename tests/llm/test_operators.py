@@ -114,10 +114,12 @@ def test_divide_skip_is_exact():
         assert len(set(zip(label.tolist(), want.tolist(), strict=True))) == len(set(label.tolist())) == len(set(want.tolist()))
 
 
-def test_components(spark):
-    edges = [(1, 2), (2, 3), (10, 11), (7, 7), *((100 + k, 101 + k) for k in range(40)), (None, 4)]
-    out = dict(got(connected_components(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
+@pytest.mark.parametrize("few", [0, 5, 1_000_000])
+def test_components(spark, few):
+    edges = [(1, 2), (2, 3), (10, 11), (7, 7), *((100 + k, 101 + k) for k in range(40)), (None, 4), (2, 1), (1, 3)]
+    out = dict(got(connected_components(spark.createDataFrame(edges, "a long, b long"), few), "node", "component"))
     assert out[3] == 1 and out[11] == 10 and out[7] == 7 and {out[k] for k in range(100, 141)} == {100} and 4 not in out
+    assert connected_components(spark.createDataFrame([], "a long, b long"), few).count() == 0
 
 
 # 2
@@ -210,12 +212,11 @@ def brute_lines(rows, bits, percent):
     names = sorted({o[2] for o in occ})
     sims = []
     for n in names:
-        w = n.split()
-        b = np.frombuffer(n, np.uint8)
+        w = sorted(set(n.split()))
+        b = np.frombuffer(b" ".join(w), np.uint8)
         starts = np.cumsum([0, *[len(x) + 1 for x in w[:-1]]])
-        h = Sums(b, line_dedup.TABLE).spans(starts, starts + np.array([len(x) for x in w]))
-        ones = np.unpackbits(mix(h ^ U(0x1B873593CC9E2D51)).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=int)
-        sims.append(int(np.packbits(2 * ones > len(w)).view(U)[0]))
+        h = mix(Sums(b, line_dedup.TABLE).spans(starts, starts + np.array([len(x) for x in w])) ^ U(0x1B873593CC9E2D51)).tolist()
+        sims.append(sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(w)))
     parent = {n: n for n in names}
 
     def root(x):
@@ -247,7 +248,8 @@ def brute_lines(rows, bits, percent):
 @pytest.mark.parametrize("bits", [3, 9])
 def test_line_dedup(spark, bits):
     rows = [r for r in corpus(4, 40) if len(r[1] or "") < 3000]
-    rows = list(dict.fromkeys(rows)) + [(700, "first new line of text here\n\nfirst new line, of TEXT here 1", "en", "s", 1)]
+    many = " ".join(f"v{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600))
+    rows = list(dict.fromkeys(rows)) + [(698, many, "en", "s", 1), (699, many + " tail", "en", "s", 1), (700, "first new line of text here\n\nfirst new line, of TEXT here 1", "en", "s", 1)]
     out = line_dedup.remove_lines(frame(spark, rows).withColumn("n_lines", F.lit("clash")), bits=bits)
     assert got(out.filter("text is not null"), "doc_id", "text") == brute_lines(rows, bits, 80)
     assert out.filter("text is null").count() == 1 and "source" in out.columns
