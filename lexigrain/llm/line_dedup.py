@@ -224,7 +224,8 @@ def line_texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
                 text = [normal(data[a:b]).decode("utf-8", "replace") for a, b in zip(x.start[at].tolist(), x.end[at].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(hash_at[at].view(np.int64)), pa.array(text, pa.string())], names=["h", "line"])
 
-    return docs.join(wanted, "doc_id", "left").mapInArrow(run, "h long, line string").dropDuplicates(["h"])
+    # both sides grow with the corpus: one plan at every size
+    return docs.join(wanted.hint("merge"), "doc_id", "left").mapInArrow(run, "h long, line string").dropDuplicates(["h"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -291,4 +292,4 @@ def remove_lines(documents: DataFrame, min_words: int = 5, bits: int = 3, percen
             out = pa.array([None if z else x.decode() for x, z in zip(text, null.tolist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out, *(batch.column(c) for c in rest), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", *rest, "n_lines", "n_removed_lines"])
 
-    return documents.join(gone, "doc_id", "left").mapInArrow(run, schema)
+    return documents.join(gone.hint("merge"), "doc_id", "left").mapInArrow(run, schema)
