@@ -4,7 +4,7 @@ Stages take (spark, docs, sf_dir) and return a DataFrame that is written and rea
 for the next one. All but the last return the columns of ``documents``:
 
 1. quality_rules: documents that the base rules or the tokeniser bands reject go.
-2. line_dedup: of lines that are near-equal across the corpus one occurrence stays;
+2. line_dedup: of lines that are near-equal (3 SimHash bits) across the corpus one stays;
    documents left without any word go.
 3. ngram_jaccard_join: of each group of documents linked by five-word shingles at a
    similarity of 0.8 the one with the smallest doc_id stays.
@@ -39,7 +39,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
-    out = line_dedup.remove_lines(docs).filter("text is null or n_removed_lines = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    out = line_dedup.remove_lines(docs, bits=3).filter("text is null or n_removed_lines = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
     return out.select(*columns)

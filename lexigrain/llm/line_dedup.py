@@ -1,19 +1,25 @@
-"""Fuzzy line removal: SimHash, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line removal: sketch keys, edit similarity, connected groups.
 
 Lines are cut at ``\\n`` and normalised: ASCII lower case, digits alike, no ASCII
 punctuation, blanks as one. Lines of at least ``min_words`` words are judged. Equal
-normalised lines are one line from the first shuffle on. Two lines link if their 64-bit
-SimHashes (over their different words) differ in at most ``bits`` bits and their edit similarity
-(1 - Levenshtein distance / longer length, of the normalised lines) is at least
-``percent`` / 100. Of each connected group one occurrence stays, the first by doc_id
-and place; all others are cut out of their documents.
-
+normalised lines are one line from the first shuffle on. Two lines link if their edit
+similarity (1 - Levenshtein distance / longer length, of the normalised lines) is at least
+``percent`` / 100 and they meet in the search. Of each connected group one occurrence
+stays, the first by doc_id and place; all others are cut out of their documents.
+
+The search is by min-hash over character 8-grams: ``BANDS`` keys of ``BAND_ROWS`` minima
+each, the same at every size, and lines under one key meet if their lengths allow the
+similarity. It is a search and can miss pairs: those of a few changed words or typos meet
+nearly always, those whose edits are scattered up to the threshold often do not (the
+README has measured shares). With ``bits``, links are those alone whose 64-bit SimHashes
+(over their different words) differ in at most ``bits`` bits, and none of these is missed:
 SimHashes are split into b blocks; two within ``bits`` bits agree in b - ``bits`` of them,
 so lines meet under each choice of that many blocks. b follows from the number of lines
-so that a key holds few by chance; it changes the work, not the links. Under a key, each
-line is first held against the smallest line near it; components of what those pairs
-link are found, and only pairs between different components are then tried, so a group
-of thousands gives thousands of pairs, not millions.
+so that a key holds few by chance; it changes the work, not the links.
+
+Under a key, each line is first held against the smallest line near it; components of
+what those pairs link are found, and only pairs between different components are then
+tried, so a group of thousands gives thousands of pairs, not millions.
 
 Defined results: null text stays null and has no lines; short and empty lines stay; rows
 equal in doc_id and text count as one document; rows with a null doc_id stay as they
@@ -40,6 +46,9 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DROP = bytes.maketrans(b"123456789", b"000000000")
 #: Lines that a key may hold by chance before one more block is used.
 CROWD = 64
+#: Characters of a feature, min-hash bins of a line, keys of a line and minima in each.
+GRAM, BINS, BANDS, BAND_ROWS = 8, 96, 32, 3
+EMPTY = U(0xFFFFFFFFFFFFFFFF)
 ROWS_PER_TASK = 500_000
 
 
@@ -75,6 +84,7 @@ class Lines:
         b = buf[kept]
         o = np.searchsorted(kept, offs)
         w_start, w_end, _ = words(b, o)
+        self.bytes, self.w_start, self.w_end = b, w_start, w_end
         w = Sums(b, TABLE).spans(w_start, w_end)
         bounds = np.searchsorted(w_start, np.searchsorted(kept, self.start))
         until = np.searchsorted(w_start, np.searchsorted(kept, self.end))
@@ -113,9 +123,86 @@ class Lines:
             ones[:, j::8] = np.add.reduceat(part.astype(np.int64), new, axis=0)
         return ((2 * ones > n[:, None]).astype(U) << np.arange(64, dtype=U)).sum(axis=1, dtype=U)
 
+    def bands(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (a row of ``BANDS`` per line) and length class of some judged lines.
+
+        Each character starts a feature of ``GRAM`` characters, or as many as the line has
+        left. One hash per feature gives its bin and value; a line's bin holds the least
+        value, an empty one that of another bin, tried in an order common to all lines.
+        """
+        at = ranges(self.first_word[rows], self.n_words[rows])
+        n = self.w_end[at] - self.w_start[at] + 1
+        text = np.append(self.bytes, np.uint8(32))[ranges(self.w_start[at], n)]
+        until = np.cumsum(n)
+        text[until - 1] = 32
+        ends = until[np.cumsum(self.n_words[rows]) - 1]
+        c = np.flatnonzero((text & 0xC0) != 0x80)
+        line = np.searchsorted(ends, c, side="right")
+        stop = np.minimum(np.append(c, np.full(GRAM, len(text)))[GRAM:], ends[line])
+        h = Sums(text, TABLE).spans(c, stop)
+        least = np.full(len(rows) * BINS, EMPTY, U)
+        np.minimum.at(least, line * BINS + (h % U(BINS)).astype(np.int64), mix(h))
+        least = least.reshape(-1, BINS)
+        full = least.copy()
+        t = 1
+        while len((gap := np.nonzero(full == EMPTY))[0]):
+            full[gap] = least[gap[0], (mix((gap[1] + BINS * t).astype(U) * BASE) % U(BINS)).astype(np.int64)]
+            t += 1
+        keys = np.broadcast_to(np.arange(BANDS, dtype=U), (len(rows), BANDS)).copy()
+        for k in range(BAND_ROWS):
+            keys = mix(keys * BASE + full[:, PICKS[:, k]])
+        return keys, length_class(np.bincount(line, minlength=len(rows)))
+
+
+def picks() -> np.ndarray:
+    """The bins of each key: every bin is used equally often."""
+    rounds = BANDS * BAND_ROWS // BINS
+    return np.argsort(mix(np.arange(1, rounds * BINS + 1, dtype=U) * BASE).reshape(rounds, BINS), axis=1).reshape(BANDS, BAND_ROWS)
+
+
+PICKS = picks()
+
+
+def length_class(chars: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(chars) / np.log(1.03)).astype(np.int64)
+
+
+def class_reach(percent: int) -> int:
+    """Most classes between lengths that allow the similarity."""
+    return 1 << 32 if percent <= 0 else int(np.log(100 / percent) / np.log(1.03)) + 1
+
+
+def band_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, sim, h): ``BANDS`` rows for every judged line, once in a chunk; ``sim`` is the length class."""
 
-def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(h, sim, doc_id, place): every judged line; ``sim`` is null where the batch has given it before."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _lo, _hi, buf, offs in chunks(batch.column("text")):
+                x = Lines(buf, offs, min_words)
+                once = np.unique(x.hash, return_index=True)[1]
+                if len(once):
+                    keys, size = x.bands(once)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(size, BANDS)), pa.array(np.repeat(x.hash[once], BANDS).view(np.int64))], names=["key", "sim", "h"])
+
+    return docs.filter("doc_id is not null and text is not null").mapInArrow(run, "key long, sim long, h long")
+
+
+def open_band_rows(texts: DataFrame) -> DataFrame:
+    """(key, sim, h, label) of (h, line, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offs in chunks(batch.column("line")):
+                x = Lines(buf, offs, 1)
+                keys, size = x.bands(np.arange(len(x.judged)))
+                h, label = (np.repeat(batch.column(c).slice(lo, hi - lo).to_numpy(), BANDS) for c in ("h", "label"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(size, BANDS)), pa.array(h), pa.array(label)], names=["key", "sim", "h", "label"])
+
+    return texts.mapInArrow(run, "key long, sim long, h long, label long")
+
+
+def line_rows(docs: DataFrame, min_words: int, simhash: bool) -> DataFrame:
+    """(h, sim, doc_id, place): every judged line; ``sim`` is null where the batch has given it before, or without ``simhash``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +211,10 @@ def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 x = Lines(buf, offs, min_words)
                 once = np.unique(x.hash, return_index=True)[1]
                 sim = np.zeros(len(x.hash), U)
-                sim[once] = x.simhash(once)
                 missing = np.ones(len(sim), bool)
-                missing[once] = False
+                if simhash:
+                    sim[once] = x.simhash(once)
+                    missing[once] = False
                 d = x.doc[x.judged]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.hash.view(np.int64)), pa.array(sim.view(np.int64), mask=missing), pa.array(ids[lo + d]), pa.array((x.marks[d] << POS_BITS) | x.number[x.judged])],
@@ -155,9 +243,11 @@ def keyed(lines: DataFrame, blocks: int, bits: int) -> DataFrame:
     return lines.withColumn("key", F.explode(parts))
 
 
-def near_pairs(key: np.ndarray, sim: np.ndarray, h: np.ndarray, label: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of lines under one key and within ``bits`` bits: without labels each line with the smallest; with labels all pairs of different ones."""
+def near_pairs(key: np.ndarray, sim: np.ndarray, h: np.ndarray, label: np.ndarray | None, bits: int | None, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of lines under one key and within ``bits`` bits, or ``reach`` length classes if that is None: without labels each line with the smallest; with labels all pairs of different ones."""
     o = np.lexsort((h, key))
+    if bits is None:  # chunks repeat lines
+        o = o[np.concatenate([[True], (key[o][1:] != key[o][:-1]) | (h[o][1:] != h[o][:-1])])]
     key, sim, h = key[o], sim[o], h[o]
     label = None if label is None else label[o]
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -165,7 +255,7 @@ def near_pairs(key: np.ndarray, sim: np.ndarray, h: np.ndarray, label: np.ndarra
     out_a, out_b = [], []
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
-        ok = np.bitwise_count(sim[i] ^ sim[j]) <= bits
+        ok = np.abs(sim[i].view(np.int64) - sim[j].view(np.int64)) <= reach if bits is None else np.bitwise_count(sim[i] ^ sim[j]) <= bits
         if label is not None:
             ok &= label[i] != label[j]
         out_a.append(i[ok])
@@ -190,7 +280,7 @@ def near_pairs(key: np.ndarray, sim: np.ndarray, h: np.ndarray, label: np.ndarra
     return h[a], h[b]
 
 
-def candidates(rows: DataFrame, count: int, bits: int, labelled: bool) -> DataFrame:
+def candidates(rows: DataFrame, count: int, bits: int | None, percent: int, labelled: bool) -> DataFrame:
     """Distinct (a, b), a < b."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // ROWS_PER_TASK + 1)
 
@@ -200,7 +290,7 @@ def candidates(rows: DataFrame, count: int, bits: int, labelled: bool) -> DataFr
             return
         t = pa.Table.from_batches(got)
         cols = [t.column(c).to_numpy().astype(np.int64) for c in t.column_names]
-        a, b = near_pairs(cols[0], cols[1].view(U), cols[2], cols[3] if labelled else None, bits)
+        a, b = near_pairs(cols[0], cols[1].view(U), cols[2], cols[3] if labelled else None, bits, class_reach(percent))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     columns = ["key", "sim", "h"] + ["label"] * labelled
@@ -237,23 +327,27 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.filter(f"abs(length(x) - length(y)) <= {most} and ({within} or ({most} > 128 and levenshtein(x, y, {most}) >= 0))").select("a", "b")
 
 
-def group_firsts(docs: DataFrame, min_words: int, bits: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def group_firsts(docs: DataFrame, min_words: int, bits: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
     """(all judged occurrences, (h, first) for every line that stands more than once in its group)."""
-    seen = written(line_rows(docs, min_words), "lines")
+    seen = written(line_rows(docs, min_words, bits is not None), "lines")
     once = seen.groupBy("h").agg(F.max("sim").alias("sim"), F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
     once = written(once, "distinct-lines")
     n = once.count()
-    b = block_count(n, bits)
-    pairs = written(candidates(keyed(once.select("h", "sim"), b, bits), n * len(list(combinations(range(b), bits))), bits, labelled=False), "pairs")
+    if bits is None:
+        keys, rows = BANDS, band_rows(docs, min_words)
+    else:
+        b = block_count(n, bits)
+        keys, rows = len(list(combinations(range(b), bits))), keyed(once.select("h", "sim"), b, bits)
+    pairs = written(candidates(rows, n * keys, bits, percent, labelled=False), "pairs")
     near = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     near = written(once.join(near, "h"), "near-lines")
     wanted = gathered(near.select("first.doc_id", "first.place"))
     texts = written(line_texts(docs, wanted, min_words), "texts")
     links = written(verified(pairs, texts, percent), "links")
     labels = connected_components(links).withColumnRenamed("node", "h").withColumnRenamed("component", "label")
-    open_ = near.select("h", "sim").join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
-    m = near.count()
-    more = candidates(keyed(open_, b, bits), m * len(list(combinations(range(b), bits))), bits, labelled=True)
+    labelled = lambda x: x.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
+    rows = open_band_rows(labelled(texts).select("h", "line", "label")) if bits is None else keyed(labelled(near.select("h", "sim")), b, bits)
+    more = candidates(rows, near.count() * keys, bits, percent, labelled=True)
     more = written(verified(more.join(pairs, ["a", "b"], "left_anti"), texts, percent), "links")
     if not more.isEmpty():
         labels = connected_components(links.unionAll(more)).withColumnRenamed("node", "h").withColumnRenamed("component", "label")
@@ -262,8 +356,11 @@ def group_firsts(docs: DataFrame, min_words: int, bits: int, percent: int) -> tu
     return seen, own.select("h", "label").join(group, "label").select("h", "first")
 
 
-def remove_lines(documents: DataFrame, min_words: int = 5, bits: int = 3, percent: int = 80) -> DataFrame:
-    """``documents`` with ``text`` less its removed lines, ``n_lines`` and ``n_removed_lines``."""
+def remove_lines(documents: DataFrame, min_words: int = 5, bits: int | None = None, percent: int = 80) -> DataFrame:
+    """``documents`` with ``text`` less its removed lines, ``n_lines`` and ``n_removed_lines``.
+
+    ``bits`` limits links to lines within so many SimHash bits.
+    """
     documents = documents.drop("n_lines", "n_removed_lines").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     docs = documents.select("doc_id", "text")
     seen, firsts = group_firsts(docs, min_words, bits, percent)

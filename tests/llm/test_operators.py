@@ -263,6 +263,24 @@ def test_line_dedup_edges(spark):
     assert line_dedup.block_count(1000, 3) == 4 < line_dedup.block_count(10**9, 3) < line_dedup.block_count(10**13, 3) + 1
 
 
+def test_line_dedup_finds_similar_lines(spark):
+    """Recall of the search against edit similarity alone: a brute force with all 64 SimHash bits allowed."""
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 8))) for _ in range(3000)]
+    lines, rows = [r.choices(words, k=k) for k in (8, 10, 12, 20) for _ in range(5)], []
+    for k, w in enumerate(lines):
+        one, typo, more, at = list(w), list(w), list(w), r.randrange(1, len(w))
+        one[at] = r.choice(words)
+        typo[at] = typo[at][:-1] + "ы"
+        more.insert(at, "news")
+        rows += [(10 * k + j, " ".join(x), "en", "s", 1) for j, x in enumerate((w, one, typo, more))]
+    out = got(line_dedup.remove_lines(frame(spark, rows)), "doc_id", "text")
+    want = brute_lines(rows, 64, 80)
+    gone = lambda x: {i for i, t in x if t == ""}
+    assert gone(out) <= gone(want) and len(gone(want)) >= 57
+    assert len(gone(out)) >= 0.95 * len(gone(want))
+
+
 # 5
 
 
