@@ -96,16 +96,15 @@ def fingerprints(s: Sets, use: np.ndarray, percent: int) -> tuple[np.ndarray, np
     [b(i), b(i + 1)); its number of parts exceeds the differences by a quarter and 8, so
     an equal part that is not empty is there even if some parts are.
     """
-    t = percent / 100
     b = band_starts(int(s.size.max(initial=1)))
-    parts = np.ceil(1.25 * b[1:] * (1 - t) / t).astype(np.int64) + 8
+    parts = -(-5 * b[1:] * (100 - percent) // (4 * percent)) + 8
     band = np.searchsorted(b, s.size, side="right") - 1
     out_d, out_h = [], []
     for back in (0, 1, 2, 3):  # as the smaller of a pair, and as the larger of pairs whose smaller is in a lower band
         i = band - back
-        ok = use & (i >= 0) & (s.size * (1 - t) / t >= 1)
+        ok = use & (i >= 0) & (s.size * (100 - percent) >= percent)
         if back:
-            ok &= s.size * t <= b[np.maximum(i, 0) + 1] - 1 + 1e-9
+            ok &= percent * s.size <= 100 * (b[np.maximum(i, 0) + 1] - 1)
         if not ok.any():
             continue
         k = np.flatnonzero(ok[s.doc])

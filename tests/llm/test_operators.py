@@ -99,6 +99,14 @@ def test_ngram_join_edges(spark):
     assert {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows), 3, 90).collect()} == {(None, 5), (5, 5), (6, 6)}
 
 
+@pytest.mark.parametrize(("n", "percent", "size"), [(3, 90, 9), (5, 80, 4)])
+def test_ngram_join_at_the_threshold(spark, n, percent, size):
+    """Sets of ``size`` shingles and supersets of one more, similar by just ``percent``."""
+    rows = [(2 * k + j, " ".join(f"w{k}x{i}" for i in range(size + n - 1 + j)), "en", "s", 1) for k in range(3) for j in range(2)]
+    out = got(ngram_join.jaccard_components(frame(spark, rows), n, percent), "doc_id", "n_shingles", "component_id")
+    assert out == brute_components(rows, n, percent) == [(2 * k + j, size + j, 2 * k) for k in range(3) for j in range(2)]
+
+
 def test_divide_skip_is_exact():
     r = np.random.default_rng(7)
     base = r.integers(0, 2**63, 60).astype(U)
