@@ -7,7 +7,7 @@ case, digits without separators; given name and surname apart), and the surrogat
 function of key, type, identity and attempt alone: every mention, in any document, gets
 the same one. It keeps the format: letters stay letters of their script and case, digits
 digits, separators and top-level domains stay, card numbers keep a valid (or invalid)
-check digit, addresses move to 10.0.0.0/8, names keep gender and script.
+check digit, addresses move to 10.0.0.0/8, names keep gender and script and get a syllable longer with each attempt.
 
 Two identities of one type never share a surrogate, and none is another's identity: the
 table of identities is checked, the losers of a clash try again with the next attempt.
@@ -120,7 +120,8 @@ def surrogate(name: Column, identity: Column, attempt: Column, key: str) -> Colu
         s = F.array(*map(F.lit, SYLLABLES[script]))
         e = F.array(*map(F.lit, ENDINGS[script][sort]))
         parts = [F.element_at(s, draw(d, F.lit(i), 32) + 1) for i in range(3)]
-        return F.concat(*parts, F.element_at(e, draw(d, F.lit(5), 4) + 1))
+        grown = joined(F.transform(F.sequence(F.lit(1), attempt), lambda i: F.element_at(s, draw(d, i + 5, 32) + 1)))
+        return F.concat(*parts, F.when(attempt > 0, grown).otherwise(""), F.element_at(e, draw(d, F.lit(5), 4) + 1))
 
     named = lambda sort: F.when(identity.rlike(r"\p{IsCyrillic}"), composed("Cyrillic", sort)).otherwise(composed("Latin", sort))
     return (

@@ -452,6 +452,15 @@ def test_pii(spark):
     assert pii.pseudonymised(df.limit(0), "key")[0].count() == 0
 
 
+def test_pii_names_outgrow_their_space(spark, monkeypatch):
+    """More surnames than the first attempt has surrogates (2 ** 3 * 4)."""
+    monkeypatch.setattr(pii, "SYLLABLES", {k: v[:2] * 16 for k, v in pii.SYLLABLES.items()})
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 8)
+    df = spark.createDataFrame([("SURNAME", f"name{k}") for k in range(60)], "type string, identity string").coalesce(1)
+    rows = pii.assigned(df, "key").collect()
+    assert len({r.identity for r in rows}) == len({r.surrogate for r in rows}) == 60
+
+
 def test_pii_clashes_are_resolved(spark, monkeypatch):
     narrow = lambda name, identity, attempt, key: F.when(attempt < 3, F.lit("7")).otherwise(F.concat(F.lit("s"), F.right(identity, F.lit(2))))
     monkeypatch.setattr(pii, "surrogate", narrow)
