@@ -1,4 +1,4 @@
-"""Fuzzy line removal: sketch keys, edit similarity, connected groups.
+"""Fuzzy line removal: SimHash, shared keys, edit similarity, connected groups.
 
 Lines are cut at ``\\n`` and normalised: ASCII lower case, digits alike, no ASCII
 punctuation, blanks as one. Lines of at least ``min_words`` words are judged. Equal
@@ -7,49 +7,64 @@ similarity (1 - Levenshtein distance / longer length, of the normalised lines) i
 ``percent`` / 100 and they meet in the search. Of each connected group one occurrence
 stays, the first by doc_id and place; all others are cut out of their documents.
 
-The search is by min-hash over character 8-grams: ``BANDS`` keys of ``BAND_ROWS`` minima
-each, the same at every size, and lines under one key meet if their lengths allow the
-similarity. It is a search and can miss pairs: those of a few changed words or typos meet
-nearly always, those whose edits are scattered up to the threshold often do not (the
-README has measured shares). With ``bits``, links are those alone whose 64-bit SimHashes
-(over their different words) differ in at most ``bits`` bits, and none of these is missed:
-SimHashes are split into b blocks; two within ``bits`` bits agree in b - ``bits`` of them,
-so lines meet under each choice of that many blocks. b follows from the number of lines
-so that a key holds few by chance; it changes the work, not the links.
-
-Under a key, each line is first held against the smallest line near it; components of
-what those pairs link are found, and only pairs between different components are then
-tried, so a group of thousands gives thousands of pairs, not millions.
-
-Defined results: null text stays null and has no lines; short and empty lines stay; rows
+The search has two forms:
+
+- With ``bits``, lines meet whose 64-bit SimHashes (over their different words) differ in at
+  most ``bits`` bits, and none of these is missed: SimHashes are split into b blocks; two
+  within ``bits`` bits agree in b - ``bits`` of them, so lines share the key of one choice of
+  that many blocks. b follows from the number of lines so that a key holds few by chance; it
+  changes the work, not what meets.
+- Without, lines of ``LONG`` tokens or more meet if their SimHashes over tokens differ in at
+  most ``REACH`` bits and they share a key: the least hash of ``GRAM`` consecutive tokens in
+  one of ``BINS`` hash classes. (So many bits are beyond what blocks of 64 can serve: README has
+  the figures.) Shorter lines share a key if they are equal but for one token, or, below
+  ``TINY`` tokens, one character; of these a count of their characters sorts out pairs that
+  cannot be similar. Tokens are words; of a word over ``LONG_WORD`` bytes (scripts without
+  blanks) its overlapping pieces of ``PIECE`` bytes.
+
+Lines that meet, directly or by way of others, form a cluster, and each cluster is searched
+where its texts are: pairs that meet and are not yet joined are held against each other.
+Clusters over ``BLOCK`` lines or ``BLOCK_CHARS`` characters are cut: lines linked with the
+cluster's pivot need no search among themselves; the rest are searched, in chunks, against
+every block.
+
+Defined results: null text stays null and has no lines; lines without a word stay; rows
 equal in doc_id and text count as one document; rows with a null doc_id stay as they
-are; an empty table gives no rows; extra columns stay, ``text`` is replaced, ``n_lines``
-and ``n_removed_lines`` are added (replacing columns of those names).
+are; ties go to the first place; an empty table gives no rows; extra columns stay under
+any name, ``text`` is replaced, ``n_lines`` and ``n_removed_lines`` are added (replacing
+columns of those names).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+import hashlib
+from collections.abc import Callable, Iterator
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.arrays import BASE, U, Sums, byte_table, bytes_of, chunks, mix, ranges, words
-from lexigrain.llm.components import connected_components
+from lexigrain.llm.arrays import BASE, U, Sums, byte_table, bytes_of, chunks, grams, mix, ranges, words
+from lexigrain.llm.components import connected_components, roots
 from lexigrain.llm.shared import written
-from lexigrain.llm.windows import POS_BITS, gathered, lists, own_place, row_marks
+from lexigrain.llm.windows import POS_BITS, gathered, lists, own_place
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DROP = bytes.maketrans(b"123456789", b"000000000")
-#: Lines that a key may hold by chance before one more block is used.
+#: Lines that a key of SimHash blocks may hold by chance before one more block is used.
 CROWD = 64
-#: Characters of a feature, min-hash bins of a line, keys of a line and minima in each.
-GRAM, BINS, BANDS, BAND_ROWS = 8, 96, 32, 3
-EMPTY = U(0xFFFFFFFFFFFFFFFF)
-ROWS_PER_TASK = 500_000
+#: SimHash bits in which lines that meet may differ; tokens of a shingle; hash classes of shingles.
+REACH, GRAM, BINS = 14, 5, 8
+#: Tokens from which shingles are used, up to which one token may be left out, and below which one character.
+LONG, SHORT, TINY = 8, 10, 4
+LONG_WORD, PIECE = 16, 6
+#: Rows of a key in one batch from which those close to the middle one are joined to it at once, before the shuffle.
+FEW = 8
+ROWS_PER_TASK = 1_000_000
+#: Lines and characters of a cluster that are one task's work.
+BLOCK, BLOCK_CHARS = 4000, 4_000_000
 
 
 def normal(line: bytes) -> bytes:
@@ -68,11 +83,34 @@ PUNCT = np.zeros(256, bool)
 PUNCT[list(PUNCTUATION)] = True
 
 
+def simhash(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SimHashes of sequences of hashes: majority of the bits of their different members, ties to 0.
+
+    Eight byte counters share a 64-bit number, so sums run over at most 255 members and
+    are then added up per sequence.
+    """
+    line = np.repeat(np.arange(len(n)), n)
+    h = values[ranges(begin, n)]
+    once = np.unique(mix(h ^ (line.astype(U) + U(1)) * BASE), return_index=True)[1]
+    once.sort()
+    h, line = mix(h[once] ^ U(0x1B873593CC9E2D51)), line[once]
+    n = np.bincount(line, minlength=len(n))
+    if not len(h):
+        return np.zeros(len(n), U)
+    pieces = -(-n // 255)
+    first = np.repeat(np.cumsum(n) - n, pieces) + 255 * ranges(np.zeros(len(n), np.int64), pieces)
+    ones = np.zeros((len(n), 64), np.int64)
+    new = np.cumsum(pieces) - pieces
+    for j in range(8):
+        part = np.add.reduceat((h >> U(j)) & U(0x0101010101010101), first).view(np.uint8).reshape(-1, 8)
+        ones[:, j::8] = np.add.reduceat(part.astype(np.int64), new, axis=0)
+    return ((2 * ones > n[:, None]).astype(U) << np.arange(64, dtype=U)).sum(axis=1, dtype=U)
+
+
 class Lines:
-    """The judged lines of a chunk: document, number in it, hash and SimHash of the normalised line."""
+    """The judged lines of a chunk: document, number in it and hash of the normalised line."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, min_words: int):
-        self.marks = row_marks(buf, offs)
         cut = np.flatnonzero(buf == 10)
         start = np.sort(np.concatenate([offs[:-1], cut + 1]))
         self.start, self.end = start, np.sort(np.concatenate([cut, offs[1:]]))
@@ -82,146 +120,297 @@ class Lines:
         # punctuation goes before words are told apart; \n bounds lines
         kept = np.flatnonzero(~PUNCT[buf])
         b = buf[kept]
-        o = np.searchsorted(kept, offs)
-        w_start, w_end, _ = words(b, o)
-        self.bytes, self.w_start, self.w_end = b, w_start, w_end
-        w = Sums(b, TABLE).spans(w_start, w_end)
+        w_start, w_end, _ = words(b, np.searchsorted(kept, offs))
+        self.bytes, self.sums, self.w_start, self.w_end = b, Sums(b, TABLE), w_start, w_end
+        w = self.sums.spans(w_start, w_end)
+        self.line_ends = np.searchsorted(kept, self.end)
         bounds = np.searchsorted(w_start, np.searchsorted(kept, self.start))
-        until = np.searchsorted(w_start, np.searchsorted(kept, self.end))
-        n = until - bounds
-        self.judged = np.flatnonzero(n >= min_words)
-        self.first_word, self.n_words, self.w = bounds[self.judged], n[self.judged], w
+        n = np.searchsorted(w_start, self.line_ends) - bounds
+        self.judged = np.flatnonzero(n >= max(1, min_words))
+        self.n_words = n[self.judged]
         power = np.cumprod(np.concatenate([[U(1)], np.full(max(int(n.max(initial=1)), 1), BASE, U)]), dtype=U)
-        line_of = np.repeat(np.arange(len(self.judged)), self.n_words)
-        at = np.arange(len(line_of)) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
-        self.words = self.w[self.first_word[line_of] + at] if len(line_of) else w[:0]
+        at = ranges(np.zeros(len(self.judged), np.int64), self.n_words)
+        self.words = w[ranges(bounds[self.judged], self.n_words)]
         self.begin = np.cumsum(self.n_words) - self.n_words
-        terms = mix(self.words) * power[at] if len(line_of) else w[:0]
-        self.hash = mix(np.add.reduceat(terms, self.begin) + self.n_words.astype(U)) if len(self.judged) else w[:0]
-
-    def simhash(self, rows: np.ndarray) -> np.ndarray:
-        """SimHashes of some judged lines: majority of the bits of their different words' hashes, ties to 0.
-
-        Eight byte counters share a 64-bit number, so sums run over at most 255 words and
-        are then added up per line.
-        """
-        n = self.n_words[rows]
-        line = np.repeat(np.arange(len(rows)), n)
-        h = self.words[ranges(self.begin[rows], n)]
-        once = np.unique(mix(h ^ (line.astype(U) + U(1)) * BASE), return_index=True)[1]
-        once.sort()
-        h, line = mix(h[once] ^ U(0x1B873593CC9E2D51)), line[once]
-        n = np.bincount(line, minlength=len(rows))
-        if not len(h):
-            return np.zeros(len(rows), U)
-        pieces = -(-n // 255)
-        first = np.repeat(np.cumsum(n) - n, pieces) + 255 * ranges(np.zeros(len(rows), np.int64), pieces)
-        ones = np.zeros((len(rows), 64), np.int64)
-        new = np.cumsum(pieces) - pieces
-        for j in range(8):
-            part = np.add.reduceat((h >> U(j)) & U(0x0101010101010101), first).view(np.uint8).reshape(-1, 8)
-            ones[:, j::8] = np.add.reduceat(part.astype(np.int64), new, axis=0)
-        return ((2 * ones > n[:, None]).astype(U) << np.arange(64, dtype=U)).sum(axis=1, dtype=U)
-
-    def bands(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (a row of ``BANDS`` per line) and length class of some judged lines.
-
-        Each character starts a feature of ``GRAM`` characters, or as many as the line has
-        left. One hash per feature gives its bin and value; a line's bin holds the least
-        value, an empty one that of another bin, tried in an order common to all lines.
-        """
-        at = ranges(self.first_word[rows], self.n_words[rows])
-        n = self.w_end[at] - self.w_start[at] + 1
-        text = np.append(self.bytes, np.uint8(32))[ranges(self.w_start[at], n)]
-        until = np.cumsum(n)
-        text[until - 1] = 32
-        ends = until[np.cumsum(self.n_words[rows]) - 1]
-        c = np.flatnonzero((text & 0xC0) != 0x80)
-        line = np.searchsorted(ends, c, side="right")
-        stop = np.minimum(np.append(c, np.full(GRAM, len(text)))[GRAM:], ends[line])
-        h = Sums(text, TABLE).spans(c, stop)
-        least = np.full(len(rows) * BINS, EMPTY, U)
-        np.minimum.at(least, line * BINS + (h % U(BINS)).astype(np.int64), mix(h))
-        least = least.reshape(-1, BINS)
-        full = least.copy()
-        t = 1
-        while len((gap := np.nonzero(full == EMPTY))[0]):
-            full[gap] = least[gap[0], (mix((gap[1] + BINS * t).astype(U) * BASE) % U(BINS)).astype(np.int64)]
-            t += 1
-        keys = np.broadcast_to(np.arange(BANDS, dtype=U), (len(rows), BANDS)).copy()
-        for k in range(BAND_ROWS):
-            keys = mix(keys * BASE + full[:, PICKS[:, k]])
-        return keys, length_class(np.bincount(line, minlength=len(rows)))
-
-
-def picks() -> np.ndarray:
-    """The bins of each key: every bin is used equally often."""
-    rounds = BANDS * BAND_ROWS // BINS
-    return np.argsort(mix(np.arange(1, rounds * BINS + 1, dtype=U) * BASE).reshape(rounds, BINS), axis=1).reshape(BANDS, BAND_ROWS)
-
-
-PICKS = picks()
-
-
-def length_class(chars: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(chars) / np.log(1.03)).astype(np.int64)
-
-
-def class_reach(percent: int) -> int:
-    """Most classes between lengths that allow the similarity."""
-    return 1 << 32 if percent <= 0 else int(np.log(100 / percent) / np.log(1.03)) + 1
-
-
-def band_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, sim, h): ``BANDS`` rows for every judged line, once in a chunk; ``sim`` is the length class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _lo, _hi, buf, offs in chunks(batch.column("text")):
-                x = Lines(buf, offs, min_words)
-                once = np.unique(x.hash, return_index=True)[1]
-                if len(once):
-                    keys, size = x.bands(once)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(size, BANDS)), pa.array(np.repeat(x.hash[once], BANDS).view(np.int64))], names=["key", "sim", "h"])
-
-    return docs.filter("doc_id is not null and text is not null").mapInArrow(run, "key long, sim long, h long")
-
-
-def open_band_rows(texts: DataFrame) -> DataFrame:
-    """(key, sim, h, label) of (h, line, label)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, buf, offs in chunks(batch.column("line")):
-                x = Lines(buf, offs, 1)
-                keys, size = x.bands(np.arange(len(x.judged)))
-                h, label = (np.repeat(batch.column(c).slice(lo, hi - lo).to_numpy(), BANDS) for c in ("h", "label"))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(size, BANDS)), pa.array(h), pa.array(label)], names=["key", "sim", "h", "label"])
-
-    return texts.mapInArrow(run, "key long, sim long, h long, label long")
-
-
-def line_rows(docs: DataFrame, min_words: int, simhash: bool) -> DataFrame:
-    """(h, sim, doc_id, place): every judged line; ``sim`` is null where the batch has given it before, or without ``simhash``."""
+        self.hash = mix(np.add.reduceat(mix(self.words) * power[at], self.begin) + self.n_words.astype(U)) if len(self.judged) else w[:0]
+
+    def word_simhash(self, rows: np.ndarray) -> np.ndarray:
+        return simhash(self.words, self.begin[rows], self.n_words[rows])
+
+    def texts(self, data: bytes, rows: np.ndarray) -> list[bytes]:
+        at = self.judged[rows]
+        return [normal(data[a:b]) for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+
+
+class Tokens:
+    """Tokens of normalised lines, each with one blank between words."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts = texts
+        n = len(texts)
+        offs = np.cumsum([0, *map(len, texts)])
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        start, end, line = words(buf, offs)
+        sums = Sums(buf, TABLE)
+        long = end - start > LONG_WORD
+        if long.any():
+            at = ranges(start[long], (end - start)[long] - PIECE + 1)
+            at = at[(buf[at] & 0xC0) != 0x80]
+            s = np.concatenate([start[~long], at])
+            e = np.concatenate([end[~long], at + PIECE])
+            o = np.argsort(s, kind="stable")
+            start, end = s[o], e[o]
+            line = np.searchsorted(offs, start, side="right") - 1
+        self.hash, self.line = sums.spans(start, end), line
+        self.n = np.bincount(line, minlength=n)
+        self.begin = np.cumsum(self.n) - self.n
+        # a character counts at its last byte
+        first = (buf & 0xC0) != 0x80
+        last = np.append(first[1:], True)[: len(buf)]
+        last[np.maximum(offs[1:] - 1, 0)[offs[1:] > offs[:-1]]] = True
+        self.chars = np.bincount(np.repeat(np.arange(n), np.diff(offs))[first], minlength=n)
+        k = np.flatnonzero(last)
+        of = np.searchsorted(offs, k, side="right") - 1
+        k, of = k[self.n[of] <= SHORT], of[self.n[of] <= SHORT]
+        counts = np.minimum(np.bincount(of * 16 + (buf[k] & 15), minlength=16 * n).reshape(n, 16), 15).astype(U)
+        #: How often characters of each of sixteen sorts occur, up to 15 (short lines only).
+        self.bag = (counts << (U(4) * np.arange(16, dtype=U))).sum(axis=1, dtype=U)
+        self.sim = simhash(self.hash, self.begin, self.n)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, key, is it a key of short lines), each once."""
+        out = []
+        # shingles of long lines
+        g = grams(self.hash, GRAM)
+        at = np.flatnonzero((self.line[: len(g)] == self.line[GRAM - 1 :]) & (self.n[self.line[: len(g)]] >= LONG)) if len(g) else np.zeros(0, np.int64)
+        least = np.full(len(self.n) * BINS, U(0xFFFFFFFFFFFFFFFF), U)
+        np.minimum.at(least, self.line[at] * BINS + (g[at] % U(BINS)).astype(np.int64), mix(g[at]))
+        full = np.flatnonzero(least != U(0xFFFFFFFFFFFFFFFF))
+        out.append((full // BINS, least[full], np.zeros(len(full), bool)))
+        # one token left out, or none
+        rows = np.flatnonzero((self.n >= TINY) & (self.n <= SHORT))
+        t = np.zeros((len(rows), SHORT), U)
+        n = self.n[rows]
+        t[np.repeat(np.arange(len(rows)), n), ranges(np.zeros(len(rows), np.int64), n)] = mix(self.hash[ranges(self.begin[rows], n)])
+        for gone in range(SHORT + 1):
+            use = np.flatnonzero(n > gone) if gone < SHORT else np.arange(len(rows))
+            x = np.delete(t[use], gone, axis=1) if gone < SHORT else t
+            h = x @ (BASE ** np.arange(1, x.shape[1] + 1, dtype=U)) + (n[use] - (gone < SHORT)).astype(U)
+            out.append((rows[use], mix(h ^ U(0xA0761D6478BD642F)), np.ones(len(use), bool)))
+        # one character left out, or none: at most TINY - 1 words of LONG_WORD bytes
+        line, key = [], []
+        for k in np.flatnonzero(self.n < TINY).tolist():
+            s = self.texts[k].decode("utf-8", "replace")
+            for x in {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}:
+                line.append(k)
+                key.append(int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest()))
+        out.append((np.array(line, np.int64), np.array(key, U), np.ones(len(key), bool)))
+        line, key, short = (np.concatenate(x) for x in zip(*out, strict=True))
+        once = np.unique(np.stack([line.astype(U), key], axis=1), axis=0, return_index=True)[1] if len(key) else np.zeros(0, np.int64)
+        return line[once], key[once], short[once]
+
+
+class Meets:
+    """Can lines i and j be similar: by length and SimHash, or, for short lines, by length and characters."""
+
+    def __init__(self, sim: np.ndarray, bag: np.ndarray, chars: np.ndarray, short: np.ndarray, reach: int, percent: int):
+        self.sim, self.bag, self.chars, self.short, self.reach, self.percent = sim, bag, chars, short, reach, percent
+
+    def most(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Edits that the longer of the lines allows."""
+        return (100 - self.percent) * np.maximum(self.chars[i], self.chars[j]) // 100
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.sim[i] ^ self.sim[j])
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        i, j = np.broadcast_arrays(i, j)
+        most = self.most(i, j)
+        ok = np.abs(self.chars[i] - self.chars[j]) <= most
+        both = self.short[i] & self.short[j]
+        ok &= both | (self.apart(i, j) <= self.reach)
+        k = np.nonzero(ok & both)
+        if len(k[0]):
+            more, less = np.zeros((2, len(k[0])), np.int64)
+            a, b = self.bag[i[k]], self.bag[j[k]]
+            for lane in range(16):
+                d = ((a >> U(4 * lane)) & U(15)).astype(np.int64) - ((b >> U(4 * lane)) & U(15)).astype(np.int64)
+                more += np.maximum(d, 0)
+                less += np.maximum(-d, 0)
+            ok[k] = np.maximum(more, less) <= most[k]
+        return ok
+
+
+def middle(sim: np.ndarray) -> int:
+    """The SimHash nearest to the majority of all."""
+    ones = ((sim[:, None] >> np.arange(64, dtype=U)) & U(1)).sum(axis=0)
+    m = ((2 * ones > len(sim)).astype(U) << np.arange(64, dtype=U)).sum(dtype=U)
+    return int(np.argmin(np.bitwise_count(sim ^ m)))
+
+
+class Joined:
+    """Components of rows, with few pairs kept at a time."""
+
+    def __init__(self, n: int):
+        self.parent, self.a, self.b, self.kept = np.arange(n), [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.kept += len(a)
+        if self.kept > 500_000:
+            self.done()
+
+    def done(self) -> np.ndarray:
+        if self.kept:
+            a, b = self.parent[np.concatenate(self.a)], self.parent[np.concatenate(self.b)]
+            p = roots(a, b)
+            p = np.concatenate([p, np.arange(len(p), len(self.parent))])
+            self.parent, self.a, self.b, self.kept = p[self.parent], [], [], 0
+        return self.parent
+
+
+def joined_under_keys(key: np.ndarray, sim: np.ndarray, meets: Meets) -> np.ndarray:
+    """For rows sorted by key: the row that stands for those joined, under one key, by meeting each other."""
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(new, len(key)))
+    out = Joined(len(key))
+    small = size <= 256
+    end = np.repeat(new + size, size)
+    rows = np.flatnonzero(np.repeat(small, size))
+    d = 1
+    while len(rows := rows[rows + d < end[rows]]):  # row i with row i + d, all keys at once
+        for k in range(0, len(rows), 1_000_000):
+            i = rows[k : k + 1_000_000]
+            ok = meets(i, i + d)
+            out.add(i[ok], i[ok] + d)
+        d += 1
+    for a, n in zip(new[~small].tolist(), size[~small].tolist(), strict=True):
+        own = np.arange(a, a + n)
+        p = a + middle(sim[own])
+        ok = meets(p, own)
+        out.add(np.full(int(ok.sum()), p), own[ok])
+        rest = own[~ok]
+        step = max(1, 2_000_000 // n)
+        for k in range(0, len(rest), step):
+            i, j = np.nonzero(meets(rest[k : k + step][:, None], own[None, :]))
+            out.add(rest[k + i], own[j])
+    return out.done()
+
+
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Levenshtein distance, or more than ``most`` if it is more: bit vectors over the shorter text."""
+    if len(a) > len(b):
+        a, b = b, a
+    lo = 0
+    while lo < len(a) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < len(a) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    m, n = len(a), len(b)
+    if not m or n - m > most:
+        return n
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m  # where the column steps up or down
+    for k, c in enumerate(b, 1):
+        eq = at.get(c, 0)
+        flat = eq | down
+        zero = (((eq & up) + up) ^ up) | eq
+        right = down | ~(zero | up) & full
+        left = up & zero
+        if right & last:
+            score += 1
+        elif left & last:
+            score -= 1
+        if score - (n - k) > most:
+            return most + 1
+        right = right << 1 | 1
+        up = (left << 1 | ~(flat | right)) & full
+        down = right & flat & full
+    return score
+
+
+def similar(a: str, b: str, percent: int) -> bool:
+    most = (100 - percent) * max(len(a), len(b)) // 100
+    return edit_distance(a, b, most) <= most
+
+
+def line_rows(docs: DataFrame, min_words: int, bits: int | None, percent: int) -> DataFrame:
+    """Every judged line: (h, doc_id, place); the first of a batch also has its text, ``sim``, ``bag``, ``chars``, ``n_tokens``, and without ``bits`` its ``keys``, ``short_keys`` and ``near`` lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, marks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "mark"))
+            known: set[int] = set()
             for lo, _hi, buf, offs in chunks(batch.column("text")):
                 x = Lines(buf, offs, min_words)
                 once = np.unique(x.hash, return_index=True)[1]
-                sim = np.zeros(len(x.hash), U)
-                missing = np.ones(len(sim), bool)
-                if simhash:
-                    sim[once] = x.simhash(once)
-                    missing[once] = False
+                fresh = np.array([h not in known for h in x.hash[once].tolist()], bool)
+                once = np.sort(once[fresh]) if len(once) else once
+                known.update(x.hash[once].tolist())
                 d = x.doc[x.judged]
+                full = full_rows(x, buf.tobytes(), once, bits, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.hash.view(np.int64)), pa.array(sim.view(np.int64), mask=missing), pa.array(ids[lo + d]), pa.array((x.marks[d] << POS_BITS) | x.number[x.judged])],
-                    names=["h", "sim", "doc_id", "place"],
+                    [pa.array(x.hash.view(np.int64)), pa.array(ids[lo + d]), pa.array((marks[lo + d] << POS_BITS) | x.number[x.judged]), *(c.take(at) for at in [inverse(once, len(x.hash))] for c in full)],
+                    schema=LINES,
                 )
 
-    return docs.filter("doc_id is not null and text is not null").mapInArrow(run, "h long, sim long, doc_id long, place long")
+    return docs.mapInArrow(run, LINE_ROWS)
+
+
+LINE_ROWS = "h long, doc_id long, place long, line string, sim long, bag long, chars long, n_tokens long, keys array<long>, short_keys array<long>, near array<long>"
+LINES = pa.schema([(c, pa.int64()) for c in ("h", "doc_id", "place")] + [("line", pa.string())] + [(c, pa.int64()) for c in ("sim", "bag", "chars", "n_tokens")] + [(c, pa.list_(pa.int64())) for c in ("keys", "short_keys", "near")])
+
+
+def inverse(once: np.ndarray, n: int) -> pa.Array:
+    """For each of n rows its place among ``once``, or null."""
+    at = np.full(n, -1, np.int64)
+    at[once] = np.arange(len(once))
+    return pa.array(at, mask=at < 0)
+
+
+def per_line(line: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    o = np.argsort(line, kind="stable")
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(line, minlength=n))]).astype(np.int32)), pa.array(values[o].view(np.int64)))
+
+
+def full_rows(x: Lines, data: bytes, once: np.ndarray, bits: int | None, percent: int) -> list[pa.Array]:
+    """What ``line_rows`` gives for the first occurrences."""
+    texts = x.texts(data, once)
+    n = len(texts)
+    line = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
+    if bits is not None:
+        zero, none = pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.list_(pa.int64()))
+        chars = pa.array([len(t) for t in line.to_pylist()], pa.int64())
+        return [line, pa.array(x.word_simhash(once).view(np.int64)), zero, chars, pa.array(x.n_words[once]), none, none, none]
+    t = Tokens(texts)
+    h = x.hash[once]
+    owner, key, short = t.keys()
+    # rows close to the middle one of their key are joined to it here: one row of a hot key leaves a chunk
+    o = np.lexsort((key,))
+    o = o[~short[o]]
+    k = key[o]
+    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    size = np.diff(np.append(new, len(k)))
+    keep = np.ones(len(key), bool)
+    near: list[np.ndarray] = []
+    to: list[np.ndarray] = []
+    for a, m in zip(new[size >= FEW].tolist(), size[size >= FEW].tolist(), strict=True):
+        own = owner[o[a : a + m]]
+        p = middle(t.sim[own])
+        close = (np.bitwise_count(t.sim[own] ^ t.sim[own[p]]) <= REACH // 2) & (200 * np.abs(t.chars[own] - t.chars[own[p]]) <= (100 - percent) * t.chars[own[p]])
+        close[p] = False
+        keep[o[a : a + m][close]] = False
+        near.append(own[close])
+        to.append(np.full(int(close.sum()), h[own[p]], U))
+    joined = (np.concatenate(near), np.concatenate(to)) if near else (np.zeros(0, np.int64), np.zeros(0, U))
+    pick = lambda use: per_line(owner[use], key[use], n)
+    return [line, *(pa.array(c.view(np.int64)) for c in (t.sim, t.bag, t.chars, t.n)), pick(keep & ~short), pick(short), per_line(*joined, n)]
 
 
 def block_count(lines: int, bits: int) -> int:
@@ -232,126 +421,154 @@ def block_count(lines: int, bits: int) -> int:
     return b
 
 
-def keyed(lines: DataFrame, blocks: int, bits: int) -> DataFrame:
-    """A row per line and choice of blocks: (key, sim, h, ...)."""
+def block_keys(blocks: int, bits: int):
+    """The keys of a line by SimHash blocks: one per choice of blocks."""
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     masks = []
     for choice in combinations(range(blocks), blocks - bits):
         m = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in choice)
         masks.append(m - (1 << 64) if m >= 1 << 63 else m)
-    parts = F.array(*[F.xxhash64(F.col("sim").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(masks)])
-    return lines.withColumn("key", F.explode(parts))
-
-
-def near_pairs(key: np.ndarray, sim: np.ndarray, h: np.ndarray, label: np.ndarray | None, bits: int | None, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of lines under one key and within ``bits`` bits, or ``reach`` length classes if that is None: without labels each line with the smallest; with labels all pairs of different ones."""
-    o = np.lexsort((h, key))
-    if bits is None:  # chunks repeat lines
-        o = o[np.concatenate([[True], (key[o][1:] != key[o][:-1]) | (h[o][1:] != h[o][:-1])])]
-    key, sim, h = key[o], sim[o], h[o]
-    label = None if label is None else label[o]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(new, len(key)))
-    out_a, out_b = [], []
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        ok = np.abs(sim[i].view(np.int64) - sim[j].view(np.int64)) <= reach if bits is None else np.bitwise_count(sim[i] ^ sim[j]) <= bits
-        if label is not None:
-            ok &= label[i] != label[j]
-        out_a.append(i[ok])
-        out_b.append(j[ok])
+    return F.array(*[F.xxhash64(F.col("sim").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(masks)])
 
-    # small keys: row i with row i + d, all keys at once
-    small = size <= 256
-    end = np.repeat(new + size, size)
-    rows = np.flatnonzero(np.repeat(small, size))
-    d = 1
-    while len(rows := rows[rows + d < end[rows]]):
-        keep(rows, rows + d)
-        d += 1
-    for a, n in zip(new[~small].tolist(), size[~small].tolist(), strict=True):
-        for i in range(a, a + n):  # one line against the later ones of its key
-            keep(np.full(a + n - i - 1, i), np.arange(i + 1, a + n))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-    if label is None and len(a):
-        o = np.lexsort((a, b))
-        first = np.concatenate([[True], b[o][1:] != b[o][:-1]])
-        a, b = a[o][first], b[o][first]
-    return h[a], h[b]
 
-
-def candidates(rows: DataFrame, count: int, bits: int | None, percent: int, labelled: bool) -> DataFrame:
-    """Distinct (a, b), a < b."""
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // ROWS_PER_TASK + 1)
+def met(lines: DataFrame, per_line: int, count: int, reach: int, percent: int) -> DataFrame:
+    """(a, b): enough pairs of lines to join all that meet under a key."""
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * per_line // ROWS_PER_TASK + 1)
+    columns = ["h", "sim", "bag", "chars"]
+    rows = lines.select(*columns, F.lit(False).alias("short"), F.explode("keys").alias("key")).unionAll(lines.select(*columns, F.lit(True).alias("short"), F.explode("short_keys").alias("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not sum(x.num_rows for x in got):
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
         t = pa.Table.from_batches(got)
-        cols = [t.column(c).to_numpy().astype(np.int64) for c in t.column_names]
-        a, b = near_pairs(cols[0], cols[1].view(U), cols[2], cols[3] if labelled else None, bits, class_reach(percent))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    columns = ["key", "sim", "h"] + ["label"] * labelled
-    return rows.select(*columns).repartition(parts, "key").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
-
-
-def line_texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(h, line): the normalised text of wanted lines, from their first occurrence."""
+        h, sim, bag, chars, short, key = (t.column(c).to_numpy() for c in (*columns, "short", "key"))
+        o = np.lexsort((h, key))
+        o = o[np.concatenate([[True], (key[o][1:] != key[o][:-1]) | (h[o][1:] != h[o][:-1])])]  # batches repeat lines
+        alone = np.concatenate([[True], key[o][1:] != key[o][:-1], [True]])
+        o = o[~(alone[1:] & alone[:-1])]
+        key, h, sim, bag, chars, short = (x[o] for x in (key, h, sim.view(U), bag.view(U), chars, short))
+        to = joined_under_keys(key, sim, Meets(sim, bag, chars, short, reach, percent))
+        i = np.flatnonzero(to != np.arange(len(to)))
+        yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(h[to[i]])], names=["a", "b"])
+
+    return rows.repartition(parts, "key").mapInArrow(run, "a long, b long")
+
+
+def spanning_links(texts: list[str], meets: Meets, label: np.ndarray, asked: np.ndarray, indexed: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between ``asked`` and ``indexed`` lines that join different labels; the nearest by SimHash are tried first."""
+    found = []
+    is_indexed = np.zeros(len(texts), bool)
+    is_indexed[indexed] = True
+    done = np.zeros(len(texts), bool)
+    for q in asked.tolist():
+        j = indexed[(label[indexed] != label[q]) & ~(done[indexed] & is_indexed[q])]
+        j = j[meets(q, j)]
+        j = j[np.argsort(meets.apart(q, j), kind="stable")]
+        while len(j):
+            c = int(j[0])
+            if similar(texts[q], texts[c], percent):
+                found.append((q, c))
+                label[label == label[c]] = label[q]
+                j = j[label[j] != label[q]]
+            else:
+                j = j[1:]
+        done[q] = True
+    return found
+
+
+GROUP = ["cluster", "block", "chunk"]
+LINE = ["h", "line", "sim", "bag", "chars", "n_tokens"]
+
+
+def searched(rows: DataFrame, reach: int, percent: int) -> DataFrame:
+    """Links (a, b) within each group (cluster, block, chunk)."""
+    columns = [*GROUP, *LINE, "near", "indexed", "asked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column("places").is_valid())
-            places = lists(batch.column("places"))
-            for lo, hi, buf, offs in chunks(batch.column("text")):
-                x = Lines(buf, offs, min_words)
-                data = buf.tobytes()
-                first = np.searchsorted(x.doc, np.arange(hi - lo))
-                hash_at = np.zeros(len(x.start), U)
-                hash_at[x.judged] = x.hash
-                at = np.concatenate([first[d] + own_place(places[lo + d], int(x.marks[d])) for d in range(hi - lo)])
-                text = [normal(data[a:b]).decode("utf-8", "replace") for a, b in zip(x.start[at].tolist(), x.end[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(hash_at[at].view(np.int64)), pa.array(text, pa.string())], names=["h", "line"])
-
-    # both sides grow with the corpus: one plan at every size
-    return docs.join(wanted.hint("merge"), "doc_id", "left").mapInArrow(run, "h long, line string").dropDuplicates(["h"])
-
+        def stream():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+
+        for _, group in groupby(stream(), key=lambda r: r[:3]):  # at most a block and a chunk
+            one: dict[int, list] = {}
+            for r in group:
+                own = one.setdefault(r[3], [*r[4:10], False, False])
+                own[6], own[7] = own[6] or r[10], own[7] or r[11]
+            if len(one) < 2:
+                continue
+            h = sorted(one)
+            text, sim, bag, chars, n_tokens, near, indexed, asked = (list(x) for x in zip(*(one[k] for k in h), strict=True))
+            meets = Meets(np.array(sim, np.int64).view(U), np.array(bag, np.int64).view(U), np.array(chars, np.int64), np.array(n_tokens) <= SHORT if reach == REACH else np.zeros(len(h), bool), reach, percent)
+            label = np.arange(len(h))
+            own = np.flatnonzero(near)
+            label[own] = own[0] if len(own) else 0
+            got = spanning_links(text, meets, label, np.flatnonzero(asked), np.flatnonzero(indexed), percent)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([h[k] for k in x], pa.int64()) for x in zip(*got, strict=True)], names=["a", "b"])
+
+    return rows.select(*columns).repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "a long, b long")
+
+
+def near_pivot(large: DataFrame, percent: int) -> DataFrame:
+    """Adds ``near``: is the line similar to its cluster's pivot."""
+    names = large.columns
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of enough edit similarity."""
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    # distance * 100 <= (100 - percent) * longer length; a distance beyond the threshold is -1, and a narrow band is cheap
-    most = f"cast(greatest(length(x), length(y)) * {100 - percent} div 100 as int)"
-    within = " or ".join(f"levenshtein(x, y, least({band}, {most})) >= 0" for band in (16, 128))
-    return both.filter(f"abs(length(x) - length(y)) <= {most} and ({within} or ({most} > 128 and levenshtein(x, y, {most}) >= 0))").select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flag = [similar(x, y, percent) for x, y in zip(b.column("line").to_pylist(), b.column("pivot_line").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(flag, pa.bool_())], names=[*names, "near"])
+
+    pivots = large.filter("h = pivot").select("cluster", F.col("line").alias("pivot_line"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in large.schema)
+    return large.join(pivots, "cluster").mapInArrow(run, f"{schema}, near boolean")
+
+
+def cluster_links(members: DataFrame, reach: int, percent: int) -> DataFrame:
+    """Links among ``members``: (h, cluster, n, total, pivot, ``LINE``)."""
+    zero, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
+    big = (F.col("n") > BLOCK) | (F.col("total") > BLOCK_CHARS)
+    small = members.filter(~big).withColumns({"block": zero, "chunk": zero, "near": no, "indexed": yes, "asked": yes})
+    columns = [*GROUP, *LINE, "near", "indexed", "asked"]
+    found = searched(small.select(*columns), reach, percent)
+    large = members.filter(big)
+    if large.isEmpty():
+        return found
+    large = written(near_pivot(large, percent), "large-clusters")
+    found = found.unionAll(large.filter("near and h <> pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b")))
+    left = large.groupBy("cluster").agg(F.count_if(~F.col("near")).alias("left_n"), F.sum(F.when(~F.col("near"), F.col("chars"))).alias("left_chars")).filter("left_n > 0")
+    pieces = lambda n, c: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(c) / BLOCK_CHARS)).cast("long")
+    cut = large.join(left, "cluster").withColumns({"blocks": pieces("n", "total"), "chunks": pieces("left_n", "left_chars")})
+    numbers = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
+    indexed = cut.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks"))).withColumn("chunk", numbers("chunks")).withColumns({"indexed": yes, "asked": no})
+    asked = cut.filter(~F.col("near")).withColumn("chunk", F.pmod(F.xxhash64("h", F.lit(1)), F.col("chunks"))).withColumn("block", numbers("blocks")).withColumns({"indexed": no, "asked": yes})
+    return found.unionAll(searched(indexed.select(*columns).unionAll(asked.select(*columns)), reach, percent))
 
 
 def group_firsts(docs: DataFrame, min_words: int, bits: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
     """(all judged occurrences, (h, first) for every line that stands more than once in its group)."""
-    seen = written(line_rows(docs, min_words, bits is not None), "lines")
-    once = seen.groupBy("h").agg(F.max("sim").alias("sim"), F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
-    once = written(once, "distinct-lines")
-    n = once.count()
+    seen = written(line_rows(docs, min_words, bits, percent), "lines")
+    lines = seen.filter("line is not null")
+    n = lines.count()
+    reach = REACH if bits is None else bits
     if bits is None:
-        keys, rows = BANDS, band_rows(docs, min_words)
+        pairs = met(lines, BINS, n, reach, percent).unionAll(lines.select(F.col("h").alias("a"), F.explode("near").alias("b")))
     else:
         b = block_count(n, bits)
-        keys, rows = len(list(combinations(range(b), bits))), keyed(once.select("h", "sim"), b, bits)
-    pairs = written(candidates(rows, n * keys, bits, percent, labelled=False), "pairs")
-    near = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    near = written(once.join(near, "h"), "near-lines")
-    wanted = gathered(near.select("first.doc_id", "first.place"))
-    texts = written(line_texts(docs, wanted, min_words), "texts")
-    links = written(verified(pairs, texts, percent), "links")
+        keyed = lines.withColumns({"keys": block_keys(b, bits), "short_keys": F.array().cast("array<long>")})
+        pairs = met(keyed, len(list(combinations(range(b), bits))), n, reach, percent)
+    pairs = written(pairs.filter("a <> b").distinct(), "meetings")
+    clusters = connected_components(pairs).withColumnRenamed("node", "h").withColumnRenamed("component", "cluster")
+    shared = pairs.groupBy(F.col("b").alias("h")).agg(F.count("*").alias("shared"))
+    clusters = clusters.join(shared, "h", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    members = written(clusters.join(lines.select(*LINE), "h").dropDuplicates(["h"]), "members")
+    size = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("chars").alias("total"), F.max_by("h", F.struct("shared", "h")).alias("pivot"))
+    links = written(cluster_links(members.drop("shared").join(size, "cluster"), reach, percent), "links")
     labels = connected_components(links).withColumnRenamed("node", "h").withColumnRenamed("component", "label")
-    labelled = lambda x: x.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
-    rows = open_band_rows(labelled(texts).select("h", "line", "label")) if bits is None else keyed(labelled(near.select("h", "sim")), b, bits)
-    more = candidates(rows, near.count() * keys, bits, percent, labelled=True)
-    more = written(verified(more.join(pairs, ["a", "b"], "left_anti"), texts, percent), "links")
-    if not more.isEmpty():
-        labels = connected_components(links.unionAll(more)).withColumnRenamed("node", "h").withColumnRenamed("component", "label")
-    own = once.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h")).select("h", "label", "first", "n")
+    once = seen.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
+    # lines that stand once and link with none need nothing more
+    own = once.join(labels, "h", "left").filter("n > 1 or label is not null").select("h", F.coalesce("label", "h").alias("label"), "first", "n")
+    own = written(own, "groups")
     group = own.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
     return seen, own.select("h", "label").join(group, "label").select("h", "first")
 
@@ -362,31 +579,37 @@ def remove_lines(documents: DataFrame, min_words: int = 5, bits: int | None = No
     ``bits`` limits links to lines within so many SimHash bits.
     """
     documents = documents.drop("n_lines", "n_removed_lines").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    docs = documents.select("doc_id", "text")
+    mark = F.shiftrightunsigned(F.xxhash64("text"), 40)  # rows of one doc_id with different texts stay apart
+    docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text", mark.alias("mark"))
     seen, firsts = group_firsts(docs, min_words, bits, percent)
-    gone = seen.join(firsts, "h").filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.place") != F.col("place")))
+    gone = seen.select("h", "doc_id", "place").join(firsts, "h").filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.place") != F.col("place")))
     gone = gathered(gone.select("doc_id", "place"))
 
-    rest = [c for c in documents.columns if c not in ("doc_id", "text")]
-    schema = ", ".join(["doc_id long", "text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*[f"`{c}`" for c in rest]).schema), "n_lines long", "n_removed_lines long"])
+    # columns by number, so that no name of the input is in the way
+    names = documents.columns
+    plain = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    key, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    plain = plain.withColumns({"own_id": key, "own_text": text, "mark": F.shiftrightunsigned(F.xxhash64(text), 40)})
+    rest = [f"c{k}" for k in range(len(names)) if names[k] != "text"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.select(*rest).schema), "own_text string, n_lines long, n_removed_lines long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = lists(batch.column("places"))
-            data, offs = bytes_of(batch.column("text"))
-            marks = row_marks(data[offs[0] : offs[-1]], offs - offs[0])
+            places, marks = lists(batch.column("places")), batch.column("mark").to_pylist()
+            data, offs = bytes_of(batch.column("own_text"))
             text, n, removed = [], [], []
             for d, p in enumerate(places):
                 t = data[offs[d] : offs[d + 1]].tobytes()
-                lines = t.split(b"\n")
-                drop = set(own_place(p, int(marks[d])).tolist()) if len(p) else ()
+                n.append(t.count(b"\n") + 1 if t else 0)
+                drop = set(own_place(p, marks[d]).tolist()) if len(p) else ()
                 if drop:
-                    t = b"\n".join(x for k, x in enumerate(lines) if k not in drop)
-                n.append(len(lines) if t or drop else 0)
+                    t = b"\n".join(x for k, x in enumerate(t.split(b"\n")) if k not in drop)
                 removed.append(len(drop))
-                text.append(t)
-            null = ~np.array(batch.column("text").is_valid())
-            out = pa.array([None if z else x.decode() for x, z in zip(text, null.tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out, *(batch.column(c) for c in rest), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", *rest, "n_lines", "n_removed_lines"])
-
-    return documents.join(gone.hint("merge"), "doc_id", "left").mapInArrow(run, schema)
+                text.append(t.decode())
+            null = ~np.array(batch.column("own_text").is_valid(), bool)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(text, pa.string(), mask=null), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*rest, "own_text", "n_lines", "n_removed_lines"])
+
+    joined = plain.join(gone.withColumnRenamed("doc_id", "own_id").hint("merge"), "own_id", "left").drop("own_id")
+    out = joined.mapInArrow(run, schema)
+    back = {"own_text" if c == "text" else f"c{k}": c for k, c in enumerate(names)}
+    return out.select(*[F.col(k).alias(c) for k, c in back.items()], "n_lines", "n_removed_lines")

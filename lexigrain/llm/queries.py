@@ -174,4 +174,4 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)

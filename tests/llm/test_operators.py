@@ -289,6 +289,65 @@ def test_line_dedup_finds_similar_lines(spark):
     assert len(gone(out)) >= 0.95 * len(gone(want))
 
 
+def test_line_dedup_short_lines_and_names_of_columns(spark):
+    """Lines of any length are judged with ``min_words=1``; input columns called like inner ones stay."""
+    rows = [(1, "yes\nno\n\n--\nwe gather here now"), (2, "Yes.\nnot\n漢字漢字漢字漢字漢字漢字漢字\nwe gathered here now"), (3, "漢字漢字漢字漢字漢字漢字漢\nab\nabsolute"), (4, "absolutes\nabsolved")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"places": F.lit(1), "line": F.lit("x"), "c0": F.lit("y"), "mark": F.lit(2), "cluster": F.lit(3)})
+    out = line_dedup.remove_lines(df, min_words=1)
+    assert out.columns == [*df.columns, "n_lines", "n_removed_lines"]
+    assert got(out, "doc_id", "text", "n_lines", "places", "line", "c0") == [
+        (1, "yes\nno\n\n--\nwe gather here now", 5, 1, "x", "y"), (2, "not\n漢字漢字漢字漢字漢字漢字漢字", 4, 1, "x", "y"), (3, "ab\nabsolute", 3, 1, "x", "y"), (4, "absolved", 2, 1, "x", "y"),
+    ]
+
+
+@pytest.mark.parametrize("block", [4000, 4])
+def test_line_dedup_of_one_large_group(spark, monkeypatch, block):
+    """One group of near copies, whole or cut into blocks: all are linked with one another."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    r = random.Random(5)
+    base = ["".join(r.choices("abcdefghij", k=6)) for _ in range(30)]
+    rows = []
+    for k in range(40):
+        w = list(base)
+        for i in r.sample(range(30), 2):
+            w[i] = "".join(r.choices("klmnop", k=6))
+        rows.append((k, " ".join(w) + f"\nown line {k} " + " ".join("".join(r.choices("qrstuvwxyz", k=7)) for _ in range(12)), "en", "s", 1))
+    out = line_dedup.remove_lines(frame(spark, rows))
+    assert [r.n_removed_lines for r in out.orderBy("doc_id").collect()] == [0] + [1] * 39
+
+
+def test_rows_of_a_hot_key_need_little_memory():
+    """Fifty thousand rows with one SimHash under one key, and keys of many unlike rows."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    n = 50_000
+    key = np.sort(np.concatenate([np.zeros(n, np.int64), r.integers(1, 200, 20_000)]))
+    sim = np.where(key == 0, U(7), r.integers(0, 2**63, len(key)).astype(U))
+    meets = line_dedup.Meets(sim, np.zeros(len(key), U), np.full(len(key), 100), np.zeros(len(key), bool), 14, 80)
+    tracemalloc.start()
+    to = line_dedup.joined_under_keys(key, sim, meets)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert len(set(to[:n].tolist())) == 1 and len(set(to[n:].tolist())) > 0.9 * 20_000
+
+
+def test_edit_distance():
+    r = random.Random(2)
+    for _ in range(400):
+        a, b = ("".join(r.choices("abé漢", k=r.randint(0, 90))) for _ in range(2))
+        if r.random() < 0.5:
+            b = a[:20] + r.choice("xyz") + a[25:]
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            q = [i + 1]
+            for j, y in enumerate(b):
+                q.append(min(p[j] + (x != y), p[j + 1] + 1, q[j] + 1))
+            p = q
+        assert line_dedup.edit_distance(a, b, 1000) == p[-1]
+        assert (line_dedup.edit_distance(a, b, 8) > 8) == (p[-1] > 8)
+
+
 # 5
 
 
