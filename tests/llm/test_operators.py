@@ -579,9 +579,22 @@ def test_decontamination(spark):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 and decontam.contaminated(df.limit(0), bench).count() == 0
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
+def test_decontamination_with_a_full_bit_field(spark, monkeypatch):
+    """All hashes pass to the join: the results are the same."""
     items = [(k, " ".join(f"i{k}w{j}" for j in range(15))) for k in range(12)]
     rows = [(k, "before " + t + " after", "en", "s", 1) for k, t in items]
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(decontam, "MOST_BITS", 64)
     out = decontam.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
     assert got(out, "doc_id", "item_id", "doc_start", "n_tokens", "n_matched") == [(k, k, 1, 15, 15) for k in range(12)]
+
+
+def test_decontamination_compares_tokens(spark):
+    """Marks inside a token count, those at its ends do not; repeated tokens, repeated rows and long texts."""
+    item = "alpha 3.14 beta x=1 gamma -5 delta a/b eps it's zeta e.g eta 1,000"
+    swap = str.maketrans(".=-/',", "-<+;`.")
+    quoted = " ".join(f'"({w})",' for w in item.split())
+    same = " ".join(["ha"] * 14)
+    rows = [(1, item.translate(swap), "en", "s", 1), (2, quoted, "en", "s", 1), (3, same + " ha ha", "en", "s", 1), (3, same + " ha ha", "en", "s", 1), (4, "w " * 60_000 + quoted, "en", "s", 1), (5, '"' + same[:-3], "en", "s", 1), (None, item, "en", "s", 1), (6, None, "en", "s", 1), (7, "-- .. --", "en", "s", 1)]
+    items = [(0, item), (1, same), (0, item), (2, " ".join(["--", ".."] * 7)), (None, item), (3, None)]
+    out = decontam.contaminated(frame(spark, rows).withColumns({"row": F.lit("x"), "item": F.lit("y"), "seeds": F.lit("z")}), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((str(r.doc_id), r.item_id, r.doc_start, r.n_tokens, r.n_matched) for r in out.collect()) == [("2", 0, 0, 14, 14), ("3", 1, 0, 14, 14), ("3", 1, 0, 14, 14), ("4", 0, 60_000, 14, 14), ("5", 1, 0, 13, 13), ("None", 0, 0, 14, 14)]
