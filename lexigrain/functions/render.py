@@ -44,11 +44,17 @@ def context(text: Column, index: Column, radius: int = 12) -> Column:
     return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(shown, ""), F.when(F.length(text) > index + radius + 1, "…").otherwise(""))
 
 
+#: Characters that ``visible`` does not show as they are (line feeds, tabs and blanks apart).
+UNSEEN = rf"{character_class()}|[^\x20-\x7e\p{{L}}\p{{N}}\p{{P}}\p{{S}}\p{{Mc}}\n\t]|[{OPEN}{CLOSE}]"
+
+
 def visible(text: Column, show_spaces: bool = True) -> Column:
-    """The whole text with white space and hidden characters made visible."""
+    """The whole text with white space and hidden characters made visible: it is split at these, the rest stays in one piece."""
 
-    def one(c: Column) -> Column:
-        out = F.when(c == "\n", "⏎\n").when(c == "\t", "→")
-        return (out.when(c == " ", "·") if show_spaces else out).otherwise(escape_scalar(c))
+    def plain(p: Column) -> Column:
+        out = F.replace(F.replace(p, F.lit("\n"), F.lit("⏎\n")), F.lit("\t"), F.lit("→"))
+        return F.replace(out, F.lit(" "), F.lit("·")) if show_spaces else out
 
-    return F.array_join(F.transform(chars(text), one), "")
+    shown = F.transform(F.regexp_extract_all(text, F.lit(UNSEEN), F.lit(0)), escape_scalar)
+    between = F.transform(F.split(text, UNSEEN, -1), plain)
+    return F.array_join(F.zip_with(between, F.concat(shown, F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")

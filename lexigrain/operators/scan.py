@@ -1,9 +1,14 @@
 """Findings: where each catalogued character or stack of combining marks stands in a text.
 
 Positions: ``line`` from 1 (line feeds only), ``column`` from 1 and ``scalar_index`` from 0 in
-characters, ``byte_offset`` from 0 in UTF-8. Two plans give the same rows: ``sparse`` computes
-each position from the text before it, without a shuffle; ``dense`` sums over a window per
-document, for texts with so many hits that prefixes would be walked again and again.
+characters, ``byte_offset`` from 0 in UTF-8. The plan has no shuffle: a text is split at its
+matches once, and running sums over the pieces give all positions, in blocks of blocks so that
+work follows the number of matches. ``find_characters_dense`` gives the same rows by window
+sums over a key; there even one document's pieces are rows that may spill.
+
+Columns that findings add replace those of the input: ``hit``, ``POSITIONS`` and, after the
+catalogue's join, ``code_point``, ``utf8_hex``, ``name``, ``unicode_name``, ``category``,
+``severity``, ``severity_rank``, ``safety``, ``fix``, ``fix_with`` and ``description``.
 """
 
 from __future__ import annotations
@@ -17,8 +22,8 @@ from lexigrain.catalogue import catalogue, character_class
 from lexigrain.functions.text import hex4, utf8_hex
 
 MARK = r"[\p{Mn}\p{Me}]"
-#: Above this many hits a text goes to the dense plan.
-DENSE_HITS = 200
+#: Pieces whose sums are formed together.
+BLOCK = 32
 BIDI = ["LRE", "RLE", "PDF", "LRO", "RLO", "LRI", "RLI", "FSI", "PDI", "ALM"]
 TAGS = ["LANGUAGE TAG", "CANCEL TAG", "TAG CHARACTER"]
 POSITIONS = ["scalar_index", "byte_offset", "line", "column"]
@@ -36,44 +41,85 @@ def positions(text: Column, index: Column) -> dict[str, Column]:
     }
 
 
+def _ahead(a: Column, b: Column) -> Column:
+    """How far one piece after another gets: characters, bytes, line feeds, characters since the last of these."""
+    tail = F.when(b["lines"] > 0, b["tail"]).otherwise(a["tail"] + b["tail"])
+    return F.struct((a["chars"] + b["chars"]).alias("chars"), (a["bytes"] + b["bytes"]).alias("bytes"), (a["lines"] + b["lines"]).alias("lines"), tail.alias("tail"))
+
+
+def _extent(s: Column) -> Column:
+    long = lambda c, name: c.cast("long").alias(name)
+    tail = F.length(F.substring_index(s, "\n", -1))
+    return F.struct(long(F.length(s), "chars"), long(F.octet_length(s), "bytes"), long(F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit(""))), "lines"), long(tail, "tail"))
+
+
+def _sum(a: Column) -> Column:
+    zero = F.lit(0).cast("long")
+    return F.aggregate(a, F.struct(zero.alias("chars"), zero.alias("bytes"), zero.alias("lines"), zero.alias("tail")), _ahead)
+
+
+def _count(a: Column, n: int = BLOCK) -> Column:
+    return F.ceil(F.size(a) / n).cast("int")
+
+
+def _numbers(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _running(df: DataFrame, name: str, depth: int = 2) -> DataFrame:
+    """Turns the array of extents ``name`` into the running sums up to and with each.
+
+    Sums within a block of ``BLOCK``, and before each block by the same means ``depth`` times.
+    """
+    a = F.col(name)
+    within = lambda first: F.transform(_numbers(F.least(F.lit(BLOCK), F.size(a) - first)), lambda j: _sum(F.slice(a, first + 1, j + 1)))
+    if not depth:
+        return df.withColumn(name, F.transform(_numbers(F.size(a)), lambda j: _sum(F.slice(a, F.lit(1), j + 1))))
+    blocks = f"{name}b"
+    df = df.withColumn(blocks, F.transform(_numbers(_count(a)), lambda k: _sum(F.slice(a, k * BLOCK + 1, BLOCK))))
+    df = _running(df, blocks, depth - 1)
+    sums = F.transform(_numbers(_count(a)), lambda k: F.when(k == 0, within(F.lit(0))).otherwise(F.transform(within(k * BLOCK), lambda x: _ahead(F.get(blocks, k - 1), x))))
+    return df.withColumn(name, F.flatten(sums)).drop(blocks)
+
+
 def matches(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """Sparse plan: a row per match with ``hit``, ``hit_no`` and position columns; texts without one are skipped early."""
+    """A row per match with ``hit``, ``hit_no`` and position columns; texts without one are skipped early."""
     t = F.col(text)
+    df = df.drop("hit", "hit_no", *POSITIONS)
     found = df.filter(t.rlike(pattern)).withColumns({"_hits": F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), "_parts": F.split(t, pattern, -1)})
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    rows = found.select("*", F.posexplode("_hits").alias("hit_no", "hit"))
-    i = F.col("hit_no")
-    index = total(F.slice("_parts", F.lit(1), i + 1)) + total(F.slice("_hits", F.lit(1), i))
-    return rows.withColumn("_index", index).withColumns(positions(t, F.col("_index"))).drop("_hits", "_parts", "_index")
+    # a piece: the match before it and the text up to the next one
+    pieces = F.zip_with(F.concat(F.array(F.lit("")), F.col("_hits")), F.col("_parts"), lambda h, p: _extent(F.concat(h, p)))
+    found = _running(found.withColumn("_at", pieces).drop("_parts"), "_at")
+    rows = found.select(*df.columns, F.posexplode(F.zip_with("_hits", F.slice("_at", 1, F.size("_hits")), lambda h, x: F.struct(h.alias("hit"), x.alias("x")))).alias("hit_no", "m"))
+    x = F.col("m.x")
+    return rows.select(*df.columns, "hit_no", "m.hit", x["chars"].alias("scalar_index"), x["bytes"].alias("byte_offset"), (x["lines"] + 1).alias("line"), (x["tail"] + 1).alias("column"))
 
 
 def matches_dense(df: DataFrame, pattern: str, key: list[str], text: str = "text") -> DataFrame:
-    """Dense plan for one-character patterns: (key, hit, positions) by running sums per document."""
+    """(key, hit, positions) by running sums per key: rows are short, no text is shuffled."""
     t = F.col(text)
-    rows = df.select(*key, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("_hits"), F.posexplode(F.split(t, pattern, -1)).alias("i", "part")).withColumn("hit", F.get("_hits", F.col("i"))).drop("_hits")
-    w = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    breaks = F.length("part") - F.length(F.replace(F.col("part"), F.lit("\n"), F.lit("")))
+    pieces = F.zip_with(F.concat(F.array(F.lit("")), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), F.split(t, pattern, -1), lambda h, p: F.struct(h.alias("before"), _extent(F.concat(h, p)).alias("e")))
+    rows = df.filter(t.rlike(pattern)).select(*key, F.posexplode(pieces).alias("i", "p")).select(*key, "i", "p.before", "p.e.*")
+    w = Window.partitionBy(*key).orderBy("i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({
-        "scalar_index": (F.sum(F.length("part")).over(w) + F.col("i")).cast("long"),
-        "byte_offset": (F.sum(F.octet_length("part") + F.coalesce(F.octet_length("hit"), F.lit(0))).over(w) - F.coalesce(F.octet_length("hit"), F.lit(0))).cast("long"),
-        "line": (F.sum(breaks).over(w) + 1).cast("long"),
-        "tail": F.length(F.substring_index("part", "\n", -1)),
-        "broken": breaks > 0,
+        "hit": F.lead("before").over(w), "scalar_index": F.sum("chars").over(upto), "byte_offset": F.sum("bytes").over(upto), "line": F.sum("lines").over(upto) + 1,
     })
     # index of the first character after the last line feed so far
-    line_start = F.max(F.when(F.col("broken"), F.col("scalar_index") - F.col("tail"))).over(w)
-    rows = rows.withColumn("column", (F.col("scalar_index") - F.coalesce(line_start, F.lit(0)) + 1).cast("long"))
-    return rows.filter("hit is not null").drop("i", "part", "tail", "broken")
+    start = F.max(F.when(F.col("lines") > 0, F.col("scalar_index") - F.col("tail"))).over(upto)
+    return rows.withColumn("column", F.col("scalar_index") - F.coalesce(start, F.lit(0)) + 1).filter("hit is not null").select(*key, "hit", *POSITIONS)
 
 
 def with_entries(hits: DataFrame) -> DataFrame:
     """Joins the catalogue (603 rows) to ``hit``."""
     table = catalogue(hits.sparkSession)
+    hits = hits.drop(*table.columns, "utf8_hex")
     return hits.withColumn("code_point", F.ascii("hit").cast("long")).withColumn("utf8_hex", utf8_hex(F.col("hit"))).join(F.broadcast(table), "code_point")
 
 
 def find_characters(df: DataFrame, text: str = "text", exclude: frozenset[int] = frozenset()) -> DataFrame:
-    """Catalogue findings by the sparse plan; the columns of ``df`` stay."""
+    """Catalogue findings; the other columns of ``df`` stay."""
     return with_entries(matches(df, character_class(exclude), text)).drop("hit_no")
 
 
@@ -82,12 +128,8 @@ def find_characters_dense(df: DataFrame, key: list[str], text: str = "text") ->
 
 
 def find_characters_auto(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Each text by the plan that its number of hits calls for."""
-    n = F.regexp_count(F.col(text), F.lit(character_class()))
-    columns = [*key, "hit", *POSITIONS]
-    sparse = matches(df.filter(n <= DENSE_HITS).select(*key, text), character_class(), text).select(*columns)
-    dense = matches_dense(df.filter(n > DENSE_HITS).select(*key, text), character_class(), key, text).select(*columns)
-    return with_entries(sparse.unionByName(dense))
+    """The findings with no more columns than ``key``; one plan serves texts of few matches and of many."""
+    return find_characters(df.select(*key, text), text).drop(text)
 
 
 def describe_base(base: Column) -> Column:
@@ -129,7 +171,7 @@ def overridden(findings: DataFrame, overrides: DataFrame) -> DataFrame:
     given = F.decode(F.unhex(F.lpad(F.substr(a, F.lit(9)), 4, "0")), "UTF-16BE")
     hit = a.isNotNull()
     from_catalogue = findings.join(F.broadcast(catalogue(findings.sparkSession).select("code_point", F.col("safety").alias("_safety"))), "code_point", "left")
-    joined = from_catalogue.join(F.broadcast(o), "code_point", "left")
+    joined = from_catalogue.join(o, "code_point", "left")
     return joined.withColumns({
         "name": F.coalesce("_name", "name"),
         "severity": F.coalesce("_severity", "severity"),

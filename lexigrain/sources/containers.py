@@ -42,28 +42,32 @@ def zip_members(content: bytes, pattern: str) -> list[tuple[str | None, bytes |
     return out
 
 
+#: What stands before a stream (up to 2000 bytes), its line end, its data, the line end before its close.
+STREAM = re.compile(rb"stream(?:\r\n|\n|\r)?(?P<data>.*?)(?:\r?\n)?endstream", re.DOTALL)
+
+
+def inflated(data: bytes, most: int = MAX_ENTRY_BYTES) -> bytes | None:
+    """The inflated data, or null if it is broken or larger than ``most``."""
+    d = zlib.decompressobj()
+    try:
+        out = d.decompress(data, most + 1)
+    except zlib.error:
+        return None
+    return out if d.eof and len(out) <= most else None
+
+
 def pdf_streams(content: bytes) -> list[tuple[str | None, bytes | None, str | None]]:
     """Streams with a dictionary before them, inflated where that is their filter; what does not inflate is left out."""
-    if not content.startswith(b"%PDF-"):
+    if content[:5] != b"%PDF-":
         return [(None, None, "not a PDF file")]
-    out: list[tuple[str | None, bytes | None, str | None]] = []
-    at = 0
-    while True:
-        m = re.compile(rb"stream(?:\r\n|\n|\r)?").search(content, at)
-        end = content.find(b"endstream", m.end()) if m else -1
-        if end < 0:
-            return out
-        at = end + 9
-        head = content[max(0, m.start() - 2000) : m.start()]
-        if b">>" not in head:
-            continue
-        data = re.sub(rb"\r?\n\Z", b"", content[m.end() : end])
-        if b"/FlateDecode" in head and data and len(data) <= MAX_STREAM_BYTES:
-            try:
-                data = zlib.decompress(data)
-            except zlib.error:
-                continue
-        out.append((f"stream#{len(out)}", data, None))
+    kept = []
+    for m in STREAM.finditer(content):
+        dictionary = content[max(0, m.start() - 2000) : m.start()]
+        packed = b"/FlateDecode" in dictionary and 0 < len(m["data"]) <= MAX_STREAM_BYTES
+        data = inflated(m["data"]) if packed else m["data"]
+        if b">>" in dictionary and data is not None:
+            kept.append(data)
+    return [(f"stream#{k}", data, None) for k, data in enumerate(kept)]
 
 
 def members(files: DataFrame, patterns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
