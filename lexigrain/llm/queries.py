@@ -97,8 +97,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: Characters per token under the second vocabulary tell prose from marks, tables and markup; the lower ends lie below
-#: every prose document of these languages that was looked at, the upper ends above dense prose of any of them.
+#: Given bands, for tables without labels: wide ones, and narrower ones of four languages, whose lower ends lie below
+#: every prose document of these that was looked at.
 BANDS = {
     "default": quality.Band((0.9, 8.0), (0.9, 9.0), (0.0, 0.3), (0.3, 1.0)),
     "en": quality.Band((1.2, 8.0), (1.98, 9.0), (0.0, 0.1), (0.3, 1.0)),
@@ -106,13 +106,22 @@ BANDS = {
     "es": quality.Band((1.2, 8.0), (1.95, 9.0), (0.0, 0.1), (0.3, 1.0)),
     "fr": quality.Band((1.2, 8.0), (1.75, 9.0), (0.0, 0.1), (0.3, 1.0)),
 }
+PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
+
+
+def fitted_bands(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bands from at most ``quality.SAMPLE_ROWS`` documents labelled good."""
+    sample = quality.label_sample(documents.select("doc_id", "text", "lang"), labels)
+    return written(quality.fit_bands(quality.counts(sample, vocabulary_path(PIECES), vocabulary_path(RANKS), ["lang"])), "bands")
 
 
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = quality.counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"), vocabulary_path("byte_bpe_multi_50k.tiktoken"), ["doc_id", "lang"])
+    documents = table(spark, sf_dir, "documents")
+    fitted = fitted_bands(documents, table(spark, sf_dir, "labels"))
+    counted = quality.counts(documents, vocabulary_path(PIECES), vocabulary_path(RANKS), ["doc_id", "lang"])
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return quality.judged(counted, BANDS).select(*columns, "band_failed", "n_tokens", "chars_per_token", "chars_per_token_2", "byte_share", "evenness")
+    return quality.judged_by_fit(counted, fitted).select(*columns, "band_failed", "script", "n_tokens", *quality.MEASURES)
 
 
 @query

@@ -11,10 +11,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where none is set (tests, local runs)."""
+    """The session's shared folder; a temporary one only where none is set and everything runs on one machine."""
     sc = spark.sparkContext
     found = spark.conf.get(SETTING, None) or sc.getConf().get(SETTING) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lexigrain-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -35,3 +37,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def row_count(df: DataFrame) -> int:
     """Rows of a table that ``written`` made (Parquet footers answer this)."""
     return df.count()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

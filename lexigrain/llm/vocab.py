@@ -12,8 +12,8 @@ import numpy as np
 
 from lexigrain.llm.arrays import ranges
 
-#: Words kept in a Python worker's memory (about 120 MB); then it starts anew.
-MAX_WORDS = 500_000
+#: Words kept in a Python worker's memory (about 120 MB), and bytes of words and ids; then it starts anew.
+MAX_WORDS, MAX_BYTES = 500_000, 64_000_000
 
 #: Words in an order of the encoder's choice, all their ids, and how many ids each has.
 Encoded = tuple[list[bytes], np.ndarray, np.ndarray]
@@ -39,15 +39,17 @@ class WordTokens:
 
     def reset(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.held = 0
         self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         """The row of each word, new words first encoded."""
-        if len(self.index) > self.max_words:
+        if len(self.index) > self.max_words or self.held > MAX_BYTES:
             self.reset()
         fresh = list(set(words).difference(self.index))
         if fresh:
             fresh, flat, n = self.encode(fresh)
+            self.held += sum(map(len, fresh)) + flat.nbytes
             at = len(self.index)
             self.index.update(zip(fresh, range(at, at + len(fresh)), strict=True))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
