@@ -37,9 +37,11 @@ from lexigrain.llm.arrays import BASE, LOWER, U, Sums, chunks, grams, mix, range
 from lexigrain.llm.components import connected_components
 from lexigrain.llm.shared import written
 
-#: Sets whose search is one task's work.
-BLOCK = 4000
+#: Sets whose search is one task's work, and 64-bit shingle hashes in them (128 MB).
+BLOCK, BLOCK_TOKENS = 4000, 16_000_000
 RATIO = 1.5
+#: A set meets those of its own band and of three bands above it: sizes up to 1.5 ** 3 = 3.375 times its own.
+LEAST_PERCENT = 30
 
 
 class Sets:
@@ -189,16 +191,17 @@ def links(sets: list[np.ndarray], percent: int, index: np.ndarray, queries: np.n
     return found
 
 
-def set_rows(documents: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node) per document."""
+def set_rows(documents: DataFrame, n: int, carry: list[str]) -> DataFrame:
+    """(doc_id, n_shingles, node) per document, and the long columns ``carry``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in chunks(batch.column("text")):
                 s = Sets(buf, offs, n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(s.size), pa.array(s.identity().view(np.int64))], names=["doc_id", "n_shingles", "node"])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s.size), pa.array(s.identity().view(np.int64)), *(part.column(c) for c in carry)], names=["doc_id", "n_shingles", "node", *carry])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return documents.mapInArrow(run, ", ".join(["doc_id long, n_shingles long, node long", *(f"{c} long" for c in carry)]))
 
 
 def fingerprint_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
@@ -222,7 +225,7 @@ def fingerprint_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
 
 def with_sets(members: DataFrame, documents: DataFrame, n: int) -> DataFrame:
     """``members`` (doc_id, node, cluster, ...) with ``tokens``: the set as packed 64-bit hashes."""
-    extra = [c for c in members.columns if c != "doc_id"]
+    extra = [c for c in members.columns if c != "doc_id"]  # rows of one doc_id with another set are left out
     schema = members.drop("doc_id").schema
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", tokens binary"
 
@@ -230,8 +233,10 @@ def with_sets(members: DataFrame, documents: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for lo, hi, buf, offs in chunks(batch.column("text")):
                 s = Sets(buf, offs, n)
-                t = [s.tokens[a : a + k].tobytes() for a, k in zip(s.begin.tolist(), s.size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in extra), pa.array(t, pa.binary())], names=[*extra, "tokens"])
+                own = np.flatnonzero(s.identity().view(np.int64) == batch.column("node").slice(lo, hi - lo).to_numpy())
+                t = [s.tokens[a : a + k].tobytes() for a, k in zip(s.begin[own].tolist(), s.size[own].tolist(), strict=True)]
+                at = pa.array(lo + own)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in extra), pa.array(t, pa.binary())], names=[*extra, "tokens"])
 
     return documents.select("doc_id", "text").join(members, "doc_id").select(*extra, "text").mapInArrow(run, out)
 
@@ -269,37 +274,41 @@ def searched(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("cluster", "block", "chunk").sortWithinPartitions("cluster", "block", "chunk").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node, links): components of the link graph.
+def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node, links, component): components of the link graph.
 
-    ``node`` is the class of equal sets and ``links`` counts the links of a spanning set
-    that touch it.
+    ``node`` is the class of equal sets, ``component`` the least of them in a component (null
+    for empty sets) and ``links`` counts the links of a spanning set that touch the node.
+    ``carry`` names more columns of longs that go along.
     """
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = written(set_rows(docs, n), "sets")
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent: from {LEAST_PERCENT} to 100")
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry)
+    sets = written(set_rows(docs, n, list(carry)), "sets")
     least = F.min("node").over(Window.partitionBy("h"))
     edges = fingerprint_rows(docs, n, percent).withColumn("to", least).filter("node <> to").groupBy("node", "to").count()
     edges = written(edges, "meetings")
     clusters = connected_components(edges.select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("component", "cluster")
     shared = edges.groupBy("node").agg(F.sum("count").alias("shared"))
-    first = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    members = first.join(clusters, "node").join(shared, "node", "left").select("doc_id", "node", "cluster", F.coalesce("shared", F.lit(0)).alias("shared"))
-    size = members.groupBy("cluster").agg(F.count("*").alias("n"), F.max_by("node", F.struct("shared", "node")).alias("pivot"))
-    members = written(with_sets(members.join(size, "cluster").select("doc_id", "node", "cluster", "n", "pivot"), docs, n), "members")
+    first = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    members = first.join(clusters, "node").join(shared, "node", "left").select("doc_id", "node", "n_shingles", "cluster", F.coalesce("shared", F.lit(0)).alias("shared"))
+    size = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.max_by("node", F.struct("shared", "node")).alias("pivot"))
+    members = written(with_sets(members.join(size, "cluster").select("doc_id", "node", "cluster", "n", "total", "pivot"), docs, n), "members")
 
     # small clusters: one group each
     zero, yes = F.lit(0).cast("long"), F.lit(True)
     columns = ["cluster", "block", "chunk", "node", "tokens", "near", "indexed", "asked"]
-    small = members.filter(F.col("n") <= block).select("cluster", zero.alias("block"), zero.alias("chunk"), "node", "tokens", F.lit(False).alias("near"), yes.alias("indexed"), yes.alias("asked"))
+    big = (F.col("n") > block) | (F.col("total") > BLOCK_TOKENS)
+    small = members.filter(~big).select("cluster", zero.alias("block"), zero.alias("chunk"), "node", "tokens", F.lit(False).alias("near"), yes.alias("indexed"), yes.alias("asked"))
     found = searched(small, percent)
 
-    large = members.filter(F.col("n") > block)
+    large = members.filter(big)
     if not large.isEmpty():
         large = written(near_pivot(large, percent), "large")
         found = found.unionAll(large.filter("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        asked = large.groupBy("cluster").agg(F.count_if(~F.col("near")).alias("asked_n"))
-        pieces = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("long")
-        cut = large.join(asked.filter("asked_n > 0"), "cluster").withColumns({"blocks": pieces("n"), "chunks": pieces("asked_n")})
+        asked = large.groupBy("cluster").agg(F.count_if(~F.col("near")).alias("asked_n"), F.sum(F.when(~F.col("near"), F.octet_length("tokens") / 8)).alias("asked_total"))
+        pieces = lambda c, t: F.greatest(F.lit(1), F.ceil(F.col(c) / block), F.ceil(F.col(t) / BLOCK_TOKENS)).cast("long")
+        cut = large.join(asked.filter("asked_n > 0"), "cluster").withColumns({"blocks": pieces("n", "total"), "chunks": pieces("asked_n", "asked_total")})
         numbers = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
         indexed = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("chunk", numbers("chunks")).withColumns({"indexed": yes, "asked": F.lit(False)})
         queries = cut.filter(~F.col("near")).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))).withColumn("block", numbers("blocks")).withColumns({"indexed": F.lit(False), "asked": yes})
@@ -313,13 +322,13 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, bloc
     alone = F.col("n_shingles") == 0
     return (
         own.join(least, "label", "left")
-        .select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "node", F.coalesce("links", F.lit(0)).alias("links"))
+        .select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "node", F.coalesce("links", F.lit(0)).alias("links"), F.when(~alone, F.col("label")).alias("component"), *carry)
     )
 
 
 def near_pivot(large: DataFrame, percent: int) -> DataFrame:
     """Adds ``near``: does the set link with its cluster's pivot."""
-    names = ["node", "cluster", "n", "pivot", "tokens"]
+    names = ["node", "cluster", "n", "total", "pivot", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,4 +340,4 @@ def near_pivot(large: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(flag, pa.bool_())], names=[*names, "near"])
 
     pivots = large.filter("node = pivot").select("cluster", F.col("tokens").alias("pivot_tokens"))
-    return large.join(pivots, "cluster").select(*names, "pivot_tokens").mapInArrow(run, "node long, cluster long, n long, pivot long, tokens binary, near boolean")
+    return large.join(pivots, "cluster").select(*names, "pivot_tokens").mapInArrow(run, "node long, cluster long, n long, total long, pivot long, tokens binary, near boolean")
