@@ -103,7 +103,7 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     after[:-1] = inside[1:]
     after[offs[1:][full] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    return start, end, np.searchsorted(offs, start, side="right") - 1
+    return start, end, np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(start, offs)))
 
 
 def grams(w: np.ndarray, k: int) -> np.ndarray:
