@@ -3,15 +3,16 @@
 Stages take (spark, docs, sf_dir) and return a DataFrame that is written and read again
 for the next one. All but the last return the columns of ``documents``:
 
-1. quality_rules: documents that the base rules or the tokeniser bands reject go.
-2. line_dedup: of lines that are near-equal (3 SimHash bits) across the corpus one stays;
-   documents left without any word go.
+1. quality_rules: documents that the base rules or the tokeniser bands reject go; bands are
+   fitted on the labels table, or, where there is none, those given in ``BANDS``.
+2. line_dedup: of lines that are near-equal (edit similarity of 0.9) across the corpus one
+   stays; documents left without any word go.
 3. ngram_jaccard_join: of each group of documents linked by five-word shingles at a
    similarity of 0.8 the one with the smallest doc_id stays.
 4. benchmark_decontamination: documents that hold a passage of a benchmark item go.
 5. best_fit_packing: what is left becomes sequences of at most 2048 tokens.
 
-Rows with a null doc_id pass stages 2 to 4 as they are. ``ORACLE_SQL`` is None, as SQL
+Rows with a null doc_id pass stages 2 and 3 as they are. ``ORACLE_SQL`` is None, as SQL
 has no tokenizers; tests hold every stage against a brute-force version.
 """
 
@@ -21,43 +22,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrain.llm import decontam, line_dedup, ngram_join, packing, quality
-from lexigrain.llm.queries import BANDS
-from lexigrain.llm.shared import written
+from lexigrain.llm.queries import BANDS, PIECES, RANKS, fitted_bands
+from lexigrain.llm.shared import exists, written
 from lexigrain.llm.vocab import vocabulary_path
 
 ORACLE_SQL = None
+#: Edit similarity of lines in per cent. Higher than the operator's own 80: near copies of whole documents are the
+#: next stage's work, and a line of few words that differs in one of them is often a line of its own.
+LINE_PERCENT = 90
 
 
-def without(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """``docs`` less these doc_ids; Spark broadcasts them only if their size allows."""
-    return docs.join(written(doc_ids.distinct(), "dropped"), "doc_id", "left_anti")
+def mark():
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64("text").alias("mark")
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` less these (doc_id, mark) rows; Spark broadcasts them only if their size allows."""
+    gone = written(rows.distinct(), "dropped")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    return docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_mark")), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.kept_documents(docs, BANDS, vocabulary_path("piece_bpe_32k.model"), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
+    labels = f"{sf_dir}/labels.parquet"
+    bands = fitted_bands(docs, spark.read.parquet(labels)) if exists(spark, labels) else BANDS
+    return quality.kept_documents(docs, bands, vocabulary_path(PIECES), vocabulary_path(RANKS))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
-    out = line_dedup.remove_lines(docs, bits=3).filter("text is null or n_removed_lines = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    held = {c: f"own_{c}" for c in ("n_lines", "n_removed_lines") if c in columns}  # clashing names stand aside meanwhile
+    out = line_dedup.remove_lines(docs.withColumnsRenamed(held), min_words=1, percent=LINE_PERCENT)
+    out = out.filter("text is null or n_removed_lines = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.select(*columns)
+    return out.select(*[F.col(held.get(c, c)).alias(c) for c in columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(ngram_join.jaccard_components(docs, n=5, percent=80).select("doc_id", "component_id"), "components")
-    left = without(docs, found.filter("doc_id <> component_id").select("doc_id"))
-    twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    twice = written(twice, "repeated-ids")
+    found = ngram_join.jaccard_components(docs.select("doc_id", "text", mark()), n=5, percent=80, carry=("mark",))
+    found = written(found.filter("doc_id is not null").select("doc_id", "mark", "component"), "components")
+    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    left = without(docs, found.join(first, "component").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("mark") != F.col("first.mark"))).select("doc_id", "mark"))
+    # rows that are the same in both are copies of one another
+    twice = found.groupBy("doc_id", "mark").count().filter("count > 1").select("doc_id", "mark")
+    twice = written(twice, "repeated-rows")
     if twice.isEmpty():
         return left
-    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    repeated = left.select("*", mark()).join(twice, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]).select(*docs.columns)
+    return without(left, twice).unionByName(repeated)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, decontam.contaminated(docs, benchmark).select("doc_id"))
+    found = decontam.contaminated(docs.withColumn("row_mark", F.xxhash64("doc_id", "text")).select(F.col("row_mark").alias("doc_id"), "text"), benchmark)
+    gone = written(found.select(F.col("doc_id").alias("gone")).distinct(), "dropped")
+    return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("gone"), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
