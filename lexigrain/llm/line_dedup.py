@@ -17,7 +17,7 @@ The search has two forms:
 - Without, lines of ``LONG`` tokens or more meet if their SimHashes over tokens differ in at
   most ``REACH`` bits and they share a key: the least hash of ``GRAM`` consecutive tokens in
   one of ``BINS`` hash classes. (So many bits are beyond what blocks of 64 can serve: README has
-  the figures.) Shorter lines share a key if they are equal but for one token, or, below
+  the figures.) Of these, pairs with too few characters in common tokens are passed over. Shorter lines share a key if they are equal but for one token, or, below
   ``TINY`` tokens, one character; of these a count of their characters sorts out pairs that
   cannot be similar. Tokens are words; of a word over ``LONG_WORD`` bytes (scripts without
   blanks) its overlapping pieces of ``PIECE`` bytes.
@@ -46,25 +46,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.arrays import BASE, U, Sums, byte_table, bytes_of, chunks, grams, mix, ranges, words
+from lexigrain.llm.arrays import BASE, U, Sums, byte_table, chunks, grams, mix, per_doc, ranges, words
 from lexigrain.llm.components import connected_components, roots
 from lexigrain.llm.shared import written
-from lexigrain.llm.windows import POS_BITS, gathered, lists, own_place
+from lexigrain.llm.windows import POS_BITS, gathered
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DROP = bytes.maketrans(b"123456789", b"000000000")
 #: Lines that a key of SimHash blocks may hold by chance before one more block is used.
 CROWD = 64
 #: SimHash bits in which lines that meet may differ; tokens of a shingle; hash classes of shingles.
-REACH, GRAM, BINS = 14, 5, 8
+REACH, GRAM, BINS = 14, 5, 6
 #: Tokens from which shingles are used, up to which one token may be left out, and below which one character.
 LONG, SHORT, TINY = 8, 10, 4
 LONG_WORD, PIECE = 16, 6
+#: Lines of more tokens than ``SHORT`` are compared if the share of characters in common tokens is at most so much below ``percent``.
+SLACK = 10
 #: Rows of a key in one batch from which those close to the middle one are joined to it at once, before the shuffle.
 FEW = 8
-ROWS_PER_TASK = 1_000_000
-#: Lines and characters of a cluster that are one task's work.
-BLOCK, BLOCK_CHARS = 4000, 4_000_000
+ROWS_PER_TASK, LINES_PER_TASK = 1_000_000, 16_000
+#: Lines and characters of a cluster that are one task's work; lines of clusters that are searched together with others, and of these at a time.
+BLOCK, BLOCK_CHARS, SMALL, HELD = 4000, 4_000_000, 12, 20_000
 
 
 def normal(line: bytes) -> bytes:
@@ -161,22 +163,43 @@ class Tokens:
             o = np.argsort(s, kind="stable")
             start, end = s[o], e[o]
             line = np.searchsorted(offs, start, side="right") - 1
-        self.hash, self.line = sums.spans(start, end), line
+        self.hash, self.line, self.weight = sums.spans(start, end), line, end - start
         self.n = np.bincount(line, minlength=n)
         self.begin = np.cumsum(self.n) - self.n
-        # a character counts at its last byte
         first = (buf & 0xC0) != 0x80
-        last = np.append(first[1:], True)[: len(buf)]
-        last[np.maximum(offs[1:] - 1, 0)[offs[1:] > offs[:-1]]] = True
-        self.chars = np.bincount(np.repeat(np.arange(n), np.diff(offs))[first], minlength=n)
-        k = np.flatnonzero(last)
-        of = np.searchsorted(offs, k, side="right") - 1
-        k, of = k[self.n[of] <= SHORT], of[self.n[of] <= SHORT]
-        counts = np.minimum(np.bincount(of * 16 + (buf[k] & 15), minlength=16 * n).reshape(n, 16), 15).astype(U)
+        self.chars = per_doc(first, offs)
+        # a character counts at its last byte
+        few = np.flatnonzero(self.n <= SHORT)
+        own, size = ranges(offs[few], offs[few + 1] - offs[few]), offs[few + 1] - offs[few]
+        of = np.repeat(np.arange(len(few)), size)
+        last = np.append(first, True)[own + 1]
+        last[np.cumsum(size)[size > 0] - 1] = True
+        counts = np.bincount(of[last] * 16 + (buf[own[last]] & 15), minlength=16 * len(few)).reshape(len(few), 16)
         #: How often characters of each of sixteen sorts occur, up to 15 (short lines only).
-        self.bag = (counts << (U(4) * np.arange(16, dtype=U))).sum(axis=1, dtype=U)
+        self.bag = np.zeros(n, U)
+        self.bag[few] = (np.minimum(counts, 15).astype(U) << (U(4) * np.arange(16, dtype=U))).sum(axis=1, dtype=U)
         self.sim = simhash(self.hash, self.begin, self.n)
 
+    def shared(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of lines have ``percent`` of their characters in tokens of both; short lines do in any case."""
+        out = (self.n[i] <= SHORT) | (self.n[j] <= SHORT)
+        known: dict[int, dict[int, int]] = {}
+
+        def weights(k: int) -> dict[int, int]:
+            if k not in known:
+                w: dict[int, int] = {}
+                span = slice(self.begin[k], self.begin[k] + self.n[k])
+                for h, n in zip(self.hash[span].tolist(), self.weight[span].tolist(), strict=True):
+                    w[h] = w.get(h, 0) + n
+                known[k] = w
+            return known[k]
+
+        for k in np.flatnonzero(~out).tolist():
+            x, y = weights(int(i[k])), weights(int(j[k]))
+            both = sum(min(x[h], y[h]) for h in x.keys() & y.keys())
+            out[k] = 100 * both >= percent * max(sum(x.values()), sum(y.values()))
+        return out
+
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(line, key, is it a key of short lines), each once."""
         out = []
@@ -206,7 +229,7 @@ class Tokens:
                 key.append(int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest()))
         out.append((np.array(line, np.int64), np.array(key, U), np.ones(len(key), bool)))
         line, key, short = (np.concatenate(x) for x in zip(*out, strict=True))
-        once = np.unique(np.stack([line.astype(U), key], axis=1), axis=0, return_index=True)[1] if len(key) else np.zeros(0, np.int64)
+        once = np.unique(mix(key ^ (line.astype(U) + U(1)) * BASE), return_index=True)[1]
         return line[once], key[once], short[once]
 
 
@@ -335,9 +358,98 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
-def similar(a: str, b: str, percent: int) -> bool:
-    most = (100 - percent) * max(len(a), len(b)) // 100
-    return edit_distance(a, b, most) <= most
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Levenshtein distances of pairs of which no text is empty: ``edit_distance`` in lanes of 64 characters, all pairs a column at a time."""
+    m, n = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    order = np.argsort(-n, kind="stable")  # pairs that end leave at the back
+    m, n = m[order], n[order]
+    a, b = [a[k] for k in order], [b[k] for k in order]
+    count, columns, lanes = len(a), int(n[0]), -(-int(m.max()) // 64)
+    known, symbol = np.unique(np.concatenate(a), return_inverse=True)
+    kinds = len(known) + 1
+    at = ranges(np.zeros(count, np.int64), m)
+    sets = np.zeros((lanes, count * kinds), U)
+    np.bitwise_or.at(sets, (at >> 6, np.repeat(np.arange(count) * kinds, m) + symbol), U(1) << (at & 63).astype(U))
+    flat = np.concatenate(b)
+    k = np.searchsorted(known, flat)
+    k[known[np.minimum(k, kinds - 2)] != flat] = kinds - 1
+    rows = np.zeros((columns, count), np.int64)
+    rows[ranges(np.zeros(count, np.int64), n), np.repeat(np.arange(count), n)] = k
+    rows += np.arange(count) * kinds
+    up, down = np.full((lanes, count), U(0xFFFFFFFFFFFFFFFF)), np.zeros((lanes, count), U)
+    rises, falls = np.zeros((2, lanes, count), U)
+    score, pair = m.copy(), np.arange(count)
+    end, bit = (m - 1) >> 6, ((m - 1) & 63).astype(U)
+    alive = np.searchsorted(-n, -np.arange(columns), side="left")
+    one, top = U(1), U(63)
+    for row, z in zip(rows, alive.tolist(), strict=True):
+        row = row[:z]
+        plus, minus = np.ones(z, U), np.zeros(z, U)
+        for w in range(lanes):
+            eq = sets[w].take(row)
+            p, q = up[w, :z], down[w, :z]
+            same = eq | q
+            eq |= minus
+            zero = (((eq & p) + p) ^ p) | eq
+            right = rises[w, :z]
+            np.bitwise_or(q, ~(zero | p), out=right)
+            left = falls[w, :z]
+            np.bitwise_and(p, zero, out=left)
+            here = (right << one) | plus
+            plus = right >> top
+            down[w, :z] = here & same
+            up[w, :z] = (left << one) | minus | ~(same | here)
+            minus = left >> top
+        score[:z] += ((rises[end[:z], pair[:z]] >> bit[:z]) & one).astype(np.int64) - ((falls[end[:z], pair[:z]] >> bit[:z]) & one).astype(np.int64)
+    out = np.empty(count, np.int64)
+    out[order] = score
+    return out
+
+
+#: Pairs from which, and characters up to which, pairs are compared many at a time, and cells of their symbol sets.
+MANY, MANY_CHARS, MANY_CELLS = 48, 1024, 4_000_000
+
+
+def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shorter and the longer text without what they begin and end with alike."""
+    if len(a) > len(b):
+        a, b = b, a
+    n = len(a)
+    unlike = np.flatnonzero(a != b[:n])
+    lo = int(unlike[0]) if len(unlike) else n
+    a, b = a[lo:], b[lo:]
+    n = len(a)
+    unlike = np.flatnonzero(a[::-1] != b[::-1][:n])
+    hi = int(unlike[0]) if len(unlike) else n
+    return a[: n - hi], b[: len(b) - hi]
+
+
+def similar(pairs: list[tuple[str, str]], percent: int) -> np.ndarray:
+    """Which pairs of texts have enough edit similarity."""
+    most = np.array([(100 - percent) * max(len(a), len(b)) // 100 for a, b in pairs], np.int64)
+    rest = [trimmed(code_points(a), code_points(b)) for a, b in pairs]
+    m, n = (np.array([len(x[k]) for x in rest], np.int64) for k in (0, 1))
+    out = n <= most  # what is left may be replaced as a whole
+    todo = np.flatnonzero(~out & (m > 0) & (n - m <= most))
+    size = m[todo]
+    # lanes double from group to group
+    group = np.where(size > MANY_CHARS, 0, 1 + np.ceil(np.log2(-(-size // 64))).astype(np.int64))
+    for g in np.unique(group).tolist():
+        own = todo[group == g]
+        if g == 0 or len(own) < MANY:
+            for k in own.tolist():
+                out[k] = edit_distance(*pairs[k], int(most[k])) <= most[k]
+            continue
+        own = own[np.argsort(m[own], kind="stable")]
+        step = max(MANY, MANY_CELLS // (2 ** (g - 1) * 128))
+        for k in range(0, len(own), step):
+            part = own[k : k + step].tolist()
+            out[part] = edit_distances(*([rest[i][side] for i in part] for side in (0, 1))) <= most[part]
+    return out
 
 
 def line_rows(docs: DataFrame, min_words: int, bits: int | None, percent: int) -> DataFrame:
@@ -455,25 +567,92 @@ def met(lines: DataFrame, per_line: int, count: int, reach: int, percent: int) -
     return rows.repartition(parts, "key").mapInArrow(run, "a long, b long")
 
 
-def spanning_links(texts: list[str], meets: Meets, label: np.ndarray, asked: np.ndarray, indexed: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between ``asked`` and ``indexed`` lines that join different labels; the nearest by SimHash are tried first."""
-    found = []
-    is_indexed = np.zeros(len(texts), bool)
-    is_indexed[indexed] = True
-    done = np.zeros(len(texts), bool)
-    for q in asked.tolist():
-        j = indexed[(label[indexed] != label[q]) & ~(done[indexed] & is_indexed[q])]
-        j = j[meets(q, j)]
-        j = j[np.argsort(meets.apart(q, j), kind="stable")]
-        while len(j):
-            c = int(j[0])
-            if similar(texts[q], texts[c], percent):
-                found.append((q, c))
-                label[label == label[c]] = label[q]
-                j = j[label[j] != label[q]]
-            else:
-                j = j[1:]
-        done[q] = True
+def spanning_links(texts: list[str], meets: Meets, label: np.ndarray, asked: np.ndarray, indexed: np.ndarray, percent: int, slack: int | None = SLACK) -> list[tuple[int, int]]:
+    """Links between ``asked`` and ``indexed`` lines that join different labels.
+
+    All are first held against the middle line, then each against more and more of those
+    that it meets and is not joined with, the nearest by SimHash first, until none is left.
+    """
+    found: list[tuple[int, int]] = []
+
+    tokens = Tokens([t.encode() for t in texts])
+
+    def tried(a: np.ndarray, b: np.ndarray) -> None:
+        if slack is not None:
+            ok = tokens.shared(a, b, percent - slack)
+            a, b = a[ok], b[ok]
+        ok = similar([(texts[i], texts[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], percent) if len(a) else np.zeros(0, bool)
+        for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+            if label[i] != label[j]:
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+
+    both = np.zeros(len(texts), bool)
+    both[indexed] = True
+    is_asked = np.zeros(len(texts), bool)
+    is_asked[asked] = True
+    pivot = indexed[middle(meets.sim[indexed])]
+    q = asked[(asked != pivot) & meets(pivot, asked)]
+    q = q[label[q] != label[pivot]]
+    tried(q, np.full(len(q), pivot))
+
+    def rounds(part: list[tuple[int, np.ndarray]]) -> None:
+        n = 1
+        while part:
+            left, a, b = [], [], []
+            for i, j in part:
+                j = j[label[j] != label[i]]
+                if len(j):
+                    a.append(np.full(min(n, len(j)), i))
+                    b.append(j[:n])
+                    left.append((i, j[n:]))
+            tried(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)))
+            part, n = left, 2 * n
+
+    part, size = [], 0
+    for i in asked.tolist():
+        j = indexed[(label[indexed] != label[i]) & (indexed != pivot)]
+        j = j[~(is_asked[j] & both[i] & (j <= i))]  # each pair once
+        j = j[meets(i, j)]
+        if len(j):
+            part.append((i, j[np.argsort(meets.apart(i, j), kind="stable")].astype(np.int32)))
+            size += len(j)
+        if size > 2_000_000:
+            rounds(part)
+            part, size = [], 0
+    rounds(part)
+    return found
+
+
+def links_in_small(group: np.ndarray, texts: list[str], meets: Meets, percent: int, slack: int | None) -> list[tuple[int, int]]:
+    """``spanning_links`` of many small groups (rows sorted by group), all of whose lines are asked and indexed."""
+    label, found = np.arange(len(texts)), []
+    new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    start = np.repeat(new, np.diff(np.append(new, len(group))))
+    pairs, d = [], 1
+    while len(i := np.flatnonzero(group[d:] == group[:-d])):
+        pairs.append((i, i + d))
+        d += 1
+    if not pairs:
+        return found
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    ok = meets(a, b)
+    a, b = a[ok], b[ok]
+    first = (a == start[a]) | (b == start[b])  # with the first line of the group, then the others
+    for turn in (first, ~first):
+        x, y = a[turn], b[turn]
+        x, y = (z[label[x] != label[y]] for z in (x, y))
+        if not len(x):
+            continue
+        if slack is not None and turn is not first:
+            ok = Tokens([t.encode() for t in texts]).shared(x, y, percent - slack)
+            x, y = x[ok], y[ok]
+        ok = similar([(texts[i], texts[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)], percent) if len(x) else np.zeros(0, bool)
+        found += zip(x[ok].tolist(), y[ok].tolist(), strict=True)
+        if found:
+            i, j = (np.array(z) for z in zip(*found, strict=True))
+            p = roots(i, j)
+            label = np.concatenate([p, np.arange(len(p), len(texts))])
     return found
 
 
@@ -481,8 +660,8 @@ GROUP = ["cluster", "block", "chunk"]
 LINE = ["h", "line", "sim", "bag", "chars", "n_tokens"]
 
 
-def searched(rows: DataFrame, reach: int, percent: int) -> DataFrame:
-    """Links (a, b) within each group (cluster, block, chunk)."""
+def searched(rows: DataFrame, parts: int, reach: int, percent: int) -> DataFrame:
+    """Links (a, b) within each group (cluster, block, chunk), in so many tasks: the more lines a task has, the more pairs it compares at a time."""
     columns = [*GROUP, *LINE, "near", "indexed", "asked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,24 +669,42 @@ def searched(rows: DataFrame, reach: int, percent: int) -> DataFrame:
             for batch in batches:
                 yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
 
-        for _, group in groupby(stream(), key=lambda r: r[:3]):  # at most a block and a chunk
+        slack = SLACK if reach == REACH else None
+
+        def lines(one: list[list]) -> tuple[list[str], Meets]:
+            text, sim, bag, chars, n_tokens = (list(x) for x in zip(*(x[:5] for x in one), strict=True))
+            short = np.array(n_tokens) <= SHORT if slack is not None else np.zeros(len(one), bool)
+            return text, Meets(np.array(sim, np.int64).view(U), np.array(bag, np.int64).view(U), np.array(chars, np.int64), short, reach, percent)
+
+        def batch_of(h: list[int], got: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([h[k] for k in x], pa.int64()) for x in zip(*got, strict=True)], names=["a", "b"])
+
+        held: list[tuple[int, int, list]] = []  # lines of small groups: number of the group, h, rest
+        for number, (_, group) in enumerate(groupby(stream(), key=lambda r: r[:3])):  # at most a block and a chunk
             one: dict[int, list] = {}
             for r in group:
                 own = one.setdefault(r[3], [*r[4:10], False, False])
                 own[6], own[7] = own[6] or r[10], own[7] or r[11]
-            if len(one) < 2:
-                continue
             h = sorted(one)
-            text, sim, bag, chars, n_tokens, near, indexed, asked = (list(x) for x in zip(*(one[k] for k in h), strict=True))
-            meets = Meets(np.array(sim, np.int64).view(U), np.array(bag, np.int64).view(U), np.array(chars, np.int64), np.array(n_tokens) <= SHORT if reach == REACH else np.zeros(len(h), bool), reach, percent)
+            if len(h) < 2:
+                continue
+            near, indexed, asked = (np.array([one[k][c] for k in h], bool) for c in (5, 6, 7))
+            if len(h) <= SMALL and indexed.all() and asked.all() and not near.any():
+                held += [(number, k, one[k]) for k in h]
+                if len(held) > HELD:
+                    yield from batch_of([x[1] for x in held], links_in_small(np.array([x[0] for x in held]), *lines([x[2] for x in held]), percent, slack))
+                    held = []
+                continue
             label = np.arange(len(h))
             own = np.flatnonzero(near)
             label[own] = own[0] if len(own) else 0
-            got = spanning_links(text, meets, label, np.flatnonzero(asked), np.flatnonzero(indexed), percent)
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([h[k] for k in x], pa.int64()) for x in zip(*got, strict=True)], names=["a", "b"])
+            text, meets = lines([one[k] for k in h])
+            yield from batch_of(h, spanning_links(text, meets, label, np.flatnonzero(asked), np.flatnonzero(indexed), percent, slack))
+        if held:
+            yield from batch_of([x[1] for x in held], links_in_small(np.array([x[0] for x in held]), *lines([x[2] for x in held]), percent, slack))
 
-    return rows.select(*columns).repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "a long, b long")
+    return rows.select(*columns).repartition(parts, *GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "a long, b long")
 
 
 def near_pivot(large: DataFrame, percent: int) -> DataFrame:
@@ -516,7 +713,7 @@ def near_pivot(large: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flag = [similar(x, y, percent) for x, y in zip(b.column("line").to_pylist(), b.column("pivot_line").to_pylist(), strict=True)]
+            flag = similar(list(zip(b.column("line").to_pylist(), b.column("pivot_line").to_pylist(), strict=True)), percent)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(flag, pa.bool_())], names=[*names, "near"])
 
     pivots = large.filter("h = pivot").select("cluster", F.col("line").alias("pivot_line"))
@@ -524,13 +721,13 @@ def near_pivot(large: DataFrame, percent: int) -> DataFrame:
     return large.join(pivots, "cluster").mapInArrow(run, f"{schema}, near boolean")
 
 
-def cluster_links(members: DataFrame, reach: int, percent: int) -> DataFrame:
-    """Links among ``members``: (h, cluster, n, total, pivot, ``LINE``)."""
+def cluster_links(members: DataFrame, count: int, reach: int, percent: int) -> DataFrame:
+    """Links among ``count`` rows of ``members``: (h, cluster, n, total, pivot, ``LINE``)."""
     zero, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
     big = (F.col("n") > BLOCK) | (F.col("total") > BLOCK_CHARS)
     small = members.filter(~big).withColumns({"block": zero, "chunk": zero, "near": no, "indexed": yes, "asked": yes})
     columns = [*GROUP, *LINE, "near", "indexed", "asked"]
-    found = searched(small.select(*columns), reach, percent)
+    found = searched(small.select(*columns), count // LINES_PER_TASK + 1, reach, percent)
     large = members.filter(big)
     if large.isEmpty():
         return found
@@ -542,7 +739,8 @@ def cluster_links(members: DataFrame, reach: int, percent: int) -> DataFrame:
     numbers = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
     indexed = cut.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks"))).withColumn("chunk", numbers("chunks")).withColumns({"indexed": yes, "asked": no})
     asked = cut.filter(~F.col("near")).withColumn("chunk", F.pmod(F.xxhash64("h", F.lit(1)), F.col("chunks"))).withColumn("block", numbers("blocks")).withColumns({"indexed": no, "asked": yes})
-    return found.unionAll(searched(indexed.select(*columns).unionAll(asked.select(*columns)), reach, percent))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.unionAll(searched(indexed.select(*columns).unionAll(asked.select(*columns)), parts, reach, percent))
 
 
 def group_firsts(docs: DataFrame, min_words: int, bits: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -563,7 +761,7 @@ def group_firsts(docs: DataFrame, min_words: int, bits: int | None, percent: int
     clusters = clusters.join(shared, "h", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     members = written(clusters.join(lines.select(*LINE), "h").dropDuplicates(["h"]), "members")
     size = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("chars").alias("total"), F.max_by("h", F.struct("shared", "h")).alias("pivot"))
-    links = written(cluster_links(members.drop("shared").join(size, "cluster"), reach, percent), "links")
+    links = written(cluster_links(members.drop("shared").join(size, "cluster"), members.count(), reach, percent), "links")
     labels = connected_components(links).withColumnRenamed("node", "h").withColumnRenamed("component", "label")
     once = seen.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
     # lines that stand once and link with none need nothing more
@@ -589,27 +787,16 @@ def remove_lines(documents: DataFrame, min_words: int = 5, bits: int | None = No
     names = documents.columns
     plain = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
     key, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
-    plain = plain.withColumns({"own_id": key, "own_text": text, "mark": F.shiftrightunsigned(F.xxhash64(text), 40)})
-    rest = [f"c{k}" for k in range(len(names)) if names[k] != "text"]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.select(*rest).schema), "own_text string, n_lines long, n_removed_lines long"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places, marks = lists(batch.column("places")), batch.column("mark").to_pylist()
-            data, offs = bytes_of(batch.column("own_text"))
-            text, n, removed = [], [], []
-            for d, p in enumerate(places):
-                t = data[offs[d] : offs[d + 1]].tobytes()
-                n.append(t.count(b"\n") + 1 if t else 0)
-                drop = set(own_place(p, marks[d]).tolist()) if len(p) else ()
-                if drop:
-                    t = b"\n".join(x for k, x in enumerate(t.split(b"\n")) if k not in drop)
-                removed.append(len(drop))
-                text.append(t.decode())
-            null = ~np.array(batch.column("own_text").is_valid(), bool)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(text, pa.string(), mask=null), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*rest, "own_text", "n_lines", "n_removed_lines"])
-
-    joined = plain.join(gone.withColumnRenamed("doc_id", "own_id").hint("merge"), "own_id", "left").drop("own_id")
-    out = joined.mapInArrow(run, schema)
-    back = {"own_text" if c == "text" else f"c{k}": c for k, c in enumerate(names)}
-    return out.select(*[F.col(k).alias(c) for k, c in back.items()], "n_lines", "n_removed_lines")
+    joined = plain.withColumn("own_id", key).join(gone.withColumnRenamed("doc_id", "own_id").hint("merge"), "own_id", "left")
+    own = F.filter("places", lambda p: F.shiftright(p, POS_BITS) == F.shiftrightunsigned(F.xxhash64(text), 40))
+    joined = joined.withColumn("own", F.transform(own, lambda p: p.bitwiseAND(F.lit((1 << POS_BITS) - 1))))
+    cut = F.coalesce(F.size("own") > 0, F.lit(False))
+    lines = F.split(text, "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col("own"))
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i.cast("int"))), "\n")
+    joined = joined.withColumns({
+        "new": F.when(cut, kept).otherwise(text),
+        "n_lines": F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
+        "n_removed_lines": F.when(cut, F.size("own")).otherwise(0).cast("long"),
+    })
+    return joined.select(*[F.col("new" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(names)], "n_lines", "n_removed_lines")
