@@ -17,8 +17,11 @@ take, and are found again from the ``width - 1`` bytes on either side.
    strings of equal core. The first and the last core of a bucket may go on beyond it:
    their strings that stand alone here are compared across the boundaries by hash.
 
-Defined results: null or empty texts have no bytes; a row with a null doc_id is returned
-and takes no part; repeated rows are documents of their own and match each other; matches
+Equality of cores rests on two independent 64-bit hashes, that of the bytes around them on
+their comparison (within a bucket) or on hashes of both (across buckets).
+
+Defined results: null or empty texts have no bytes; a row with a null doc_id takes part
+like any other; repeated rows are documents of their own and match each other; matches
 never cross documents; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -32,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrain.llm.arrays import BASE, U, Sums, chunks, covered, mix, powers
+from lexigrain.llm.arrays import BASE, U, Sums, byte_table, chunks, mix, powers
 from lexigrain.llm.shared import written
 from lexigrain.llm.windows import POS_BITS, firsts, gathered, leftmost_least, lists, own_place, row_marks, second_hash, signed
 
 NAME_BYTES = 8
+SECOND = mix(byte_table() ^ U(0x2545F4914F6CDD1D))
 ROWS = "h long, salt long, doc_id long, place long, proved boolean"
-SUFFIXES = "core long, right binary, left binary, low int, high int, doc_id long, place long"
+SUFFIXES = "core long, core_2 long, right binary, left binary, low int, high int, doc_id long, place long"
 #: A string is (place, number of strings from there on): runs that start one after the other.
 FOUND = "h long, doc_id long, place long, n int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -73,6 +77,9 @@ class Chunk:
     def cores(self) -> np.ndarray:
         return self.sums.spans(self.at, self.at + self.core)
 
+    def second_cores(self) -> np.ndarray:
+        return Sums(self.buf, SECOND).spans(self.at, self.at + self.core)
+
     def place(self, k: np.ndarray) -> np.ndarray:
         d = self.doc[k]
         return (self.marks[d] << POS_BITS) | (self.at[k] - self.offs[d])
@@ -83,7 +90,6 @@ def first_pass(docs: DataFrame, length: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column("doc_id").is_valid())
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             found: list[list[np.ndarray]] = [[], [], []]
             for lo, _hi, buf, offs in chunks(batch.column("text")):
@@ -96,7 +102,7 @@ def first_pass(docs: DataFrame, length: int, width: int) -> DataFrame:
                 salt = np.where(first, 0, p[o] ^ (d[o] << 20) | 1)
                 yield pa.RecordBatch.from_arrays([signed(h[o]), *(pa.array(x) for x in (salt, d[o], p[o], again))], names=["h", "salt", "doc_id", "place", "proved"])
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.select("doc_id", "text").mapInArrow(run, ROWS)
 
 
 def suffixes(docs: DataFrame, candidates: DataFrame, length: int, width: int) -> DataFrame:
@@ -122,11 +128,11 @@ def suffixes(docs: DataFrame, candidates: DataFrame, length: int, width: int) ->
                 n = len(buf)
                 left = [back[a:b] for a, b in zip((n - at).tolist(), (n - at + high).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [signed(c.cores()[k]), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(ids[lo + d].astype(np.int64)), pa.array(c.place(k))],
+                    [signed(c.cores()[k]), signed(c.second_cores()[k]), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(ids[lo + d].astype(np.int64)), pa.array(c.place(k))],
                     names=[x.split()[0] for x in SUFFIXES.split(", ")],
                 )
 
-    return docs.join(candidates, "doc_id", "left").mapInArrow(run, SUFFIXES)
+    return docs.select("doc_id", "text").join(candidates, "doc_id", "left").mapInArrow(run, SUFFIXES)
 
 
 def padded(column: list[bytes], width: int) -> np.ndarray:
@@ -202,14 +208,14 @@ def compared(rows: DataFrame, width: int) -> DataFrame:
         if not sum(x.num_rows for x in got):
             return
         t = pa.Table.from_batches(got)
-        core, low, high, doc, place = (t.column(n).to_numpy().astype(np.int64) for n in ("core", "low", "high", "doc_id", "place"))
+        core, core_2, low, high, doc, place = (t.column(n).to_numpy().astype(np.int64) for n in ("core", "core_2", "low", "high", "doc_id", "place"))
         r, lf = (padded(t.column(n).to_pylist(), width) for n in ("right", "left"))
-        keys = np.concatenate([(core.view(U) ^ U(1 << 63))[:, None], r.view(">u8").astype(U), lf.view(">u8").astype(U), (low << 32 | high).view(U)[:, None]], axis=1)
+        keys = np.concatenate([(core.view(U) ^ U(1 << 63))[:, None], (core_2.view(U) ^ U(1 << 63))[:, None], r.view(">u8").astype(U), lf.view(">u8").astype(U), (low << 32 | high).view(U)[:, None]], axis=1)
         o = multikey_sort(keys)  # cores in the order of the ranges: signed
         new = np.concatenate([[True], (keys[o[1:]] != keys[o[:-1]]).any(axis=1)])
         kind, heads = np.cumsum(new) - 1, o[new]
         copies = np.bincount(kind)
-        core, low, high, r, lf = core[heads].view(U), low[heads], high[heads], r[heads], lf[heads]
+        core, low, high, r, lf = mix(core[heads].view(U) ^ mix(core_2[heads].view(U))), low[heads], high[heads], r[heads], lf[heads]
         for a in range(0, len(heads), SLICE_ROWS):
             z = min(a + SLICE_ROWS, len(heads))
             seen, ask, asked = repeats(core[a:z], r[a:z], lf[a:z], low[a:z], high[a:z], copies[a:z], width)
@@ -234,12 +240,14 @@ def remove_repeats(documents: DataFrame, length: int = 400, width: int = 128) ->
     if width % 8 or not NAME_BYTES < width <= length // 2:
         raise ValueError("width: a multiple of 8, at most half the length")
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    # rows without an id go by their text
+    docs = documents.select(F.coalesce(own, F.xxhash64(text)).alias("doc_id"), text.alias("text"), own.alias("own_id"))
     w = Window.partitionBy("h", "salt")
     rows = first_pass(docs, length, width).withColumn("n", F.count("*").over(w)).filter("proved or n > 1")
     rows = written(suffixes(docs, gathered(rows.select("doc_id", "place")), length, width), "suffixes")
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET_ROWS + 1)
-    dealt = rows.repartitionByRange(ranges, "core", "right", "left", "doc_id", "place")
+    dealt = rows.repartitionByRange(ranges, "core", "core_2", "right", "left", "doc_id", "place")
     found = written(compared(dealt, width), "repeats")
     across = found.filter("h is not null").withColumn("c", F.count("*").over(Window.partitionBy("h"))).filter("c > 1")
     runs = found.filter("h is null").select("doc_id", "place", "n").unionAll(across.select("doc_id", "place", "n"))
@@ -265,7 +273,7 @@ def remove_repeats(documents: DataFrame, length: int = 400, width: int = 128) ->
                     spans.append(int((gone[1:] & ~gone[:-1]).sum() + (gone[:1]).sum()))
                     sha.append(hashlib.sha256(text[~gone].tobytes()).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())],
+                    [batch.column("own_id").slice(lo, hi - lo), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())],
                     names=[x.split()[0] for x in RESULT.split(", ")],
                 )
 
