@@ -59,7 +59,7 @@ FROM s LEFT JOIN m ON s.rid = m.rid AND m.k = 1
 
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents enter with estimates, are revised to real counts, are counted by a second tokenizer, and lose those labelled toxic; the last batch is committed twice."""
+    """All documents enter with estimates, are revised to real counts, are counted by a second tokenizer, and lose those labelled toxic; batches are folded in between, and the last is committed twice."""
     counts = written(token_counts.counted(table(spark, sf_dir, "documents")), "token-counts")
     toxic = counts.join(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     ledger = token_counts.TokenLedger(spark, new_folder(spark, "token-ledger"))
@@ -67,6 +67,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = ch(toxic, "delete", "words-1", old="words-1").unionByName(ch(toxic, "delete", "marks-1", old="marks-1"))
     ledger.commit(ch(counts, "insert", "words-1", new="estimate"), 1)
     ledger.commit(ch(counts, "revise", "words-1", old="estimate", new="words-1"), 2)
+    ledger.fold()
     ledger.commit(ch(counts, "insert", "marks-1", new="marks-1"), 3)
     ledger.commit(gone, 4)
     ledger.commit(gone, 4)

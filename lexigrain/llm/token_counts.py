@@ -2,20 +2,32 @@
 
 A change feed has rows ``(op, source, lang, tokenizer_version, old_tokens,
 new_tokens)`` with ``op`` insert, delete or revise. Each batch is reduced to one
-signed delta per key and lands in its own ``batch_id`` partition of the store by a
-dynamic partition overwrite, so that committing a batch again replaces the same
-partition: totals do not move. Totals are the sum over the partitions.
+signed delta per key and lands in its own folder of the store, which a commit of the
+same batch replaces as a whole, empty or not: totals do not move when it is repeated.
+``fold`` adds the batches committed so far to a rollup table and notes their numbers;
+totals are the rollup and the deltas since. A rollup counts once its note is written, so
+a fold that was cut short is done again. A batch that is folded is closed: committing
+the same delta again changes nothing, another one raises.
 
 Defined results: null keys form their own groups; a null count is 0; an unknown or
 null ``op`` raises in the job; keys whose totals are all zero are not returned; an
-empty batch commits an empty partition; extra columns are ignored.
+empty batch commits an empty delta; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrain.llm.arrays import chunks
+from lexigrain.llm.packing import token_rows
+from lexigrain.llm.shared import exists
+from lexigrain.llm.vocab import word_bpe_tokens
+
 KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, batch_id long"
 #: Two tokenizer versions that both Spark and SQL can count: blank-separated words, and letter/digit runs plus single marks.
@@ -33,27 +45,77 @@ def signed_delta(changes: DataFrame) -> DataFrame:
 
 
 class TokenLedger:
-    """A store of committed deltas under ``path``."""
+    """A store of committed deltas and rollups under ``path``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def folded(self) -> tuple[int, set[int]]:
+        """(version of the rollup, 0 for none; the batches in it)."""
+        notes = f"{self.path}/folded"
+        if not exists(self.spark, notes):
+            return 0, set()
+        rows = self.spark.read.schema("batches array<long>, version long").parquet(notes)
+        last = rows.orderBy(F.desc("version")).first()  # one row per fold
+        return (last.version, set(last.batches)) if last else (0, set())
+
+    def delta(self, batch_id: int) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/deltas/batch_id={batch_id}").select(*KEYS, "n_docs", "n_tokens")
+
     def commit(self, changes: DataFrame, batch_id: int) -> None:
-        """Idempotent: the batch's partition is replaced as a whole."""
-        (
-            signed_delta(changes).withColumn("batch_id", F.lit(batch_id).cast("long"))
-            .coalesce(1)  # one row per key
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path)
-        )
+        """Idempotent: the batch's folder is replaced as a whole."""
+        new = signed_delta(changes)
+        if batch_id in self.folded()[1]:
+            old = self.delta(batch_id)
+            if not (new.exceptAll(old).isEmpty() and old.exceptAll(new).isEmpty()):
+                raise ValueError(f"batch {batch_id} is folded and its delta differs")
+            return
+        new.write.mode("overwrite").parquet(f"{self.path}/deltas/batch_id={batch_id}")
 
     def deltas(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/deltas")
+
+    def fold(self) -> None:
+        """Takes all batches committed so far into the rollup."""
+        version, done = self.folded()
+        batches = sorted(done | set(numbers(self.spark, f"{self.path}/deltas")))
+        if set(batches) == done:
+            return
+        self.totals().write.mode("overwrite").parquet(f"{self.path}/rollups/version={version + 1}")
+        note = self.spark.createDataFrame([(batches, version + 1)], "batches array<long>, version long")
+        note.coalesce(1).write.mode("append").parquet(f"{self.path}/folded")
 
     def totals(self) -> DataFrame:
-        return (
-            self.deltas().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-            .filter("n_docs <> 0 or n_tokens <> 0")
-        )
+        version, done = self.folded()
+        rows = self.deltas().select(*KEYS, "n_docs", "n_tokens", "batch_id")
+        if version:
+            rows = rows.filter(~F.col("batch_id").isin(*done)).drop("batch_id")  # folders of folded batches are not read
+            rows = rows.unionAll(self.spark.read.schema(SCHEMA).parquet(f"{self.path}/rollups/version={version}").select(*KEYS, "n_docs", "n_tokens"))
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
+
+
+def numbers(spark: SparkSession, path: str) -> list[int]:
+    """The batch numbers under a folder."""
+    if not exists(spark, path):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return [int(x.getPath().getName().removeprefix("batch_id=")) for x in found if x.getPath().getName().startswith("batch_id=")]
+
+
+def vocabulary_counts(documents: DataFrame, path: str, version: str) -> DataFrame:
+    """(doc_id, source, lang, ``version``): every text's tokens in a public vocabulary (a ``tokenizers`` file of word pieces), without special ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = word_bpe_tokens(path)
+        for batch in batches:
+            for lo, hi, buf, offs in chunks(batch.column("text")):
+                rows, n_rows = token_rows(tokens, buf, offs)
+                ends = np.concatenate([[0], np.cumsum(tokens.length[rows])])[np.cumsum(np.append(0, n_rows))]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "source", "lang")), pa.array(np.diff(ends).astype(np.int64))], names=["doc_id", "source", "lang", version])
+
+    return documents.select(F.col("doc_id").cast("long"), "source", "lang", F.col("text").cast("string")).mapInArrow(run, f"doc_id long, source string, lang string, `{version}` long")
 
 
 def counted(documents: DataFrame) -> DataFrame:
