@@ -2,12 +2,13 @@
 
 Entities are found by regular expressions: e-mail addresses, telephone numbers, IPv4
 addresses, payment card and social security numbers, hexadecimal secrets, and names
-behind a title. Each has an identity that spelling does not change (letters in lower
+behind a title; a name found so is replaced wherever else its document has it, given name
+or surname alone. Each has an identity that spelling does not change (letters in lower
 case, digits without separators; given name and surname apart), and the surrogate is a
 function of key, type, identity and attempt alone: every mention, in any document, gets
 the same one. It keeps the format: letters stay letters of their script and case, digits
 digits, separators and top-level domains stay, card numbers keep a valid (or invalid)
-check digit, addresses move to 10.0.0.0/8, names keep gender and script and get a syllable longer with each attempt.
+check digit, addresses move to 10.0.0.0/8 (from the fifth attempt on to 240.0.0.0/4), names keep gender and script and get a syllable longer with each attempt.
 
 Two identities of one type never share a surrogate, and none is another's identity: the
 table of identities is checked, the losers of a clash try again with the next attempt.
@@ -15,9 +16,9 @@ Only identities past the first attempt are looked up by the documents; all other
 computed in place, so texts are not shuffled unless those exceptions are many.
 
 Defined results: null text stays null and empty text empty, with no entities; repeated
-rows are each rewritten alike; an empty table gives no rows; extra columns stay, while
-``text`` is replaced and ``n_entities`` and ``entity_types`` are added (replacing columns
-of those names). If an identity finds no free surrogate in ``MAX_ATTEMPTS`` tries, the
+rows are each rewritten alike; an empty table gives no rows; extra columns stay under any
+name, while ``text`` is replaced and ``n_entities`` and ``entity_types`` are added (replacing
+columns of those names; mentions without a title are not counted). If an identity finds no free surrogate in ``MAX_ATTEMPTS`` tries, the
 job raises.
 """
 
@@ -129,7 +130,7 @@ def surrogate(name: Column, identity: Column, attempt: Column, key: str) -> Colu
         .when(name == "PHONE", F.concat(F.left(identity, F.lit(1)), F.substr(swap(identity), F.lit(2))))
         .when(name == "SSN", swap(identity))
         .when(name == "CARD", F.concat(card, last.cast("string")))
-        .when(name == "IP", F.concat_ws(".", F.lit("10"), octet(0), octet(1), octet(2)))
+        .when(name == "IP", F.concat_ws(".", F.when(attempt < 4, "10").otherwise((240 + draw(d, F.lit(3), 16)).cast("string")), octet(0), octet(1), octet(2)))
         .when(name == "SECRET", hex_)
         .when(name == "GIVEN_F", named("F")).when(name == "GIVEN_M", named("M")).when(name == "GIVEN_N", named("N"))
         .when(name == "SURNAME", named("S"))
@@ -191,6 +192,32 @@ def hits(text: Column) -> Column:
     return F.transform(typed, lambda x: F.struct(x["type"], x["hit"], parts(x["type"], x["hit"]).alias("parts")))
 
 
+def spelled_names(found: Column) -> Column:
+    """The given names and surnames of PERSON matches as they are spelled: (word, type, identity)."""
+
+    def one(x: Column) -> Column:
+        _, given, surname = names(x["hit"])
+        words = F.filter(F.array(F.regexp_replace(given, r"[ \x{A0}]", ""), surname), lambda w: w != "")
+        return F.zip_with(words, x["parts"], lambda w, p: F.struct(w.alias("word"), p["type"].alias("type"), p["identity"].alias("identity")))
+
+    return F.flatten(F.transform(F.filter(found, lambda x: x["type"] == "PERSON"), one))
+
+
+def without_names(s: Column, named: Column, attempts: Column, key: str) -> Column:
+    """A stretch of text with later mentions of these names, without a title, replaced by their surrogates; words as spelled or in capitals."""
+    words = F.array_distinct(F.flatten(F.transform(named, lambda n: F.array(n["word"], F.upper(n["word"])))))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+    def new(h: Column) -> Column:
+        n = F.get(F.filter(named, lambda n: n["identity"] == F.lower(h)), F.lit(0))
+        attempt = F.coalesce(F.try_element_at(attempts, F.concat_ws("|", n["type"], n["identity"])), F.lit(0))
+        return like(surrogate(n["type"], n["identity"], attempt, key), h)
+
+    kept = F.split(s, pattern, -1)
+    put = F.concat(F.transform(F.regexp_extract_all(s, pattern, F.lit(0)), new), F.array(F.lit("")))
+    return joined(F.zip_with(kept, put, lambda a, b: F.concat(a, b)))
+
+
 def assigned(identities: DataFrame, key: str) -> DataFrame:
     """(type, identity, attempt, surrogate): distinct within each type, and no surrogate is an identity of the type."""
     todo, done = identities, None
@@ -210,32 +237,35 @@ def assigned(identities: DataFrame, key: str) -> DataFrame:
 
 def pseudonymised(documents: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(documents with surrogates, the table of surrogates). Keep the second apart: it undoes the first."""
-    docs = documents.drop("n_entities", "entity_types").withColumn("text", F.col("text").cast("string"))
-    found = docs.select("text").filter(F.col("text").rlike(HINT)).select(F.explode(hits(F.col("text"))).alias("x"))
+    documents = documents.drop("n_entities", "entity_types").withColumn("text", F.col("text").cast("string"))
+    # columns by number, so that no name of the input is in the way
+    names_ = documents.columns
+    docs = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names_)])
+    text = F.col(f"c{names_.index('text')}")
+    found = docs.filter(text.rlike(HINT)).select(F.explode(hits(text)).alias("x"))
     identities = written(found.select(F.explode("x.parts").alias("p")).select("p.type", "p.identity").distinct(), "identities")
     table = assigned(identities, key)
     again = written(table.filter("attempt > 0").select("type", "identity", "attempt"), "exceptions")
 
-    row = F.xxhash64("text")
+    row = F.xxhash64(text)
     if again.isEmpty():
         docs = docs.withColumn("attempts", F.lit(None).cast("map<string,int>"))
     else:
-        mentions = docs.filter(F.col("text").rlike(HINT)).select(row.alias("row"), F.explode(F.flatten(F.transform(hits(F.col("text")), lambda x: x["parts"]))).alias("p"))
+        mentions = docs.filter(text.rlike(HINT)).select(row.alias("row"), F.explode(F.flatten(F.transform(hits(text), lambda x: x["parts"]))).alias("p"))
         mentions = mentions.select("row", "p.type", "p.identity").distinct().join(again, ["type", "identity"])
         entry = F.struct(F.concat_ws("|", "type", "identity"), "attempt")
         attempts = written(mentions.groupBy("row").agg(F.map_from_entries(F.collect_set(entry)).alias("attempts")), "attempts")
         docs = docs.withColumn("row", row).join(attempts, "row", "left").drop("row")
 
-    docs = docs.withColumn("hits", hits(F.col("text")))
+    docs = docs.withColumn("hits", hits(text)).withColumn("named", spelled_names(F.col("hits")))
     new = F.transform("hits", lambda x: rendered(x["type"], x["hit"], x["parts"], F.col("attempts"), key))
-    between = F.split(F.col("text"), ANY, -1)
+    between = F.split(text, ANY, -1)
+    between = F.when(F.size("named") > 0, F.transform(between, lambda s: without_names(s, F.col("named"), F.col("attempts"), key))).otherwise(between)
     padded = F.concat(new, F.array(F.lit("")))
     rewritten = joined(F.zip_with(between, padded, lambda a, b: F.concat(a, b)))
-    out = docs.withColumns({
-        "text": F.when(F.size("hits") > 0, rewritten).otherwise(F.col("text")),
-        "n_entities": F.coalesce(F.size("hits"), F.lit(0)).cast("long"),
-        "entity_types": F.transform("hits", lambda x: x["type"]),
-    })
-    return out.drop("hits", "attempts"), table
-
-
+    out = {f"c{k}": c for k, c in enumerate(names_)}
+    docs = docs.select(
+        *[(F.when(F.size("hits") > 0, rewritten).otherwise(text) if c == "text" else F.col(k)).alias(c) for k, c in out.items()],
+        F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_entities"), F.transform("hits", lambda x: x["type"]).alias("entity_types"),
+    )
+    return docs, table
