@@ -174,6 +174,41 @@ def test_kept_documents_keep_their_columns(spark):
     assert out.columns == df.columns and [(r.doc_id, r.kept, r.n_words) for r in out.collect()] == [(1, "mine", -1)]
 
 
+def test_fitted_bands(spark):
+    """Lines and spreads against numpy; prose held out is kept, marks and mixed letters are not; no sample rejects nothing."""
+    r = random.Random(12)
+    syllables = ["ra", "ne", "to", "lis", "mo", "ver", "da", "chi", "pol", "us"]
+    prose = lambda k: " ".join("".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(k))
+    junk = lambda k: " ".join("".join(r.choices("xzqjk#$%{}0123456789", k=r.randint(2, 9))) for _ in range(k))
+    rows = [(k, prose(r.randint(15, 300)), "la", "s", 1) for k in range(120)] + [(200 + k, junk(r.randint(40, 200)), "la", "s", 1) for k in range(20)] + [(300, "где мы были вчера вечером когда шёл дождь и все спали", "ru", "s", 1), (301, None, None, None, None), (302, "", "la", "s", 0), (303, prose(30), "xx", "s", 1)]
+    labels = spark.createDataFrame([(k, 1) for k in range(100)] + [(k, 0) for k in range(200, 205)] + [(None, 1), (5, 1)], "doc_id long, quality int")
+    docs = frame(spark, rows)
+    p, q = vocabulary_path("piece_bpe_32k.model"), vocabulary_path("byte_bpe_multi_50k.tiktoken")
+    count = lambda df: quality.counts(df, p, q, ["doc_id", "lang"])
+    sample = quality.label_sample(docs, labels)
+    assert sorted(x.doc_id for x in sample.collect()) == list(range(100)) and quality.label_sample(docs, labels, 7).count() == 7
+    fitted = quality.fit_bands(count(sample))
+    got_ = {(x.lang, x.script): x.bands for x in fitted.collect()}
+    assert set(got_) == {("la", "Latin"), (None, None)}
+    used = [x for x in quality.measured(count(sample)).collect() if not x.base_failed]
+    n = np.array([x.n_tokens for x in used], float)
+    for m in quality.MEASURES:
+        v = np.array([x[m] for x in used])
+        slope, level = np.polyfit(np.log(n), v, 1)
+        e = (v - level - slope * np.log(n)) ** 2
+        per, fixed = np.polyfit(1 / n, e, 1)
+        want = (max(fixed, quality.LEAST_SPREAD**2), per) if per > 1e-12 else (max(e.mean(), quality.LEAST_SPREAD**2), 0)
+        b = got_["la", "Latin"][m]
+        assert np.allclose((b.level, b.slope, b.fixed, b.per_token), (level, slope, *want), atol=1e-6)
+    out = {x.doc_id: x for x in quality.judged_by_fit(count(docs), fitted).collect()}
+    good, bad = [out[k] for k in range(100, 120)], [out[k] for k in range(200, 220)]
+    assert sum(x.band_failed for x in good) <= 1 and sum(x.band_failed for x in bad) >= 19
+    assert out[300].script == "Cyrillic" and out[301].script is None and not out[301].kept and not out[302].kept and out[303].kept
+    none = quality.fit_bands(count(docs.limit(0)))
+    assert not any(x.band_failed for x in quality.judged_by_fit(count(docs), none).collect())
+    assert quality.judged_by_fit(count(docs.limit(0)), fitted).count() == 0
+
+
 # 3
 
 
@@ -201,7 +236,17 @@ def test_suffix_dedup(spark, monkeypatch, n, width, rows_per_slice):
 
 def test_suffix_dedup_edges(spark):
     assert suffix_dedup.remove_repeats(frame(spark, corpus(3)).limit(0)).count() == 0
-    assert [r.n_removed for r in suffix_dedup.remove_repeats(frame(spark, [(None, "abc" * 300, None, None, None)])).collect()] == [0]
+    # the contract judges every document, one without an id too
+    assert [r.n_removed for r in suffix_dedup.remove_repeats(frame(spark, [(None, "abc" * 300, None, None, None)])).collect()] == [900]
+
+
+def test_suffix_dedup_judges_rows_without_an_id(spark):
+    """Each is a document: it matches others, with an id or without, and repeated rows match each other."""
+    r = random.Random(4)
+    a, b = ("".join(r.choices("abcdefgh ", k=900)) for _ in range(2))
+    rows = [(None, a, "en", "s", 1), (7, "x" + a[:500], "en", "s", 1), (None, b, "en", "s", 1), (None, b, "en", "s", 1), (None, None, "en", "s", 1), (8, "abc", "en", "s", 1), (8, "y" * 399, "en", "s", 1)]
+    out = suffix_dedup.remove_repeats(frame(spark, rows).withColumn("own_id", F.lit("mine")))
+    assert sorted((str(x.doc_id), x.n_bytes, x.n_removed) for x in out.collect()) == [("7", 501, 500), ("8", 3, 0), ("8", 399, 0), ("None", 0, 0), ("None", 900, 500), ("None", 900, 900), ("None", 900, 900)]
 
 
 def test_multikey_sort():
@@ -346,6 +391,12 @@ def test_edit_distance():
             p = q
         assert line_dedup.edit_distance(a, b, 1000) == p[-1]
         assert (line_dedup.edit_distance(a, b, 8) > 8) == (p[-1] > 8)
+    # many at a time give the same
+    texts = ["".join(r.choices("abcdé漢", k=k)) for k in (0, 1, 2, 63, 64, 65, 127, 128, 129, 300, 1025, 1100)]
+    texts += [t[:9] + "x" * (len(t) // r.choice((4, 6))) + t[9 + len(t) // 5 :] for t in texts]
+    pairs = list(itertools.combinations(texts, 2))
+    want = [line_dedup.edit_distance(a, b, 10_000) * 100 <= 20 * max(len(a), len(b)) for a, b in pairs]
+    assert line_dedup.similar(pairs, 80).tolist() == want and 5 < sum(want) < len(want)
 
 
 # 5
@@ -387,6 +438,41 @@ def test_token_ledger(spark, tmp_path):
         ledger.commit(spark.createDataFrame([("odd", "a", "en", "v1", 1, 1)], schema), 4)
 
 
+def test_token_ledger_folds_and_recommits(spark, tmp_path):
+    schema = "op string, source string, lang string, tokenizer_version string, old_tokens long, new_tokens long"
+    feed = lambda *rows: spark.createDataFrame(list(rows), schema)
+    one, two = ("insert", "a", "en", "v", None, 5), ("insert", "b", "en", "v", None, 7)
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
+    total = lambda: got(ledger.totals(), "source", "n_docs", "n_tokens")
+    ledger.commit(feed(one), 1)
+    ledger.commit(feed(), 1)  # an emptied batch replaces what it held
+    assert total() == []
+    ledger.commit(feed(one), 1)
+    ledger.commit(feed(one, two), 2)
+    ledger.fold()
+    ledger.fold()
+    assert ledger.folded() == (1, {1, 2}) and total() == [("a", 2, 10), ("b", 1, 7)]
+    ledger.commit(feed(one), 1)  # closed: the same again changes nothing
+    with pytest.raises(ValueError):
+        ledger.commit(feed(two), 1)
+    ledger.commit(feed(("delete", "a", "en", "v", 5, None), ("revise", "b", "en", "v", 7, 9)), 3)
+    assert total() == [("a", 1, 5), ("b", 1, 9)]
+    # a fold that was cut short before its note: the rollup is written again
+    ledger.totals().write.parquet(str(tmp_path / "ledger/rollups/version=2"))
+    assert total() == [("a", 1, 5), ("b", 1, 9)]
+    ledger.fold()
+    assert ledger.folded() == (2, {1, 2, 3}) and total() == [("a", 1, 5), ("b", 1, 9)]
+
+
+def test_vocabulary_counts(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path("word_bpe_49k.json")
+    tok, rows = Tokenizer.from_file(path), corpus(16, 20)
+    out = token_counts.vocabulary_counts(frame(spark, rows), path, "bpe-49k")
+    assert got(out, "doc_id", "bpe-49k") == sorted((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
+
+
 # 7
 
 
@@ -511,6 +597,21 @@ def test_pii(spark):
     assert pii.pseudonymised(df.limit(0), "key")[0].count() == 0
 
 
+def test_pii_names_without_a_title(spark):
+    """Later mentions of a titled name get the same surrogates; parts of other words, other documents and columns of inner names stay."""
+    texts = ["Frau Anna-Lena O'Neil kam. Anna-Lena sah O'Neil und O'NEIL; Annale blieb.", "O'Neil alone", "госпожа Анна Иванова и Иванова, Ивановадом", "Mr. Roe " + "w " * 40_000 + "Roe."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"hits": F.lit("h"), "attempts": F.lit(1), "row": F.lit(2), "named": F.lit("n"), "c0": F.lit("c")})
+    rows = pii.pseudonymised(df, "key")[0].orderBy("doc_id").collect()
+    a, b, c, d = (r.text for r in rows)
+    m = re.fullmatch(r"Frau (\S+) (\S+) kam\. (\S+) sah (\S+) und (\S+); Annale blieb\.", a)
+    assert m and m[1] == m[3] and m[2] == m[4] and m[5] == m[2].upper() and "Neil" not in a and "Lena" not in a
+    assert b == "O'Neil alone"
+    m = re.fullmatch(r"госпожа (\S+) (\S+) и (\S+), Ивановадом", c)
+    assert m and m[2] == m[3] != "Иванова"
+    assert re.fullmatch(r"Mr\. (\w+) (?:w )+\1\.", d) and "Roe" not in d
+    assert {(r.hits, r.attempts, r.row, r.named, r.c0) for r in rows} == {("h", 1, 2, "n", "c")}
+
+
 def test_pii_names_outgrow_their_space(spark, monkeypatch):
     """More surnames than the first attempt has surrogates (2 ** 3 * 4)."""
     monkeypatch.setattr(pii, "SYLLABLES", {k: v[:2] * 16 for k, v in pii.SYLLABLES.items()})
