@@ -55,6 +55,6 @@ def visible(text: Column, show_spaces: bool = True) -> Column:
         out = F.replace(F.replace(p, F.lit("\n"), F.lit("⏎\n")), F.lit("\t"), F.lit("→"))
         return F.replace(out, F.lit(" "), F.lit("·")) if show_spaces else out
 
-    shown = F.transform(F.regexp_extract_all(text, F.lit(UNSEEN), F.lit(0)), escape_scalar)
+    shown = F.transform(F.regexp_extract_all(text, F.lit(UNSEEN), F.lit(0)), lambda c: escape_scalar(c))
     between = F.transform(F.split(text, UNSEEN, -1), plain)
     return F.array_join(F.zip_with(between, F.concat(shown, F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.catalogue import catalogue
-from lexigrain.operators.scan import find_characters, matches, positions
+from lexigrain.operators.scan import any_of, find_characters, matches, positions
 from lexigrain.sources.containers import members as read_members
 
 #: Member names that hold text, by extension.
@@ -108,11 +108,8 @@ PDF_OPERATORS = [
 def find_in_pdf(streams: DataFrame) -> DataFrame:
     """Text operators that paint nothing, in streams with text blocks."""
     content = streams.filter(F.col("text").rlike(r"\bBT\b") & F.col("text").rlike(r"\bET\b"))
-    out = None
-    for name, pattern in PDF_OPERATORS:
-        rows = _shaped(matches(content, pattern), name, "warning", category="pdf")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = any_of(content, [(pattern,) for _, pattern in PDF_OPERATORS])
+    return _shaped(rows, F.get(F.lit([name for name, _ in PDF_OPERATORS]), F.col("rule")), "warning", category="pdf")
 
 
 def find_in_containers(files: DataFrame) -> tuple[DataFrame, DataFrame]:

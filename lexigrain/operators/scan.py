@@ -41,30 +41,29 @@ def positions(text: Column, index: Column) -> dict[str, Column]:
     }
 
 
-def _ahead(a: Column, b: Column) -> Column:
-    """How far one piece after another gets: characters, bytes, line feeds, characters since the last of these."""
-    tail = F.when(b["lines"] > 0, b["tail"]).otherwise(a["tail"] + b["tail"])
-    return F.struct((a["chars"] + b["chars"]).alias("chars"), (a["bytes"] + b["bytes"]).alias("bytes"), (a["lines"] + b["lines"]).alias("lines"), tail.alias("tail"))
+# Expressions as SQL text: there are many small ones, and the parser builds them at once.
 
 
-def _extent(s: Column) -> Column:
-    long = lambda c, name: c.cast("long").alias(name)
-    tail = F.length(F.substring_index(s, "\n", -1))
-    return F.struct(long(F.length(s), "chars"), long(F.octet_length(s), "bytes"), long(F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit(""))), "lines"), long(tail, "tail"))
+def _ahead(a: str, b: str) -> str:
+    """How far one piece after another gets: characters, bytes, line feeds, characters since the last of these."""
+    sums = ", ".join(f"'{c}', {a}.{c} + {b}.{c}" for c in ("chars", "bytes", "lines"))
+    return f"named_struct({sums}, 'tail', if({b}.lines > 0, {b}.tail, {a}.tail + {b}.tail))"
 
 
-def _sum(a: Column) -> Column:
-    zero = F.lit(0).cast("long")
-    return F.aggregate(a, F.struct(zero.alias("chars"), zero.alias("bytes"), zero.alias("lines"), zero.alias("tail")), _ahead)
+def _extent(s: str) -> str:
+    return (
+        f"named_struct('chars', bigint(length({s})), 'bytes', bigint(octet_length({s})), 'lines', bigint(length({s}) - length(replace({s}, chr(10), ''))), "
+        f"'tail', bigint(length(substring_index({s}, chr(10), -1))))"
+    )
 
 
-def _count(a: Column, n: int = BLOCK) -> Column:
-    return F.ceil(F.size(a) / n).cast("int")
+def _sum(a: str) -> str:
+    return f"aggregate({a}, named_struct('chars', 0L, 'bytes', 0L, 'lines', 0L, 'tail', 0L), (p, q) -> {_ahead('p', 'q')})"
 
 
-def _numbers(n: Column) -> Column:
+def _numbers(n: str) -> str:
     """0 to n - 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return f"if({n} > 0, sequence(0, int({n}) - 1), cast(array() as array<int>))"
 
 
 def _running(df: DataFrame, name: str, depth: int = 2) -> DataFrame:
@@ -72,35 +71,44 @@ def _running(df: DataFrame, name: str, depth: int = 2) -> DataFrame:
 
     Sums within a block of ``BLOCK``, and before each block by the same means ``depth`` times.
     """
-    a = F.col(name)
-    within = lambda first: F.transform(_numbers(F.least(F.lit(BLOCK), F.size(a) - first)), lambda j: _sum(F.slice(a, first + 1, j + 1)))
     if not depth:
-        return df.withColumn(name, F.transform(_numbers(F.size(a)), lambda j: _sum(F.slice(a, F.lit(1), j + 1))))
-    blocks = f"{name}b"
-    df = df.withColumn(blocks, F.transform(_numbers(_count(a)), lambda k: _sum(F.slice(a, k * BLOCK + 1, BLOCK))))
+        return df.withColumn(name, F.expr(f"transform({_numbers(f'size({name})')}, j -> {_sum(f'slice({name}, 1, j + 1)')})"))
+    blocks, each = f"{name}b", _numbers(f"ceil(size({name}) / {BLOCK})")
+    df = df.withColumn(blocks, F.expr(f"transform({each}, k -> {_sum(f'slice({name}, k * {BLOCK} + 1, {BLOCK})')})"))
     df = _running(df, blocks, depth - 1)
-    sums = F.transform(_numbers(_count(a)), lambda k: F.when(k == 0, within(F.lit(0))).otherwise(F.transform(within(k * BLOCK), lambda x: _ahead(F.get(blocks, k - 1), x))))
-    return df.withColumn(name, F.flatten(sums)).drop(blocks)
+    count = _numbers(f"least({BLOCK}, size({name}) - k * {BLOCK})")
+    within = f"transform({count}, j -> {_sum(f'slice({name}, k * {BLOCK} + 1, j + 1)')})"
+    sums = f"transform({each}, k -> if(k = 0, {within}, transform({within}, x -> {_ahead(f'get({blocks}, k - 1)', 'x')})))"
+    return df.withColumn(name, F.expr(f"flatten({sums})")).drop(blocks)
 
 
-def matches(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """A row per match with ``hit``, ``hit_no`` and position columns; texts without one are skipped early."""
-    t = F.col(text)
+#: A piece: the match before it and the text up to the next one.
+PIECES = f"zip_with(concat(array(''), _hits), _parts, (h, p) -> {_extent('concat(h, p)')})"
+
+
+def matches(df: DataFrame, pattern: str | Column, text: str = "text") -> DataFrame:
+    """A row per match with ``hit``, ``hit_no`` and position columns; texts without one are skipped early. A pattern may be a column."""
+    t, pattern = F.col(text), F.lit(pattern)
     df = df.drop("hit", "hit_no", *POSITIONS)
-    found = df.filter(t.rlike(pattern)).withColumns({"_hits": F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), "_parts": F.split(t, pattern, -1)})
-    # a piece: the match before it and the text up to the next one
-    pieces = F.zip_with(F.concat(F.array(F.lit("")), F.col("_hits")), F.col("_parts"), lambda h, p: _extent(F.concat(h, p)))
-    found = _running(found.withColumn("_at", pieces).drop("_parts"), "_at")
-    rows = found.select(*df.columns, F.posexplode(F.zip_with("_hits", F.slice("_at", 1, F.size("_hits")), lambda h, x: F.struct(h.alias("hit"), x.alias("x")))).alias("hit_no", "m"))
-    x = F.col("m.x")
-    return rows.select(*df.columns, "hit_no", "m.hit", x["chars"].alias("scalar_index"), x["bytes"].alias("byte_offset"), (x["lines"] + 1).alias("line"), (x["tail"] + 1).alias("column"))
+    found = df.filter(F.rlike(t, pattern)).withColumns({"_hits": F.regexp_extract_all(t, pattern, F.lit(0)), "_parts": F.split(t, pattern, -1)})
+    found = _running(found.withColumn("_at", F.expr(PIECES)).drop("_parts"), "_at")
+    rows = found.select(*df.columns, F.posexplode(F.expr("zip_with(_hits, slice(_at, 1, size(_hits)), (h, x) -> named_struct('hit', h, 'x', x))")).alias("hit_no", "m"))
+    return rows.select(*df.columns, "hit_no", "m.hit", *(F.expr(x) for x in ("m.x.chars as scalar_index", "m.x.bytes as byte_offset", "m.x.lines + 1 as line", "m.x.tail + 1 as column")))
+
+
+def any_of(df: DataFrame, patterns: list[tuple], text: str = "text") -> DataFrame:
+    """The rows of ``matches`` for several patterns in one pass, each with ``rule``: the number of its pattern, the first member of the tuples in ``patterns``."""
+    rules = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(p[0]).alias("pattern")) for k, p in enumerate(patterns)])
+    one = df.withColumn("_rule", F.explode(F.filter(rules, lambda r: F.rlike(F.col(text), r["pattern"]))))
+    return matches(one.withColumns({"rule": F.col("_rule.rule"), "_rule": F.col("_rule.pattern")}), F.col("_rule"), text).drop("_rule", "hit_no")
 
 
 def matches_dense(df: DataFrame, pattern: str, key: list[str], text: str = "text") -> DataFrame:
     """(key, hit, positions) by running sums per key: rows are short, no text is shuffled."""
     t = F.col(text)
-    pieces = F.zip_with(F.concat(F.array(F.lit("")), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), F.split(t, pattern, -1), lambda h, p: F.struct(h.alias("before"), _extent(F.concat(h, p)).alias("e")))
-    rows = df.filter(t.rlike(pattern)).select(*key, F.posexplode(pieces).alias("i", "p")).select(*key, "i", "p.before", "p.e.*")
+    found = df.filter(t.rlike(pattern)).select(*key, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("_hits"), F.split(t, pattern, -1).alias("_parts"))
+    pieces = f"zip_with(concat(array(''), _hits), _parts, (h, p) -> named_struct('before', h, 'e', {_extent('concat(h, p)')}))"
+    rows = found.select(*key, F.posexplode(F.expr(pieces)).alias("i", "p")).select(*key, "i", "p.before", "p.e.*")
     w = Window.partitionBy(*key).orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({

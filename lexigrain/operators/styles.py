@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.operators.scan import matches
+from lexigrain.operators.scan import any_of
 
 # Fixed values: (name, pattern, severity in markup, severity in style sheets).
 IDIOMS = [
@@ -22,18 +20,16 @@ IDIOMS = [
     ("HIDDEN_STYLE_CLIP", r"clip(?:-path)?\s*:\s*(?:rect\(\s*0(?:px)?[,\s]+0(?:px)?[,\s]+0(?:px)?[,\s]+0(?:px)?\s*\)|inset\(\s*50%\s*\))", "info", "info"),
 ]
 MARKUP = [".html", ".htm", ".svg", ".md", ".xml"]
-RANK = {"info": 1, "warning": 2}
 
 
 def find_hidden_styles(df: DataFrame, extension: Column, text: str = "text") -> DataFrame:
     """A row per match; ``extension`` says whether a text is markup, a style sheet, or neither (no rows)."""
     wanted = df.withColumn("_css", extension == ".css").filter(extension.isin(*MARKUP, ".css"))
-    parts = []
-    for name, pattern, markup, css in IDIOMS:
-        rows = matches(wanted, f"(?i){pattern}", text).drop("hit_no")
-        severity = F.when(F.col("_css"), css).otherwise(markup)
-        parts.append(rows.withColumns({
-            "name": F.lit(name), "category": F.lit("markup"), "severity": severity, "severity_rank": F.when(F.col("_css"), RANK[css]).otherwise(RANK[markup]),
-            "safety": F.lit("ambiguous"), "fix": F.lit("review"), "code_point": F.lit(None).cast("long"), "utf8_hex": F.lit(None).cast("string"),
-        }))
-    return reduce(DataFrame.unionByName, parts).drop("_css")
+    rows = any_of(wanted, [(f"(?i){pattern}",) for _, pattern, _, _ in IDIOMS], text)
+    by_rule = lambda values: F.get(F.lit(values), F.col("rule"))
+    severity = F.when(F.col("_css"), by_rule([css for *_, css in IDIOMS])).otherwise(by_rule([markup for *_, markup, _ in IDIOMS]))
+    rows = rows.withColumns({
+        "name": by_rule([name for name, *_ in IDIOMS]), "category": F.lit("markup"), "severity": severity,
+        "safety": F.lit("ambiguous"), "fix": F.lit("review"), "code_point": F.lit(None).cast("long"), "utf8_hex": F.lit(None).cast("string"),
+    })
+    return rows.withColumn("severity_rank", F.when(F.col("severity") == "warning", 2).otherwise(1)).drop("_css", "rule")

@@ -10,8 +10,10 @@ from lexigrain.functions import render, strings
 from lexigrain.functions import text as T
 from lexigrain.operators import fixes, legacy, office, repair, report, scan, styles, transform
 from lexigrain.plans.audit import audit
-from lexigrain.plans.planting import PLANTED_SQL, SPACED_SQL, STYLED_SQL, planted, spaced, styled
+from lexigrain.plans.files import scan_files
+from lexigrain.plans.planting import PLANTED_SQL, SPACED_SQL, STYLED_SQL, packed, planted, spaced, styled
 from lexigrain.plans.settings import Settings
+from lexigrain.plans.validation import validated
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -188,7 +190,7 @@ SHOWN = rf"""CASE WHEN name IS NOT NULL THEN '⟦U+' || CASE WHEN length(hex(cod
 @query(f"""{SCAN} SELECT doc_id, sha256(coalesce(string_agg(CASE c WHEN chr(10) THEN '⏎' || chr(10) WHEN chr(9) THEN '→' WHEN ' ' THEN '·' ELSE {SHOWN} END, '' ORDER BY scalar_index), '')) AS shown
   FROM pos LEFT JOIN cat ON unicode(c) = code_point GROUP BY doc_id""")
 def visible(spark, sf_dir):
-    return planted(documents(spark, sf_dir)).filter("text <> ''").select("doc_id", repair.sha256_of(render.visible(F.col("text"))).alias("shown"))
+    return planted(documents(spark, sf_dir)).select("doc_id", repair.sha256_of(render.visible(F.col("text"))).alias("shown"))
 
 
 @query(f"""{SCAN}, s AS (SELECT doc_id, scalar_index, CASE c WHEN chr(10) THEN '⏎' WHEN chr(9) THEN '⇥' ELSE {SHOWN} END AS x, name FROM pos LEFT JOIN cat ON unicode(c) = code_point),
@@ -340,13 +342,28 @@ def repair_decisions(spark, sf_dir):
   SELECT doc_id, sha256(string_agg(c, '' ORDER BY scalar_index)) AS output_sha256, sum(e)::BIGINT AS n_edits FROM r GROUP BY doc_id""")
 def repaired_copies(spark, sf_dir):
     docs, items = _plan(spark, sf_dir)
-    return repair.applied(docs.filter("text <> ''"), items, "doc_id")[0].select("doc_id", "output_sha256", "n_edits")
+    return repair.applied(docs, items, "doc_id")[0].select("doc_id", "output_sha256", "n_edits")
 
 
-@query("SELECT doc_id, text AS name, doc_id AS excess FROM documents WHERE false")
+@query(f"""{SCAN} SELECT 'original' AS version, doc_id, name, count(*) AS excess FROM f WHERE {DECIDED} = 'approved' GROUP BY ALL""")
 def repair_verification(spark, sf_dir):
+    """What a new scan finds beyond the plan's remainder: nothing in the copies, every approved item in the originals."""
     docs, items = _plan(spark, sf_dir)
-    return repair.unexpected(repair.applied(docs, items, "doc_id")[0], items, "doc_id")
+    copies = repair.unexpected(repair.applied(docs, items, "doc_id")[0], items, "doc_id").withColumn("version", F.lit("copy"))
+    return copies.unionByName(repair.unexpected(docs, items, "doc_id").withColumn("version", F.lit("original"))).select("version", "doc_id", "name", "excess")
+
+
+@query(f"""{SCAN}, {MARKS}, p AS (SELECT doc_id, name, {DECIDED} AS decision FROM f UNION ALL SELECT doc_id, 'ZALGO_RUN', 'kept' FROM z),
+  k AS (SELECT doc_id, count(*) FILTER (decision <> 'approved') AS n_kept, count(*) FILTER (decision = 'approved') AS n_applied FROM p GROUP BY doc_id)
+  SELECT doc_id, n_kept, n_applied, true AS verified FROM k""")
+def repair_records(spark, sf_dir):
+    """Stored plans, read back into items, applied, and verified from their provenance."""
+    docs, items = _plan(spark, sf_dir)
+    again = repair.plan_items(repair.plans(items, "doc_id", {"threshold": "info"}), "doc_id")
+    copies = repair.applied(docs, again, "doc_id")[0]
+    records = repair.provenance(copies, again, "doc_id")
+    counts = records.select("doc_id", F.size("kept").cast("long").alias("n_kept"), F.size("applied").cast("long").alias("n_applied"))
+    return counts.join(repair.verified(copies, records, "doc_id").select("doc_id", "verified"), "doc_id")
 
 
 @query()
@@ -384,18 +401,62 @@ def entity_references(spark, sf_dir):
     return office.find_entities(styled(table(spark, sf_dir, "pages"))).select("page_id", "code_point", "name", "severity")
 
 
+# packages and files
+
+# what the files of ``planting.packed`` hide: characters of their text node, placed in the member, and a mark of their kind
+PACKED = f"""{SCAN}, k AS (SELECT doc_id, doc_id % 4 AS kind, doc_id || ['.docx', '.pptx', '.xlsx', '.pdf'][doc_id % 4 + 1] AS path FROM planted WHERE doc_id % 11 <> 10),
+  g AS (SELECT doc_id, scalar_index, c, coalesce(sum(CASE c WHEN '&' THEN 4 WHEN '<' THEN 3 WHEN '>' THEN 3 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY scalar_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS more FROM pos),
+  texts AS (SELECT path, name, (scalar_index + more + CASE kind WHEN 0 THEN 10 WHEN 1 THEN CASE WHEN doc_id % 2 = 1 THEN 23 ELSE 12 END ELSE 3 END)::BIGINT AS scalar_index, NULL AS detail FROM g JOIN k USING (doc_id) JOIN cat ON unicode(c) = code_point WHERE kind < 3),
+  marks AS (SELECT path, CASE WHEN kind = 0 AND doc_id % 2 = 0 THEN 'OOXML_HIDDEN_RUN' WHEN kind = 1 AND doc_id % 2 = 1 THEN 'OOXML_HIDDEN_SHAPE' WHEN kind = 2 AND doc_id % 3 < 2 THEN 'EMPTY_FORMULA_CELL' WHEN kind = 3 THEN (['PDF_INVISIBLE_TEXT', 'PDF_ZERO_FONT', 'PDF_ZERO_WIDTH', NULL])[doc_id % 4 + 1] END AS name,
+    CASE WHEN kind = 2 THEN 'S' || doc_id || '!B' || (doc_id % 7 + 1) || ': SUM(A1), cached value ' || CASE doc_id % 3 WHEN 0 THEN 'absent' ELSE 'empty' END END AS detail FROM k)"""
+
+
+@query(f"{PACKED} SELECT path, name, scalar_index, detail FROM texts UNION ALL SELECT path, name, NULL, detail FROM marks WHERE name IS NOT NULL")
+def package_findings(spark, sf_dir):
+    """Findings in packages and PDF files; the places of run, shape, cell and operator marks are left out."""
+    found_ = office.find_in_containers(packed(documents(spark, sf_dir)))[0]
+    return found_.select("path", "name", F.when(F.col("code_point").isNotNull(), F.col("scalar_index")).alias("scalar_index"), "detail")
+
+
+@query(f"""{PACKED}, n AS (SELECT path, count(*) AS n FROM (SELECT path FROM texts UNION ALL SELECT path FROM marks WHERE name IS NOT NULL) GROUP BY path)
+  SELECT doc_id || ['.docx', '.pptx', '.xlsx', '.pdf'][doc_id % 4 + 1] AS path, coalesce(n, 0)::BIGINT AS n_findings, doc_id % 11 = 10 AS failed FROM planted LEFT JOIN n ON n.path = doc_id || ['.docx', '.pptx', '.xlsx', '.pdf'][doc_id % 4 + 1]""")
+def scanned_files(spark, sf_dir):
+    """Every file with its number of findings, and whether it could not be read."""
+    return scan_files(packed(documents(spark, sf_dir)))[1].select("path", "n_findings", F.col("error").isNotNull().alias("failed"))
+
+
+#: A schema for the records of ``record_problems``.
+RECORD = {
+    "type": "object", "required": ["id", "text"], "additionalProperties": False,
+    "properties": {"id": {"type": "integer", "minimum": 10, "maximum": 800}, "text": {"type": "string", "pattern": "[a-z]"}, "lang": {"enum": ["en", "de", None]}, "at": {"type": "string", "format": "date-time"}, "tags": {"type": "array", "minItems": 1, "items": {"type": ["string", "null"]}}, "kind": {"const": "doc"}, "other": {"anyOf": [{"type": "null"}, {"type": "boolean"}]}},
+}
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN text IS NULL THEN '$: missing required key "text"' END, CASE WHEN doc_id % 5 = 0 THEN '$: unexpected key "n"' END,
+  CASE WHEN doc_id < 10 THEN '$.id: ' || doc_id || ' < minimum 10' WHEN doc_id > 800 THEN '$.id: ' || doc_id || ' > maximum 800' END, CASE WHEN NOT regexp_matches(text, '[a-z]') THEN '$.text: does not match pattern [a-z]' END,
+  CASE WHEN lang NOT IN ('en', 'de') THEN '$.lang: must be one of "en", "de", null' END, CASE WHEN doc_id % 7 = 0 THEN '$.at: not an ISO-8601 date-time' END, CASE WHEN doc_id % 6 = 0 THEN '$.tags: needs at least 1 item(s)' WHEN doc_id % 6 = 1 THEN '$.tags[0]: expected type string,null, got number' END], lambda x: x IS NOT NULL), chr(10)) AS problems FROM documents WHERE doc_id IS NOT NULL""")
+def record_problems(spark, sf_dir):
+    """Documents as JSON records with planted faults, against a schema."""
+    d = table(spark, sf_dir, "documents").filter("doc_id is not null")
+    at = F.when(F.col("doc_id") % 7 == 0, "2026-13-01T00:00:00Z").otherwise("2026-01-01T10:00:00.5+02:00")
+    tags = F.when(F.col("doc_id") % 6 == 0, "[]").when(F.col("doc_id") % 6 == 1, "[1.5]").otherwise('["a",null]')
+    body = F.to_json(F.struct(F.col("doc_id").alias("id"), "text", "lang", at.alias("at"), F.when(F.col("doc_id") % 5 == 0, 1).alias("n"), F.lit("doc").alias("kind"), F.lit(True).alias("other")))
+    record = F.concat(F.substr(body, F.lit(1), F.length(body) - 1), F.lit(',"tags":'), tags, F.lit("}"))
+    return validated(d.select("doc_id", record.alias("record")), RECORD).select("doc_id", F.array_join("problems", "\n").alias("problems"))
+
+
 # scalar functions over the tables
 
 
 @query(r"""SELECT doc_id, t = '' AS is_empty, nullif(substr(t, 4, 1), '') AS char_at, (position('the' IN t) - 1)::BIGINT AS index_of, t[3:8] AS sub, len(string_split(t, 'e'))::BIGINT AS n_parts,
-  reverse(t[1:20]) AS reversed, CASE WHEN length(t[1:5]) < 12 THEN lpad(t[1:5], 12, '*') END AS padded, starts_with(t, 'Th') AS starts, ends_with(t, '.') AS ends, contains(t, 'and') AS has,
-  lower(t[1:9]) AS low, replace(t[1:30], 'e', '3') AS replaced, repeat(t[1:2], 3) AS repeated, try_cast(t[1:3] AS BIGINT) AS parsed, unicode(nullif(t[1:1], ''))::BIGINT AS code FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+  md5(reverse(t)) AS reversed, md5(CASE WHEN length(t) < 3000 THEN lpad(t, 3000, '*') ELSE t END) AS padded, starts_with(t, 'Th') AS starts, ends_with(t, '.') AS ends, contains(t, 'and') AS has,
+  md5(lower(t)) AS low, md5(replace(t, 'e', '3')) AS replaced, md5(repeat(t, 3)) AS repeated, try_cast(nullif(regexp_extract(t, '[0-9]+'), '') AS BIGINT) AS parsed, unicode(nullif(t[1:1], ''))::BIGINT AS code FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def string_functions(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
     return documents(spark, sf_dir).select(
         "doc_id", strings.is_empty(t).alias("is_empty"), strings.char_at(t, 3).alias("char_at"), strings.index_of(t, "the").alias("index_of"), strings.substring(t, 2, 8).alias("sub"), F.size(strings.split(t, "e")).cast("long").alias("n_parts"),
-        F.reverse(F.left(t, F.lit(20))).alias("reversed"), strings.pad_left(F.left(t, F.lit(5)), 12, "*").alias("padded"), F.startswith(t, F.lit("Th")).alias("starts"), F.endswith(t, F.lit(".")).alias("ends"), F.contains(t, F.lit("and")).alias("has"),
-        F.lower(F.left(t, F.lit(9))).alias("low"), F.replace(F.left(t, F.lit(30)), F.lit("e"), F.lit("3")).alias("replaced"), F.repeat(F.left(t, F.lit(2)), 3).alias("repeated"), strings.parse_int(F.left(t, F.lit(3))).alias("parsed"),
+        F.md5(F.reverse(t)).alias("reversed"), F.md5(strings.pad_left(t, 3000, "*")).alias("padded"), F.startswith(t, F.lit("Th")).alias("starts"), F.endswith(t, F.lit(".")).alias("ends"), F.contains(t, F.lit("and")).alias("has"),
+        F.md5(F.lower(t)).alias("low"), F.md5(F.replace(t, F.lit("e"), F.lit("3"))).alias("replaced"), F.md5(F.repeat(t, 3)).alias("repeated"), strings.parse_int(F.nullif(F.regexp_extract(t, "[0-9]+", 0), F.lit(""))).alias("parsed"),
         F.when(t != "", F.ascii(t).cast("long")).alias("code"),
     )
 
@@ -427,17 +488,17 @@ def path_functions(spark, sf_dir):
 
 @query("""SELECT page_id, md5(replace(replace(replace(replace(replace(h, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS html,
   md5(replace(replace(replace(replace(replace(h, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')) AS js,
-  md5(replace(replace(replace(h, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')) AS workflow, lower(hex(encode(substr(h, 1, 40)))) AS hexed FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)""")
+  md5(replace(replace(replace(h, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')) AS workflow, md5(lower(hex(encode(h)))) AS hexed FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)""")
 def escapes(spark, sf_dir):
     h = F.coalesce("html", F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.escape_html(h)).alias("html"), F.md5(T.escape_js(h)).alias("js"), F.md5(T.escape_workflow(h)).alias("workflow"), T.encode_bytes(F.encode(F.left(h, F.lit(40)), "UTF-8")).alias("hexed"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.escape_html(h)).alias("html"), F.md5(T.escape_js(h)).alias("js"), F.md5(T.escape_workflow(h)).alias("workflow"), F.md5(T.encode_bytes(F.encode(h, "UTF-8"))).alias("hexed"))
 
 
-@query("""SELECT doc_id, t AS back, chr(unicode(t[1:1])) AS first FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\x{1}-\\x{FF}]', '', 'g')[1:60] AS t FROM documents) WHERE t <> ''""")
+@query("""SELECT doc_id, md5(t) AS back, chr(unicode(t[1:1])) AS first FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\x{1}-\\x{FF}]', '', 'g') AS t FROM documents) WHERE t <> ''""")
 def hex_round_trip(spark, sf_dir):
-    t = F.left(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x{1}-\x{FF}]", ""), F.lit(60))
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x{1}-\x{FF}]", "")
     rows = documents(spark, sf_dir).select("doc_id", t.alias("t")).filter("t <> ''")
-    return rows.select("doc_id", T.decode_string(T.encode_string(F.col("t"))).alias("back"), strings.int_to_char(F.ascii("t").cast("long")).alias("first"))
+    return rows.select("doc_id", F.md5(T.decode_string(T.encode_string(F.col("t")))).alias("back"), strings.int_to_char(F.ascii("t").cast("long")).alias("first"))
 
 
 @query(f"{ALL} SELECT name, count(*) AS n FROM a WHERE severity_rank >= 2 GROUP BY name")
