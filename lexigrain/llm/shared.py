@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +29,38 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here."""
+#: Tables that ``written`` made inside ``collected`` and that nothing is to keep.
+_left: list[str] = []
+_collecting = False
+
+
+@contextmanager
+def collected() -> Iterator[None]:
+    """Notes what ``written`` makes in here, for ``clear``."""
+    global _collecting
+    before, _collecting = _collecting, True
+    try:
+        yield
+    finally:
+        _collecting = before
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here. ``clear`` spares it with ``keep``."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if _collecting and not keep:
+        _left.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Takes away what ``collected`` has noted. Only where all results that read it are written themselves."""
+    while _left:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_left.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def row_count(df: DataFrame) -> int:
     """Rows of a table that ``written`` made (Parquet footers answer this)."""
     return df.count()

@@ -12,8 +12,8 @@ import numpy as np
 
 from lexigrain.llm.arrays import ranges
 
-#: Words kept in a Python worker's memory (about 120 MB), and bytes of words and ids; then it starts anew.
-MAX_WORDS, MAX_BYTES = 500_000, 64_000_000
+#: Words kept in a Python worker's memory (about 75 MB), and bytes of words and ids; then it starts anew.
+MAX_WORDS, MAX_BYTES = 300_000, 40_000_000
 
 #: Words in an order of the encoder's choice, all their ids, and how many ids each has.
 Encoded = tuple[list[bytes], np.ndarray, np.ndarray]
