@@ -12,21 +12,26 @@ for the next one. All but the last return the columns of ``documents``:
 4. benchmark_decontamination: documents that hold a passage of a benchmark item go.
 5. best_fit_packing: what is left becomes sequences of at most 2048 tokens.
 
-Rows with a null doc_id pass stages 2 and 3 as they are. ``ORACLE_SQL`` is None, as SQL
+A stage first takes away what earlier ones left in the shared folder, so their results must
+be written by then. Rows with a null doc_id pass stages 2 and 3 as they are. ``ORACLE_SQL`` is None, as SQL
 has no tokenizers; tests hold every stage against a brute-force version.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrain.llm import decontam, line_dedup, ngram_join, packing, quality
 from lexigrain.llm.queries import BANDS, PIECES, RANKS, fitted_bands
-from lexigrain.llm.shared import exists, written
+from lexigrain.llm.shared import clear, collected, exists, written
 from lexigrain.llm.vocab import vocabulary_path
 
 ORACLE_SQL = None
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Edit similarity of lines in per cent. Higher than the operator's own 80: near copies of whole documents are the
 #: next stage's work, and a line of few words that differs in one of them is often a line of its own.
 LINE_PERCENT = 90
@@ -44,12 +49,26 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_mark")), "left_anti")
 
 
+def tidy(stage: Stage) -> Stage:
+    """The stage, after what the one before left in the shared folder is taken away."""
+
+    @wraps(stage)
+    def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear(spark)
+        with collected():
+            return stage(spark, docs, sf_dir)
+
+    return run_
+
+
+@tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = f"{sf_dir}/labels.parquet"
     bands = fitted_bands(docs, spark.read.parquet(labels)) if exists(spark, labels) else BANDS
     return quality.kept_documents(docs, bands, vocabulary_path(PIECES), vocabulary_path(RANKS))
 
 
+@tidy
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     held = {c: f"own_{c}" for c in ("n_lines", "n_removed_lines") if c in columns}  # clashing names stand aside meanwhile
@@ -57,9 +76,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = out.filter("text is null or n_removed_lines = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.select(*[F.col(held.get(c, c)).alias(c) for c in columns])
+    # written here: the next stage does not run beside this one's shuffles
+    return written(out.select(*[F.col(held.get(c, c)).alias(c) for c in columns]), "lines-removed")
 
 
+@tidy
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_components(docs.select("doc_id", "text", mark()), n=5, percent=80, carry=("mark",))
     found = written(found.filter("doc_id is not null").select("doc_id", "mark", "component"), "components")
@@ -74,6 +95,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without(left, twice).unionByName(repeated)
 
 
+@tidy
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.contaminated(docs.withColumn("row_mark", F.xxhash64("doc_id", "text")).select(F.col("row_mark").alias("doc_id"), "text"), benchmark)
@@ -81,6 +103,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("gone"), "left_anti")
 
 
+@tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary_path("word_bpe_49k.json"))
 
@@ -97,5 +120,5 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
