@@ -49,8 +49,11 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here. ``clear`` spares it with ``keep``."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    if _collecting and not keep:
-        _left.append(path)
+    if _collecting:
+        # the driver's garbage holds the shuffles of this query; without it Spark's cleaner takes them off the disks
+        df.sparkSession._jvm.System.gc()
+        if not keep:
+            _left.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
