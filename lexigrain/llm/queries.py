@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import decontam, line_dedup, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup, token_counts, url_filters
+from lexigrain.llm import bpe, decontam, line_dedup, ngram_join, packing, periodic_runs, pii, prefix_trie, quality, substring_dedup, suffix_dedup, token_counts, url_filters
 from lexigrain.llm.shared import new_folder, written
 from lexigrain.llm.vocab import vocabulary_path
 
@@ -185,3 +185,79 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(prefix_trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
+#: crc32 of ASCII text in DuckDB: the table of bytes, and the fold over a text.
+CRC_TABLE = "SELECT list(c ORDER BY n) AS crc_of FROM (SELECT n, list_reduce(list_prepend(n::BIGINT, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(n))"
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, crc_of[1 + (xor(c, b) & 255)])), 4294967295)"
+
+ORACLE["op11_prefix_trie"] = f"""
+WITH crc AS ({CRC_TABLE}), own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS v
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (SELECT conv_id, v, conv_id - conv_id % 5 AS base, ({CRC.format("conv_id::VARCHAR")} % 9)::INT AS h FROM own, crc),
+seq AS (SELECT h.conv_id, list_concat(coalesce(b.v[1:h.h], []), h.v[h.h + 1:]) AS v FROM h LEFT JOIN own b ON b.conv_id = h.base),
+pre AS MATERIALIZED (
+  SELECT conv_id, d, len(v) AS n, CASE WHEN d > 0 THEN strlen(v[d].t) ELSE 0 END AS bytes, sha256(list_transform(v[1:d], lambda x: sha256(x.r) || sha256(x.t)) :: VARCHAR) AS k,
+    CASE WHEN d > 0 THEN sha256(list_transform(v[1:d - 1], lambda x: sha256(x.r) || sha256(x.t)) :: VARCHAR) END AS up
+  FROM (SELECT *, unnest(range(0, len(v) + 1)) AS d FROM seq)
+), node AS MATERIALIZED (
+  SELECT k, any_value(up) AS up, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM pre GROUP BY k
+), kids AS (SELECT up AS k, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up),
+total AS (
+  SELECT pre.k, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(node.saved) AS saved
+  FROM node JOIN pre ON pre.conv_id = node.conv_id AND pre.d <= node.depth LEFT JOIN kids ON kids.k = node.k GROUP BY pre.k
+)
+SELECT node.conv_id, node.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+  total.n_leaves::BIGINT AS n_leaves, total.saved::BIGINT AS saved_tokens, node.ends_sha256
+FROM node LEFT JOIN node up ON up.k = node.up LEFT JOIN kids ON kids.k = node.k JOIN total ON total.k = node.k
+"""
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_repeats(table(spark, sf_dir, "documents")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * m.length div -m.period").cast("long").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", (-F.col("m.start")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.period")).alias("period"), exponent, "runs_sha256", "collapsed_sha256")
+
+
+ORACLE["op12_periodic_runs"] = rf"""
+WITH crc AS ({CRC_TABLE}), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w, coalesce({CRC.format("doc_id::VARCHAR")}, 1) AS h FROM documents, crc
+), s AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+m AS MATERIALIZED (
+  SELECT rid, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:a], list_transform(range(a, n), lambda i: w[1 + a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8))])) ELSE w END AS w FROM s
+), gram AS MATERIALIZED (
+  SELECT rid, i, hash(array_to_string(w[i + 1:i + 6], ' ')) AS k, n FROM (SELECT rid, w, len(w) AS n, unnest(range(0, len(w) - 5)) AS i FROM m WHERE len(w) >= 12)
+), pair AS (
+  SELECT a.rid, b.i AS j, b.i - a.i AS q FROM gram a JOIN gram b ON a.rid = b.rid AND a.k = b.k AND a.i < b.i AND 2 * (b.i - a.i) <= a.n
+), diag AS (
+  SELECT rid, q, min(j) - q AS s, count(*) + 5 + q AS len FROM (SELECT *, j - row_number() OVER (PARTITION BY rid, q ORDER BY j) AS island FROM pair) GROUP BY rid, q, island
+), long AS MATERIALIZED (SELECT * FROM diag WHERE len - q >= greatest(12 - q, q)),
+run AS MATERIALIZED (
+  SELECT * FROM long x WHERE NOT EXISTS (SELECT 1 FROM long y WHERE y.rid = x.rid AND y.q < x.q AND y.s <= x.s AND y.s + y.len >= x.s + x.len)
+), gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS p FROM run),
+word AS (SELECT rid, unnest(w) AS t, unnest(range(0, len(w))) AS p FROM m),
+kept AS (SELECT rid, string_agg(t, ' ' ORDER BY p) AS c FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY rid ORDER BY len DESC, s, q) = 1),
+listed AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM run GROUP BY rid)
+SELECT m.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, len::BIGINT AS length, q::BIGINT AS period, (1000 * len // q)::BIGINT AS exponent_milli,
+  sha256(coalesce(t, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM m LEFT JOIN listed USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
+@query
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
