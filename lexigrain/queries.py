@@ -11,9 +11,11 @@ from lexigrain.functions import text as T
 from lexigrain.operators import fixes, legacy, office, repair, report, scan, styles, transform
 from lexigrain.plans.audit import audit
 from lexigrain.plans.files import scan_files
-from lexigrain.plans.planting import PLANTED_SQL, SPACED_SQL, STYLED_SQL, packed, planted, spaced, styled
+from lexigrain.plans.planting import PLANTED_SQL, SPACED_SQL, STYLED_SQL, packed, planted, planted_text, spaced, styled
 from lexigrain.plans.settings import Settings
 from lexigrain.plans.validation import validated
+from lexigrain.sources.log import BatchLog, shared_folder
+from lexigrain.streaming import diagnostics, quiet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -506,3 +508,48 @@ def audited_names(spark, sf_dir):
     """An audit with settings: warnings and above."""
     found_ = audit(planted(documents(spark, sf_dir)), "doc_id", Settings(threshold="warning")).findings
     return report.at_or_above(found_, "warning").groupBy("name").agg(F.count("*").alias("n"))
+
+
+# streams and stored state
+
+#: Events as edits of a text per user, with hidden characters; the period of rest, in milliseconds.
+EDITS_SQL = PLANTED_SQL.replace("FROM documents WHERE", "FROM (SELECT event_id AS doc_id, event_type || ' ' || props AS text FROM events) WHERE")
+EDIT_SCAN = f"WITH {EDITS_SQL}, {CH}, {CAT}, {FOUND}"
+REST_MS = 3_600_000
+
+
+@query(f"""{EDIT_SCAN}, {MARKS}, e AS (
+  SELECT user_id, event_id, epoch_ms(ts) AS since, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS later, max(epoch_ms(ts)) OVER () AS now FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
+) SELECT user_id, event_id, x.name, x.scalar_index FROM (SELECT doc_id, name, scalar_index FROM f UNION ALL SELECT doc_id, 'ZALGO_RUN', scalar_index FROM z) x JOIN e ON e.event_id = x.doc_id
+  WHERE since + {REST_MS} <= now AND (later IS NULL OR later - since >= {REST_MS})""")
+def quiet_scans(spark, sf_dir):
+    """A stream of edits, scanned once a user's text has been still for an hour: what stands by the end of the feed."""
+    path = f"{sf_dir}/events.parquet"
+    edits = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, as a stream takes no single file
+    edits = edits.select("user_id", "ts", F.col("event_id").alias("version"), planted_text(F.concat_ws(" ", "event_type", "props"), F.col("event_id")).alias("text"))
+    folder = shared_folder(spark, "quiet-scans")
+    log = BatchLog(spark, f"{folder}/found", "user_id long, version long, name string, scalar_index long")
+    quiet.scan_quiet(edits, "user_id", "ts", log.commit, f"{folder}/state", quiet_ms=REST_MS).awaitTermination()
+    return log.read().withColumnRenamed("version", "event_id")
+
+
+#: Turns as versions of a text per conversation, two to a batch up to the fourth batch, which has the rest.
+TURNS_SQL = PLANTED_SQL.replace("FROM documents WHERE", "FROM (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations) WHERE")
+
+
+@query(f"""WITH {TURNS_SQL}, {CH}, {CAT}, {FOUND}, {MARKS}, x AS (SELECT doc_id, name, severity, scalar_index FROM f UNION ALL SELECT doc_id, 'ZALGO_RUN', 'error', scalar_index FROM z),
+  v AS (SELECT DISTINCT conv_id, turn, least(turn // 2, 3) AS batch FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+  last AS (SELECT conv_id, batch, max(turn) AS turn FROM v GROUP BY ALL),
+  step AS (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY batch) AS before FROM last),
+  change AS (
+    SELECT conv_id, s.turn AS version, name, severity, scalar_index, 1 AS change FROM step s JOIN x ON x.doc_id = conv_id * 1000 + s.turn
+    UNION ALL SELECT conv_id, s.turn, name, severity, scalar_index, -1 FROM step s JOIN x ON x.doc_id = conv_id * 1000 + s.before
+  ) SELECT conv_id, version, name, severity, scalar_index, sum(change)::BIGINT AS change FROM change GROUP BY ALL HAVING sum(change) <> 0""")
+def diagnostic_changes(spark, sf_dir):
+    """What each new version of a text adds to its findings and takes back; the second batch comes twice, as after a crash."""
+    turns = table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null")
+    versions = turns.select("conv_id", F.col("turn").alias("version"), planted_text(F.col("text"), F.col("conv_id") * 1000 + F.col("turn")).alias("text"))
+    log = diagnostics.diagnostics_log(spark, shared_folder(spark, "diagnostics"), "conv_id")
+    for batch in (0, 1, 1, 2, 3):
+        diagnostics.record_changes(log, versions.filter(F.least(F.floor(F.col("version") / 2), F.lit(3)) == batch), batch, "conv_id")
+    return log.read().groupBy("conv_id", "version", "name", "severity", "scalar_index").agg(F.sum("change").alias("change")).filter("change <> 0")
