@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexigrain.catalogue import catalogue
 from lexigrain.operators.scan import any_of, find_characters, matches, positions
-from lexigrain.sources.containers import members as read_members
+from lexigrain.sources.containers import MEMBERS, unpacked, zip_contents, zip_directory
+from lexigrain.sources.log import shared_folder
 
 #: Member names that hold text, by extension.
 TEXT_MEMBERS = {
@@ -113,8 +114,31 @@ def find_in_pdf(streams: DataFrame) -> DataFrame:
 
 
 def find_in_containers(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(findings, errors) over office packages and PDF files (path, extension, content)."""
-    rows, errors = read_members(files, TEXT_MEMBERS)
+    """(findings, errors) over office packages and PDF files (path, extension, content).
+
+    The members are unpacked once, into the shared folder, for the passes that look at them."""
+    rows = unpacked(files, TEXT_MEMBERS)
+    folder = shared_folder(files.sparkSession, "members")
+    rows.write.parquet(folder)
+    rows = files.sparkSession.read.schema(MEMBERS).parquet(folder)
+    return find_in_members(rows.filter("error is null").drop("error"), rows.filter("error is not null").select("path", "error"))
+
+
+def find_in_packages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings, errors) over office packages named in ``path``: of each the directory and the wanted members are read."""
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)\z", 1))
+    wanted = F.lit(False)
+    for e, pattern in TEXT_MEMBERS.items():
+        wanted |= (ext == e) & F.col("member").rlike(pattern)
+    rows = zip_contents(zip_directory(files.filter(ext.isin(*TEXT_MEMBERS))).filter(wanted | F.col("error").isNotNull()))
+    folder = shared_folder(files.sparkSession, "members")
+    rows.write.parquet(folder)
+    rows = files.sparkSession.read.schema(MEMBERS).parquet(folder)
+    return find_in_members(rows.filter("error is null").drop("error"), rows.filter("error is not null").select("path", "error"))
+
+
+def find_in_members(rows: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings, errors) over (path, member, data) rows."""
     rows = rows.withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)\z", 1)))
     good = F.is_valid_utf8(F.col("data").cast("string"))
     pdf = F.col("extension") == ".pdf"  # streams that are no text are binary, not errors

@@ -45,7 +45,7 @@ def styled(pages: DataFrame) -> DataFrame:
     return pages.filter("page_id is not null").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), s).alias("text"))
 
 
-# Packages and PDF files made of the tables: what they hide follows from the row's number k.
+# Packages and PDF files made of the tables: what they hide follows from a number k.
 
 
 def _zipped(members: dict[str, str]) -> bytes:
@@ -57,7 +57,7 @@ def _zipped(members: dict[str, str]) -> bytes:
 
 
 def word_package(k: int, escaped: str) -> bytes:
-    run = "<w:vanish/>" if k % 2 == 0 else '<w:webHidden/>' if k % 3 == 0 else '<w:sz w:val="2"/>'
+    run = ("<w:vanish/>", "<w:webHidden/>", '<w:sz w:val="2"/>', '<w:sz w:val="24"/>', '<w:vanish/><w:webHidden/><w:sz w:val="1"/>')[k % 5]
     return _zipped({"word/document.xml": f"<w:r><w:t>{escaped}</w:t></w:r><w:rPr>{run}</w:rPr>", "word/styles.xml": "<w:t>\u00a0</w:t>"})
 
 
@@ -67,32 +67,37 @@ def slide_package(k: int, escaped: str) -> bytes:
 
 
 def sheet_package(k: int, escaped: str) -> bytes:
-    value = ("", "<v></v>", "<v>2</v>")[k % 3]
+    value, formula = ("", "<v></v>", "<v>2</v>")[k % 3], "SUM(" + "A1," * 30 * (k % 2) + "A1)"
     return _zipped({
         "xl/sharedStrings.xml": f"<t>{escaped}</t>", "xl/workbook.xml": f'<sheet name="S{k}" sheetId="1" r:id="rId1"/>',
-        "xl/_rels/workbook.xml.rels": '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/>', "xl/worksheets/sheet1.xml": f'<c r="B{k % 7 + 1}"><f>SUM(A1)</f>{value}</c><c r="C1"><v>1</v></c>',
+        "xl/_rels/workbook.xml.rels": '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/>', "xl/worksheets/sheet1.xml": f'<c r="B{k % 7 + 1}"><f>{formula}</f>{value}</c><c r="C1"><v>1</v></c>',
     })
 
 
 def pdf_file(k: int, escaped: str) -> bytes:
     shown = escaped.encode("ascii", "ignore").decode().replace("(", "").replace(")", "").replace("stream", "")
-    body = f"BT {('3 Tr', '/F1 0 Tf', '0 Tz', '0 Tr')[k % 4]} ({shown}) Tj ET\n".encode()
+    body = f"BT {('3 Tr', '/F1 0 Tf', '0 Tz', '0 Tr', '/F1 0 Tf 0 Tz')[k % 5]} ({shown}) Tj ET\n".encode()
     packed = k % 3 > 0
     head = b"<< /Filter /FlateDecode >>" if packed else b"<< >>"
     return b"%PDF-1.4\n1 0 obj " + head + b"\nstream\n" + (zlib.compress(body) if packed else body) + b"\nendstream\nendobj\n"
 
 
-KINDS = [(".docx", word_package), (".pptx", slide_package), (".xlsx", sheet_package), (".pdf", pdf_file)]
+def text_file(k: int, escaped: str) -> bytes:
+    return escaped.encode()
+
+
+#: Kinds by a document's number modulo their count; what a file hides follows from the quotient.
+KINDS = [(".docx", word_package), (".pptx", slide_package), (".xlsx", sheet_package), (".pdf", pdf_file), (".md", text_file)]
 
 
 def packed(documents: DataFrame) -> DataFrame:
     """(path, extension, content): every document's planted text in a file of a kind by its number; one in eleven is broken."""
     text = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    rows = planted(documents).select("doc_id", F.element_at(F.array(*[F.lit(e) for e, _ in KINDS]), (F.col("doc_id") % 4 + 1).cast("int")).alias("extension"), text.alias("text"))
+    rows = planted(documents).select("doc_id", F.element_at(F.array(*[F.lit(e) for e, _ in KINDS]), (F.col("doc_id") % len(KINDS) + 1).cast("int")).alias("extension"), text.alias("text"))
 
     def run(frames):
         for f in frames:
-            f["content"] = [b"broken" if k % 11 == 10 else dict(KINDS)[e](k, t) for k, e, t in zip(f["doc_id"], f["extension"], f["text"], strict=True)]
+            f["content"] = [b"broken \xc3" if k % 11 == 10 else dict(KINDS)[e](k // len(KINDS), t) for k, e, t in zip(f["doc_id"], f["extension"], f["text"], strict=True)]
             f["path"] = [f"{k}{e}" for k, e in zip(f["doc_id"], f["extension"], strict=True)]
             yield f[["path", "extension", "content"]]
 

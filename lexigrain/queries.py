@@ -396,6 +396,25 @@ def hidden_styles(spark, sf_dir):
     return styles.find_hidden_styles(styled(table(spark, sf_dir, "pages")), F.lit(".html")).groupBy("name").agg(F.count("*").alias("n"))
 
 
+STYLE_PATTERNS = {
+    "HIDDEN_STYLE_ZERO_FONT": r"(?i)font-size\s*:\s*0(?:\.0+)?(?:px|pt|em|rem|%)?[^\w.]", "HIDDEN_STYLE_TRANSPARENT": r"(?i)color\s*:\s*transparent", "HIDDEN_STYLE_OPACITY_ZERO": r"(?i)opacity\s*:\s*0(?:\.0+)?[^\d.]",
+    "HIDDEN_STYLE_DISPLAY_NONE": r"(?i)display\s*:\s*none", "HIDDEN_STYLE_VISIBILITY": r"(?i)visibility\s*:\s*(?:hidden|collapse)", "HIDDEN_STYLE_OFFSCREEN_INDENT": r"(?i)text-indent\s*:\s*-\d{3,}(?:px|em|rem)",
+    "HIDDEN_STYLE_HIDDEN_ATTR": r'(?i)<\w+[^>]*\s(?:hidden|aria-hidden\s*=\s*"true")[\s>]',
+}
+STYLE_ROWS = ", ".join(f"('{name}', '{pattern}')" for name, pattern in STYLE_PATTERNS.items())
+
+
+@query(f"""WITH {STYLED_SQL}, p AS (SELECT page_id, k.name, hits, unnest(range(1, len(hits) + 1)) AS j, parts FROM (
+    SELECT page_id, name, {" ".join(f"CASE name WHEN '{n}' THEN regexp_extract_all(t, '{x}') ELSE" for n, x in STYLE_PATTERNS.items())} [] {"END " * len(STYLE_PATTERNS)} AS hits,
+      {" ".join(f"CASE name WHEN '{n}' THEN string_split_regex(t, '{x}') ELSE" for n, x in STYLE_PATTERNS.items())} [] {"END " * len(STYLE_PATTERNS)} AS parts
+    FROM styled, (VALUES {STYLE_ROWS}) v(name, pattern)) k)
+  SELECT page_id, name, (list_sum(list_transform(parts[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:j - 1], lambda x: length(x))), 0))::BIGINT AS scalar_index FROM p""")
+def hidden_style_places(spark, sf_dir):
+    """Where the idioms of one form stand."""
+    found_ = styles.find_hidden_styles(styled(table(spark, sf_dir, "pages")), F.lit(".html"))
+    return found_.filter(F.col("name").isin(*STYLE_PATTERNS)).select("page_id", "name", F.col("scalar_index").cast("long").alias("scalar_index"))
+
+
 @query(rf"""WITH {STYLED_SQL}, {CAT}, e AS (SELECT page_id, unnest(regexp_extract_all(t, '&#(x?[0-9a-fA-F]+);', 1)) AS e FROM styled),
   d AS (SELECT page_id, CASE WHEN starts_with(e, 'x') THEN ('0x' || substr(e, 2))::BIGINT ELSE try_cast(regexp_extract(e, '^[0-9]+') AS BIGINT) END AS code_point FROM e)
   SELECT page_id, code_point, name || '_ENTITY' AS name, severity FROM d JOIN cat USING (code_point)""")
@@ -405,25 +424,32 @@ def entity_references(spark, sf_dir):
 
 # packages and files
 
-# what the files of ``planting.packed`` hide: characters of their text node, placed in the member, and a mark of their kind
-PACKED = f"""{SCAN}, k AS (SELECT doc_id, doc_id % 4 AS kind, doc_id || ['.docx', '.pptx', '.xlsx', '.pdf'][doc_id % 4 + 1] AS path FROM planted WHERE doc_id % 11 <> 10),
+# what the files of ``planting.packed`` hide: characters of their text node, placed in the member, and marks of their kind
+PATH = "doc_id || ['.docx', '.pptx', '.xlsx', '.pdf', '.md'][doc_id % 5 + 1]"
+FORMULA = "CASE WHEN q % 2 = 1 THEN substr('SUM(' || repeat('A1,', 30), 1, 80) || '…' ELSE 'SUM(A1)' END"
+PACKED = f"""{SCAN}, {MARKS}, k AS (SELECT doc_id, doc_id % 5 AS kind, doc_id // 5 AS q, {PATH} AS path FROM planted WHERE doc_id % 11 <> 10),
   g AS (SELECT doc_id, scalar_index, c, coalesce(sum(CASE c WHEN '&' THEN 4 WHEN '<' THEN 3 WHEN '>' THEN 3 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY scalar_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS more FROM pos),
-  texts AS (SELECT path, name, (scalar_index + more + CASE kind WHEN 0 THEN 10 WHEN 1 THEN CASE WHEN doc_id % 2 = 1 THEN 23 ELSE 12 END ELSE 3 END)::BIGINT AS scalar_index, NULL AS detail FROM g JOIN k USING (doc_id) JOIN cat ON unicode(c) = code_point WHERE kind < 3),
-  marks AS (SELECT path, CASE WHEN kind = 0 AND doc_id % 2 = 0 THEN 'OOXML_HIDDEN_RUN' WHEN kind = 1 AND doc_id % 2 = 1 THEN 'OOXML_HIDDEN_SHAPE' WHEN kind = 2 AND doc_id % 3 < 2 THEN 'EMPTY_FORMULA_CELL' WHEN kind = 3 THEN (['PDF_INVISIBLE_TEXT', 'PDF_ZERO_FONT', 'PDF_ZERO_WIDTH', NULL])[doc_id % 4 + 1] END AS name,
-    CASE WHEN kind = 2 THEN 'S' || doc_id || '!B' || (doc_id % 7 + 1) || ': SUM(A1), cached value ' || CASE doc_id % 3 WHEN 0 THEN 'absent' ELSE 'empty' END END AS detail FROM k)"""
+  texts AS (SELECT path, name, (scalar_index + more + CASE kind WHEN 0 THEN 10 WHEN 1 THEN CASE WHEN q % 2 = 1 THEN 23 ELSE 12 END ELSE 3 END)::BIGINT AS scalar_index, NULL AS detail FROM g JOIN k USING (doc_id) JOIN cat ON unicode(c) = code_point WHERE kind < 3),
+  marks AS (SELECT path, unnest(CASE kind
+      WHEN 0 THEN [['OOXML_HIDDEN_RUN'], ['OOXML_WEB_HIDDEN_RUN'], ['OOXML_SUSPICIOUS_FONT_SIZE'], [], ['OOXML_HIDDEN_RUN', 'OOXML_WEB_HIDDEN_RUN', 'OOXML_SUSPICIOUS_FONT_SIZE']][q % 5 + 1]
+      WHEN 1 THEN CASE WHEN q % 2 = 1 THEN ['OOXML_HIDDEN_SHAPE'] ELSE [] END WHEN 2 THEN CASE WHEN q % 3 < 2 THEN ['EMPTY_FORMULA_CELL'] ELSE [] END
+      WHEN 3 THEN [['PDF_INVISIBLE_TEXT'], ['PDF_ZERO_FONT'], ['PDF_ZERO_WIDTH'], [], ['PDF_ZERO_FONT', 'PDF_ZERO_WIDTH']][q % 5 + 1] END) AS name, kind, q FROM k WHERE kind < 4),
+  detailed AS (SELECT path, name, CASE WHEN kind = 2 THEN 'S' || q || '!B' || (q % 7 + 1) || ': ' || {FORMULA} || ', cached value ' || CASE q % 3 WHEN 0 THEN 'absent' ELSE 'empty' END
+    WHEN name = 'OOXML_SUSPICIOUS_FONT_SIZE' THEN CASE q % 5 WHEN 2 THEN '2' ELSE '1' END || ' half-points' END AS detail FROM marks)"""
 
 
-@query(f"{PACKED} SELECT path, name, scalar_index, detail FROM texts UNION ALL SELECT path, name, NULL, detail FROM marks WHERE name IS NOT NULL")
+@query(f"{PACKED} SELECT path, name, scalar_index, detail FROM texts UNION ALL SELECT path, name, NULL, detail FROM detailed")
 def package_findings(spark, sf_dir):
     """Findings in packages and PDF files; the places of run, shape, cell and operator marks are left out."""
     found_ = office.find_in_containers(packed(documents(spark, sf_dir)))[0]
     return found_.select("path", "name", F.when(F.col("code_point").isNotNull(), F.col("scalar_index")).alias("scalar_index"), "detail")
 
 
-@query(f"""{PACKED}, n AS (SELECT path, count(*) AS n FROM (SELECT path FROM texts UNION ALL SELECT path FROM marks WHERE name IS NOT NULL) GROUP BY path)
-  SELECT doc_id || ['.docx', '.pptx', '.xlsx', '.pdf'][doc_id % 4 + 1] AS path, coalesce(n, 0)::BIGINT AS n_findings, doc_id % 11 = 10 AS failed FROM planted LEFT JOIN n ON n.path = doc_id || ['.docx', '.pptx', '.xlsx', '.pdf'][doc_id % 4 + 1]""")
+@query(f"""{PACKED}, n AS (SELECT path, count(*) AS n FROM (SELECT path FROM texts UNION ALL SELECT path FROM detailed UNION ALL
+    SELECT path FROM k JOIN (SELECT doc_id, c FROM pos JOIN cat ON unicode(c) = code_point) USING (doc_id) WHERE kind = 4 AND c NOT IN ('&', '<', '>') UNION ALL SELECT path FROM k JOIN z USING (doc_id) WHERE kind = 4) GROUP BY path)
+  SELECT {PATH} AS path, coalesce(n, 0)::BIGINT AS n_findings, doc_id % 11 = 10 AS failed FROM planted LEFT JOIN n ON n.path = {PATH}""")
 def scanned_files(spark, sf_dir):
-    """Every file with its number of findings, and whether it could not be read."""
+    """Every file, texts too, with its number of findings, and whether it could not be read."""
     return scan_files(packed(documents(spark, sf_dir)))[1].select("path", "n_findings", F.col("error").isNotNull().alias("failed"))
 
 

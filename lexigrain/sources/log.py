@@ -51,6 +51,10 @@ class BatchLog:
         """Committed batches that no summary holds; a summary keeps this short."""
         return self._folders()[1]
 
+    def next_batch(self) -> int:
+        base, after = self._folders()
+        return max([base, *after]) + 1
+
     def committed(self, batch: int) -> bool:
         base, after = self._folders()
         return batch <= base or batch in after
