@@ -9,6 +9,7 @@ from lexigrain.catalogue import duckdb_values
 from lexigrain.functions import render, strings
 from lexigrain.functions import text as T
 from lexigrain.operators import fixes, legacy, office, repair, report, scan, styles, transform
+from lexigrain.plans.applying import RepairStore
 from lexigrain.plans.audit import audit
 from lexigrain.plans.files import scan_files
 from lexigrain.plans.planting import PLANTED_SQL, SPACED_SQL, STYLED_SQL, packed, planted, planted_text, spaced, styled
@@ -368,6 +369,23 @@ def repair_records(spark, sf_dir):
     return counts.join(repair.verified(copies, records, "doc_id").select("doc_id", "verified"), "doc_id")
 
 
+@query(f"""{SCAN}, {MARKS}, p AS (SELECT doc_id, name, {DECIDED} AS decision FROM f UNION ALL SELECT doc_id, 'ZALGO_RUN', 'kept' FROM z),
+  r AS (SELECT pos.doc_id, scalar_index, CASE WHEN name IS NOT NULL AND {DECIDED} = 'approved' THEN coalesce(fix_with, '') ELSE c END AS c FROM pos LEFT JOIN cat ON unicode(c) = code_point),
+  o AS (SELECT doc_id, sha256(string_agg(c, '' ORDER BY scalar_index)) AS output_sha256, strlen(string_agg(c, '')) AS output_bytes FROM r GROUP BY doc_id),
+  k AS (SELECT doc_id, count(*) FILTER (decision = 'approved') AS applied_edits, coalesce(string_agg(name, ',' ORDER BY name) FILTER (decision <> 'approved'), '') AS kept FROM p GROUP BY doc_id)
+  SELECT doc_id, sha256(t) AS input_sha256, output_sha256, output_bytes::BIGINT AS output_bytes, applied_edits, kept, kept AS found, true AS verified FROM planted JOIN o USING (doc_id) JOIN k USING (doc_id)""")
+def repair_store(spark, sf_dir):
+    """Provenance and rescan records, read back from the store after the apply has been repeated."""
+    docs, items = _plan(spark, sf_dir)
+    store = RepairStore(spark, shared_folder(spark, "repair-store"))
+    for _ in range(2):
+        store.apply(docs, items, 0, at="2026-01-01T00:00:00Z")
+    names = lambda a: F.array_join(F.array_sort(a), ",")
+    rescans = store.rescans.read().select("doc_id", names(F.col("actual_finding_names")).alias("found"))
+    records = store.provenance()[0].select("doc_id", F.col("input.sha256").alias("input_sha256"), F.col("output.sha256").alias("output_sha256"), F.col("output.bytes").alias("output_bytes"), "applied_edits", names(F.transform("kept", lambda k: k["name"])).alias("kept"), "verified")
+    return records.join(rescans, "doc_id")
+
+
 @query()
 def repair_provenance(spark, sf_dir):
     docs, items = _plan(spark, sf_dir)

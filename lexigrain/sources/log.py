@@ -91,6 +91,10 @@ class BatchLog:
         """All rows of the newest summary and the batches after it."""
         return self._read(*self._folders())
 
+    def read_batch(self, batch: int) -> DataFrame:
+        """The rows of one batch; none if no batch of this number stands in the log by itself."""
+        return self._read(-1, [batch] if batch in self._folders()[1] else [])
+
     def fold(self, summary) -> None:
         """Puts ``summary(rows)`` in the place of all batches so far and removes those that an older summary covers."""
         base, after = self._folders()
