@@ -25,6 +25,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{found}/{name}-{uuid.uuid4().hex}"
 
 
+def put(rows: DataFrame, folder: str, name: str, form: str = "parquet") -> bool:
+    """Writes ``rows`` beside ``folder``'s entries and renames them to ``name`` there; False, and nothing changed, if that is there already."""
+    spark = rows.sparkSession
+    staged, jvm = f"{folder}/_staged/{uuid.uuid4().hex}", spark._jvm
+    rows.write.format(form).save(staged)
+    conf = spark._jsc.hadoopConfiguration()
+    source, target = (jvm.org.apache.hadoop.fs.Path(x) for x in (staged, f"{folder}/{name}"))
+    fs = source.getFileSystem(conf)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(source).toUri(), conf)
+    try:
+        context.rename(source, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception:
+        fs.delete(source, True)
+        if not fs.exists(target):
+            raise
+        return False  # another writer was first
+    return True
+
+
 class BatchLog:
     """Batches of rows of one schema, numbered from 0 up; ``form`` is parquet or json."""
 
@@ -60,20 +79,8 @@ class BatchLog:
         return batch <= base or batch in after
 
     def _put(self, rows: DataFrame, name: str) -> bool:
-        staged, jvm = f"{self.path}/_staged/{uuid.uuid4().hex}", self.spark._jvm
-        rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.format(self.form).save(staged)
-        conf = self.spark._jsc.hadoopConfiguration()
-        source, target = (jvm.org.apache.hadoop.fs.Path(x) for x in (staged, f"{self.path}/{name}"))
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.getFileSystem(conf).makeQualified(source).toUri(), conf)
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(source, target, options)
-        except Exception:
-            source.getFileSystem(conf).delete(source, True)
-            if not target.getFileSystem(conf).exists(target):
-                raise
-            return False  # another writer was first
-        return True
+        rows = rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
+        return put(rows, self.path, name, self.form)
 
     def commit(self, rows: DataFrame, batch: int) -> bool:
         """False if the batch was there already; ``rows`` is not evaluated then."""
