@@ -438,6 +438,41 @@ def test_token_ledger(spark, tmp_path):
         ledger.commit(spark.createDataFrame([("odd", "a", "en", "v1", 1, 1)], schema), 4)
 
 
+def test_token_ledger_beside_other_writers(spark, tmp_path, monkeypatch):
+    """A commit under way while a fold looks, one that lands while it works, and one that is done anew meanwhile."""
+    schema = "op string, source string, lang string, tokenizer_version string, old_tokens long, new_tokens long"
+    feed = lambda n: spark.createDataFrame([("insert", "a", "en", "v", None, n)], schema)
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"))
+    total = lambda: got(ledger.totals(), "source", "n_docs", "n_tokens")
+    ledger.commit(feed(5), 1)
+    (tmp_path / "ledger/deltas/_staged/x/_temporary/0").mkdir(parents=True)  # a writer that has begun
+    put = token_counts.put
+
+    def busy(rows, folder, name, form="parquet"):
+        if folder.endswith("rollups") and name != "later":
+            monkeypatch.undo()
+            ledger.commit(feed(7), 2)
+            ledger.commit(feed(6), 1)
+        return put(rows, folder, name, form)
+
+    monkeypatch.setattr(token_counts, "put", busy)
+    ledger.fold()
+    assert ledger.folded() == (1, {1}) and total() == [("a", 2, 13)]
+    ledger.fold()
+    assert ledger.folded() == (2, {1, 2}) and total() == [("a", 2, 13)]
+    ledger.commit(feed(6), 1)  # closed with its newest delta
+    with pytest.raises(ValueError):
+        ledger.commit(feed(5), 1)
+    # a second fold of the same moment leaves nothing that counts
+    ledger.commit(feed(1), 9)
+    note = ledger.note()
+    ledger.fold()
+    monkeypatch.setattr(ledger, "note", lambda: note)
+    ledger.fold()
+    monkeypatch.undo()
+    assert ledger.folded() == (3, {1, 2, 9}) and total() == [("a", 3, 14)] and [tuple(r) for r in ledger.note().ranges] == [(1, 2), (9, 9)]
+
+
 def test_token_ledger_folds_and_recommits(spark, tmp_path):
     schema = "op string, source string, lang string, tokenizer_version string, old_tokens long, new_tokens long"
     feed = lambda *rows: spark.createDataFrame(list(rows), schema)
