@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrain.catalogue import duckdb_values
+from lexigrain.catalogue import catalogue, duckdb_values
 from lexigrain.functions import render, strings
 from lexigrain.functions import text as T
-from lexigrain.operators import fixes, legacy, office, repair, report, scan, styles, transform
+from lexigrain.operators import fixes, legacy, office, regions, repair, report, scan, styles, transform
 from lexigrain.plans.applying import RepairStore
 from lexigrain.plans.audit import audit
 from lexigrain.plans.files import scan_files
@@ -16,6 +16,7 @@ from lexigrain.plans.planting import PLANTED_SQL, SPACED_SQL, STYLED_SQL, packed
 from lexigrain.plans.settings import Settings
 from lexigrain.plans.validation import validated
 from lexigrain.sources.log import BatchLog, shared_folder
+from lexigrain.sources.walk import path_order
 from lexigrain.streaming import diagnostics, quiet
 
 QUERIES: dict = {}
@@ -597,3 +598,30 @@ def diagnostic_changes(spark, sf_dir):
     for batch in (0, 1, 1, 2, 3):
         diagnostics.record_changes(log, versions.filter(F.least(F.floor(F.col("version") / 2), F.lit(3)) == batch), batch, "conv_id")
     return log.read().groupBy("conv_id", "version", "name", "severity", "scalar_index").agg(F.sum("change").alias("change")).filter("change <> 0")
+
+
+# order and marked regions
+
+
+@query("""SELECT page_id, row_number() OVER (PARTITION BY h ORDER BY icu_sort_key(url, 'en'), url, page_id)::BIGINT AS place FROM (SELECT *, regexp_extract(url, '://([^/?#]*)', 1) AS h FROM pages WHERE url IS NOT NULL)""")
+def paths_in_order(spark, sf_dir):
+    """Each page's place among those of its host, in the order in which people read paths."""
+    pages = table(spark, sf_dir, "pages").filter("url is not null").select("page_id", "url", F.regexp_extract("url", r"://([^/?#]*)", 1).alias("h"))
+    return pages.select("page_id", F.row_number().over(Window.partitionBy("h").orderBy(*path_order("url"), "page_id")).cast("long").alias("place"))
+
+
+REGION_ROWS = "SELECT string_agg('{\"code_point\":' || code_point || ',\"name\":\"' || name || '\",\"severity\":\"' || severity || '\"}', chr(10) ORDER BY code_point) AS lines FROM cat WHERE severity = 'critical'"
+
+
+@query(f"""WITH {CAT}, t AS ({REGION_ROWS}), p AS (SELECT page_id, coalesce(html, '') AS h, '{regions.begin_line("critical")}' AS b, '{regions.END}' AS e, lines FROM pages, t WHERE page_id IS NOT NULL)
+  SELECT page_id, page_id % 4 = 1 AS drifted, CASE page_id % 4 WHEN 2 THEN 'missing "' || e || '" after ' || b WHEN 3 THEN 'missing marker "' || b || '"' END AS problem,
+    md5(CASE page_id % 4 WHEN 2 THEN h || chr(10) || b || chr(10) || 'old' WHEN 3 THEN h ELSE h || chr(10) || b || chr(10) || lines || chr(10) || e || ' tail' END) AS synced FROM p""")
+def region_drift(spark, sf_dir):
+    """Pages that end in a generated table: fresh, old, cut short, or none; brought up to date."""
+    cat = catalogue(spark).filter("severity = 'critical'").select("code_point", "name", "severity", F.lit(None).cast("string").alias("description"))
+    fresh = regions.rendered(cat, "critical").withColumnRenamed("region", "fresh")
+    b, n, h = F.lit(regions.begin_line("critical")), F.col("page_id") % 4, F.coalesce("html", F.lit(""))
+    pages = table(spark, sf_dir, "pages").filter("page_id is not null").crossJoin(F.broadcast(fresh))  # one row
+    text = F.when(n == 3, h).when(n == 2, F.concat_ws("\n", h, b, F.lit("old"))).when(n == 1, F.concat(h, F.lit("\n"), b, F.lit(f"\nold\n{regions.END} tail"))).otherwise(F.concat(h, F.lit("\n"), F.col("fresh"), F.lit(" tail")))
+    out = regions.synchronised(pages.select("page_id", text.alias("text")), cat, "critical")
+    return out.select("page_id", "drifted", "problem", F.md5("text").alias("synced"))
