@@ -45,6 +45,20 @@ def field_status(over_limit: Column, n_artifacts: Column) -> Column:
     return F.when(over_limit, "error").when(n_artifacts > 0, "warning").otherwise("ok")
 
 
+def checked_fields(df: DataFrame, text: str = "text") -> DataFrame:
+    """Fields (with ``max_chars``, null for no limit) with ``n_artifacts`` and ``status``: too long, else with hidden characters, else ok."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    over = F.coalesce(F.length(t) > F.col("max_chars"), F.lit(False))
+    return df.withColumn("n_artifacts", field_fix_count(t)).withColumn("status", field_status(over, F.col("n_artifacts")))
+
+
+def all_fields_fixed(df: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(fields with ``text`` fixed and ``n_fixed``, (key, n_fields, n_changed, n_fixed) with one more row, of null key, for all)."""
+    fixed = df.withColumn("n_fixed", field_fix_count(F.coalesce(F.col(text), F.lit("")))).withColumn(text, field_fixed(F.col(text)))
+    sums = fixed.rollup(key).agg(F.count("*").alias("n_fields"), F.count_if(F.col("n_fixed") > 0).alias("n_changed"), F.sum("n_fixed").alias("n_fixed"))
+    return fixed, sums
+
+
 def workspace_of(url: Column) -> Column:
     """Which site a page belongs to, by substrings of its host; the first that fits."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
@@ -57,4 +71,4 @@ def workspace_of(url: Column) -> Column:
 
 def limits(df: DataFrame, workspaces: DataFrame, max_length: Column) -> DataFrame:
     """``workspaces`` (workspace, max_chars) joined on ``workspace``; a field's own maximum wins."""
-    return df.join(F.broadcast(workspaces), "workspace", "left").withColumn("max_chars", F.coalesce(max_length.cast("long"), "max_chars"))
+    return df.join(workspaces, "workspace", "left").withColumn("max_chars", F.coalesce(max_length.cast("long"), "max_chars"))

@@ -600,6 +600,31 @@ def diagnostic_changes(spark, sf_dir):
     return log.read().groupBy("conv_id", "version", "name", "severity", "scalar_index").agg(F.sum("change").alias("change")).filter("change <> 0")
 
 
+# fields of forms
+
+FIELDS_SQL = TURNS_SQL
+HIDDEN = r"[\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{2028}\x{2029}\x{0}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{AD}]"
+
+
+def _fields(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null")
+    return c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, 400).cast("long").alias("max_chars"), planted_text(F.col("text"), F.col("conv_id") * 1000 + F.col("turn")).alias("text"))
+
+
+@query(rf"""WITH {FIELDS_SQL}, n AS (SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, len(regexp_extract_all(t, '{HIDDEN}')) AS n_artifacts, length(t) AS n FROM planted)
+  SELECT conv_id, turn, n_artifacts::BIGINT AS n_artifacts, CASE WHEN turn % 2 = 0 AND n > 400 THEN 'error' WHEN n_artifacts > 0 THEN 'warning' ELSE 'ok' END AS status FROM n""")
+def field_states(spark, sf_dir):
+    """Turns as fields of a form, every other one with a limit: too long, with hidden characters, or in order."""
+    return fixes.checked_fields(_fields(spark, sf_dir)).select("conv_id", "turn", "n_artifacts", "status")
+
+
+@query(rf"""WITH {FIELDS_SQL}, n AS (SELECT doc_id // 1000 AS conv_id, len(regexp_extract_all(t, '{HIDDEN}')) AS n FROM planted)
+  SELECT conv_id, count(*) AS n_fields, count(*) FILTER (n > 0) AS n_changed, sum(n)::BIGINT AS n_fixed FROM n GROUP BY ROLLUP (conv_id)""")
+def fields_fixed(spark, sf_dir):
+    """What fixing all fields at once changes, by form and in all."""
+    return fixes.all_fields_fixed(_fields(spark, sf_dir), "conv_id")[1]
+
+
 # order and marked regions
 
 
