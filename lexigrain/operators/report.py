@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.functions.text import escape_markdown, escape_workflow, hex4
+from lexigrain.functions.text import escape_markdown, escape_workflow, hex4, page_metrics
 
 RANKS = {"info": 1, "warning": 2, "error": 3, "critical": 4}
 FINDING = ["name", "code_point", "utf8_hex", "line", "column", "byte_offset", "scalar_index", "severity", "safety", "fix", "fix_with", "description"]
@@ -86,6 +86,27 @@ def summary(docs: DataFrame, findings: DataFrame, key: str, threshold: str, erro
     return n.crossJoin(f).crossJoin(bad).withColumn("status", F.when(F.col("n_errors") > 0, 2).when(F.col("n_blocking") > 0, 1).otherwise(0).cast("long"))
 
 
+def summary_line(summaries: DataFrame, threshold: Column) -> DataFrame:
+    """``summaries`` (as ``summary`` gives them) with ``line``, the closing line of an audit in a build, of a fixed form: how many
+    files could not be scanned, or what was found."""
+    n = lambda c: F.col(c).cast("string")
+    failed = F.concat(n("n_errors"), F.lit(" file(s) could not be scanned (scanner errors fail distinctly from findings)"))
+    found = F.concat(F.lit("scanned "), n("n_documents"), F.lit(" file(s); "), n("n_findings"), F.lit(" finding(s), "), n("n_blocking"), F.lit(" blocking at threshold "), threshold)
+    return summaries.withColumn("line", F.when(F.col("n_errors") > 0, failed).otherwise(found))
+
+
+def status_bar(docs: DataFrame, findings: DataFrame, key: str, text: str = "text", with_metrics: bool = False) -> DataFrame:
+    """(key, n, status, tooltip): what an editor shows for each document."""
+    counted = docs.join(findings.groupBy(key).agg(F.count("*").alias("n")), key, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    n, some = F.col("n").cast("string"), F.col("n") > 0
+    shown = F.when(some, F.concat(F.lit("$(warning) "), n, F.lit(" invisible"))).otherwise("$(check) Clean")
+    if with_metrics:
+        m = page_metrics(F.coalesce(F.col(text), F.lit("")))
+        shown = F.concat(shown, F.lit(" | "), m["chars"].cast("string"), F.lit(" chars, "), m["words"].cast("string"), F.lit(" words"))
+    tooltip = F.when(some, F.concat(n, F.when(F.col("n") > 1, " invisible characters detected. Click to scan.").otherwise(" invisible character detected. Click to scan."))).otherwise("No invisible characters detected")
+    return counted.select(key, "n", shown.alias("status"), tooltip.alias("tooltip"))
+
+
 def by_name(findings: DataFrame) -> DataFrame:
     return findings.groupBy("name", "severity").agg(F.count("*").alias("n"))
 

@@ -625,6 +625,42 @@ def fields_fixed(spark, sf_dir):
     return fixes.all_fields_fixed(_fields(spark, sf_dir), "conv_id")[1]
 
 
+# what editors and builds show
+
+
+@query(f"""{SCAN}, {MARKS}, p AS (SELECT doc_id, name, safety, CASE WHEN safety = 'semantic' THEN 'keep' WHEN fix IN ('remove', 'replace') THEN fix ELSE 'keep' END AS action FROM f UNION ALL SELECT doc_id, 'ZALGO_RUN', 'ambiguous', 'keep' FROM z)
+  SELECT doc_id, count(*) AS n_items, count(*) FILTER (safety <> 'semantic' AND action <> 'keep') AS n_repairable, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (safety = 'ambiguous'), '') AS ambiguous FROM p GROUP BY doc_id""")
+def plan_counts(spark, sf_dir):
+    """Plans ready for review: their items, those that can be repaired, and the names that a full grant lists."""
+    docs = planted(documents(spark, sf_dir))
+    return repair.plan_counts(repair.proposed(docs, scan.find_all(docs), "doc_id"), "doc_id").withColumn("ambiguous", F.array_join("ambiguous", ","))
+
+
+@query(rf"""{SCAN}, n AS (SELECT doc_id, coalesce(n, 0) AS n, (length(t) + len(regexp_extract_all(t, '[\x{{10000}}-\x{{10FFFF}}]'))) || ' chars, ' || len(list_filter(regexp_split_to_array(t, '[\s\x{{A0}}\x{{3000}}\x{{FEFF}}\x{{2028}}]+'), lambda x: x <> '')) || ' words' AS m
+    FROM planted LEFT JOIN (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id) USING (doc_id))
+  SELECT doc_id, n, CASE WHEN n > 0 THEN '$(warning) ' || n || ' invisible' ELSE '$(check) Clean' END || ' | ' || m AS status,
+    CASE WHEN n > 1 THEN n || ' invisible characters detected. Click to scan.' WHEN n = 1 THEN '1 invisible character detected. Click to scan.' ELSE 'No invisible characters detected' END AS tooltip FROM n""")
+def status_bars(spark, sf_dir):
+    docs = planted(documents(spark, sf_dir))
+    return report.status_bar(docs, scan.find_characters(docs), "doc_id", with_metrics=True)
+
+
+@query(f"""{ALL} SELECT threshold, 'scanned ' || (SELECT count(*) FROM planted) || ' file(s); ' || (SELECT count(*) FROM a) || ' finding(s), ' || (SELECT count(*) FROM a WHERE severity_rank >= r) || ' blocking at threshold ' || threshold AS line
+  FROM (VALUES ('info', 1), ('warning', 2), ('error', 3), ('critical', 4)) v(threshold, r)
+  UNION ALL SELECT 'unreadable', (SELECT count(*) FROM planted WHERE doc_id % 50 = 0) || ' file(s) could not be scanned (scanner errors fail distinctly from findings)'""")
+def closing_lines(spark, sf_dir):
+    """The closing line of an audit at each threshold, and of one with files that could not be read."""
+    docs = planted(documents(spark, sf_dir))
+    # counts by severity once, for all thresholds
+    by = scan.find_all(docs).groupBy("severity_rank").agg(F.count("*").alias("n"))
+    n = docs.agg(F.count("*").alias("n_documents"), F.count_if(F.col("doc_id") % 50 == 0).alias("n_bad"))
+    blocking = [F.coalesce(F.sum(F.when(F.col("severity_rank") >= r, F.col("n"))), F.lit(0)).alias(t) for t, r in report.RANKS.items()]
+    sums = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_findings"), *blocking).crossJoin(n)  # two frames of one row
+    cases = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(t).alias("n_blocking"), F.lit(0).alias("n_errors")) for t in report.RANKS], F.struct(F.lit("unreadable").alias("threshold"), F.lit(0).cast("long").alias("n_blocking"), F.col("n_bad").cast("int").alias("n_errors"))))
+    rows = sums.select("n_documents", "n_findings", cases.alias("c")).select("n_documents", "n_findings", "c.*")
+    return report.summary_line(rows, F.col("threshold")).select("threshold", "line")
+
+
 # order and marked regions
 
 
