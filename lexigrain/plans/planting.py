@@ -25,6 +25,13 @@ def planted(documents: DataFrame) -> DataFrame:
     return documents.filter("doc_id is not null").select("doc_id", planted_text(F.col("text"), F.col("doc_id")).alias("text"))
 
 
+def deep(documents: DataFrame) -> DataFrame:
+    """Hidden characters all through and at the very end: every blank of one document in seven, and a space and a stack of marks behind each text."""
+    t = F.coalesce("text", F.lit(""))
+    dense = F.when(F.col("doc_id") % 7 == 0, F.translate(t, " ", "\u00a0")).otherwise(t)
+    return documents.filter("doc_id is not null").select("doc_id", F.concat(dense, F.lit("\n\u200be\u0301\u0302\u0303\u0304\u0305")).alias("text"))
+
+
 def spaced_text(text: Column, doc_id: Column) -> Column:
     """Untidy white space: other line endings, double blanks, trailing tabs, runs of blank lines."""
     t = F.coalesce(text, F.lit(""))
@@ -113,6 +120,9 @@ PLANTED_SQL = f"""planted AS (
   FROM (SELECT doc_id, 1 + doc_id % 40 AS p, CASE WHEN doc_id % 3 = 0 THEN replace(substr(x, 1, 200), ' ', chr(160)) || substr(x, 201) ELSE x END AS t
         FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents WHERE doc_id IS NOT NULL))
 )"""
+DEEP_SQL = f"""planted AS (
+  SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(coalesce(text, ''), ' ', chr(160)) ELSE coalesce(text, '') END || {_chars(chr(10) + chr(0x200B) + "e" + "".join(map(chr, range(0x301, 0x306))))} AS t FROM documents WHERE doc_id IS NOT NULL
+)"""
 SPACED_SQL = """spaced AS (
   SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(t, chr(10), chr(13) || chr(10)) ELSE t END AS t FROM (
     SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN chr(10) || chr(10) || '  ' || t || chr(10) || chr(10) ELSE t END AS t FROM (

@@ -12,7 +12,7 @@ from lexigrain.operators import fixes, legacy, office, regions, repair, report,
 from lexigrain.plans.applying import RepairStore
 from lexigrain.plans.audit import audit
 from lexigrain.plans.files import scan_files
-from lexigrain.plans.planting import PLANTED_SQL, SPACED_SQL, STYLED_SQL, packed, planted, planted_text, spaced, styled
+from lexigrain.plans.planting import DEEP_SQL, PLANTED_SQL, SPACED_SQL, STYLED_SQL, deep, packed, planted, planted_text, spaced, styled
 from lexigrain.plans.settings import Settings
 from lexigrain.plans.validation import validated
 from lexigrain.sources.log import BatchLog, shared_folder
@@ -95,6 +95,26 @@ def findings_auto(spark, sf_dir):
     return scan.find_characters_auto(planted(documents(spark, sf_dir)), ["doc_id"]).select(*COLUMNS)
 
 
+DEEP_PLACES = 'count(*) AS n, sum(code_point)::BIGINT AS code_points, sum(scalar_index)::BIGINT AS scalars, sum(byte_offset)::BIGINT AS bytes, max(line)::BIGINT AS last_line, sum("column")::BIGINT AS columns'
+
+
+def _places(found_):
+    sums = [F.sum(c).cast("long").alias(name) for c, name in (("code_point", "code_points"), ("scalar_index", "scalars"), ("byte_offset", "bytes"), ("column", "columns"))]
+    return found_.groupBy("doc_id").agg(F.count("*").alias("n"), *sums, F.max("line").cast("long").alias("last_line"))
+
+
+@query(f'WITH {DEEP_SQL}, {CH}, {CAT}, {FOUND}, {MARKS} SELECT doc_id, {DEEP_PLACES} FROM (SELECT {PLACES} FROM f UNION ALL SELECT {PLACES} FROM z) GROUP BY doc_id')
+def findings_deep(spark, sf_dir):
+    """Places of findings all through long texts and at their ends."""
+    return _places(scan.find_all(deep(documents(spark, sf_dir))))
+
+
+@query(f"WITH {DEEP_SQL}, {CH}, {CAT}, {FOUND} SELECT doc_id, {DEEP_PLACES} FROM f GROUP BY doc_id")
+def findings_dense_deep(spark, sf_dir):
+    """The same for characters by the dense plan, where one document in seven is dense."""
+    return _places(scan.find_characters_dense(deep(documents(spark, sf_dir)), ["doc_id"]))
+
+
 @query(f"{SCAN}, {MARKS} SELECT {PLACES}, combining_marks, combining_marks + (scalar_index > 0)::BIGINT AS cluster_scalars FROM z")
 def stacked_marks(spark, sf_dir):
     return scan.find_stacked_marks(planted(documents(spark, sf_dir))).select(*COLUMNS, "combining_marks", "cluster_scalars")
