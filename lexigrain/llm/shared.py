@@ -29,46 +29,50 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables that ``written`` made inside ``collected`` and that nothing is to keep.
-_left: list[str] = []
-_collecting = False
+#: Of each application, the folders that ``written`` made inside ``collected`` and that nothing is to keep.
+_left: dict[str, list[str]] = {}
+#: Spark's setting by which a query's shuffles are removed when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_collecting: set[str] = set()
 
 
 @contextmanager
-def collected() -> Iterator[None]:
-    """Notes what ``written`` makes in here, for ``clear``."""
-    global _collecting
-    before, _collecting = _collecting, True
+def collected(spark: SparkSession) -> Iterator[None]:
+    """Notes what ``written`` makes in here, for ``clear``; queries leave no shuffles behind."""
+    app = spark.sparkContext.applicationId
+    outer, before = app in _collecting, spark.conf.get(CLEANUP, "false")
+    _collecting.add(app)
+    spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
-        _collecting = before
+        spark.conf.set(CLEANUP, before)
+        if not outer:
+            _collecting.discard(app)
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here. ``clear`` spares it with ``keep``."""
-    path = new_folder(df.sparkSession, name)
+    path, app = new_folder(df.sparkSession, name), df.sparkSession.sparkContext.applicationId
     df.write.option("compression", "zstd").parquet(path)
-    if _collecting:
-        # the driver's garbage holds the shuffles of this query; without it Spark's cleaner takes them off the disks
-        df.sparkSession._jvm.System.gc()
-        if not keep:
-            _left.append(path)
+    if app in _collecting and not keep:
+        _left.setdefault(app, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Takes away what ``collected`` has noted. Only where all results that read it are written themselves."""
-    while _left:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_left.pop())
+def clear(spark: SparkSession, needed: DataFrame | None = None) -> None:
+    """Takes away what ``collected`` has noted, but for the folders that ``needed`` reads. Other results that read them must be written by then."""
+    app = spark.sparkContext.applicationId
+    noted = _left.pop(app, [])
+    read = {f.rpartition("/")[0].rpartition("/")[2] for f in needed.inputFiles()} if noted and needed is not None else set()
+    for path in noted:
+        if path.rpartition("/")[2] in read:
+            _left.setdefault(app, []).append(path)
+            continue
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def row_count(df: DataFrame) -> int:
-    """Rows of a table that ``written`` made (Parquet footers answer this)."""
-    return df.count()
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

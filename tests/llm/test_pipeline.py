@@ -50,6 +50,20 @@ def test_empty_and_null_rows(spark, tmp_path):
     assert p.run(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_clashing_columns_and_chained_stages(spark, tmp_path):
+    near = text("near", 64)
+    rows = [(1, text("one"), "xx", "s", 1), (3, near, "xx", "s", 1), (4, near.replace("near3c", "other"), "xx", "s", 1), (5, text("five") + "\n" + " ".join(f"q{k}" for k in range(20)), "xx", "s", 1), (6, text("one"), "xx", "s", 1)]
+    write(spark, str(tmp_path), rows, [(0, " ".join(f"q{k}" for k in range(16)))])
+    docs, d = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    names = ["gone", "mark", "gone_id", "gone_mark", "twice_id", "twice_mark", "row_mark", "n_lines", "n_removed_lines", "component", "node", "kept"]
+    docs = docs.withColumns({n: docs["doc_id"] for n in names})
+    docs = docs.unionAll(docs)
+    # each stage on what the one before gave, unwritten
+    for stage, left in ((p.quality_rules, [1, 1, 3, 3, 4, 4, 5, 5, 6, 6]), (p.one_of_each_group, [1, 3, 5]), (p.without_benchmark, [1, 3]), (p.dedup_lines, [1, 3])):
+        docs = stage(spark, docs, d)
+        assert ids(docs) == left and docs.columns[5:] == names and all(r.gone == r.doc_id == r.mark for r in docs.collect())
+
+
 def brute_line_stage(rows, percent=90):
     """Texts after all pairs of different lines were compared; documents without a word left are gone."""
     occ = sorted((i, k, line_dedup.normal(x).decode()) for i, t, *_ in rows if t is not None for k, x in enumerate(t.encode().split(b"\n")))
