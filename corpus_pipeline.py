@@ -12,8 +12,8 @@ for the next one. All but the last return the columns of ``documents``:
 4. benchmark_decontamination: documents that hold a passage of a benchmark item go.
 5. best_fit_packing: what is left becomes sequences of at most 2048 tokens.
 
-A stage first takes away what earlier ones left in the shared folder, so their results must
-be written by then. Rows with a null doc_id pass stages 2 and 3 as they are. ``ORACLE_SQL`` is None, as SQL
+A stage first takes away what earlier ones left in the shared folder, but for what its own input reads;
+other results of earlier stages must be written by then. Input columns may have any names. Rows with a null doc_id pass stages 2 and 3 as they are. ``ORACLE_SQL`` is None, as SQL
 has no tokenizers; tests hold every stage against a brute-force version.
 """
 
@@ -39,14 +39,22 @@ LINE_PERCENT = 90
 
 def mark():
     """Tells rows of one doc_id with different texts apart."""
-    return F.xxhash64("text").alias("mark")
+    return F.xxhash64("text")
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"{name}_"
+    return name
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` less these (doc_id, mark) rows; Spark broadcasts them only if their size allows."""
-    gone = written(rows.distinct(), "dropped")
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
-    return docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_mark")), "left_anti")
+    doc_id, its_mark = unused(docs, "gone_id"), unused(docs, "gone_mark")
+    gone = written(rows.distinct(), "dropped").select(F.col("doc_id").alias(doc_id), F.col("mark").alias(its_mark))
+    return docs.join(gone, (F.col("doc_id") == F.col(doc_id)) & (mark() == F.col(its_mark)), "left_anti")
 
 
 def tidy(stage: Stage) -> Stage:
@@ -54,8 +62,8 @@ def tidy(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        clear(spark)
-        with collected():
+        clear(spark, docs)
+        with collected(spark):
             return stage(spark, docs, sf_dir)
 
     return run_
@@ -82,7 +90,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @tidy
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.jaccard_components(docs.select("doc_id", "text", mark()), n=5, percent=80, carry=("mark",))
+    found = ngram_join.jaccard_components(docs.select("doc_id", "text", mark().alias("mark")), n=5, percent=80, carry=("mark",))
     found = written(found.filter("doc_id is not null").select("doc_id", "mark", "component"), "components")
     first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
     left = without(docs, found.join(first, "component").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("mark") != F.col("first.mark"))).select("doc_id", "mark"))
@@ -91,16 +99,21 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     twice = written(twice, "repeated-rows")
     if twice.isEmpty():
         return left
-    repeated = left.select("*", mark()).join(twice, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]).select(*docs.columns)
+    doc_id, its_mark = unused(docs, "twice_id"), unused(docs, "twice_mark")
+    again = twice.select(F.col("doc_id").alias(doc_id), F.col("mark").alias(its_mark))
+    repeated = left.join(again, (F.col("doc_id") == F.col(doc_id)) & (mark() == F.col(its_mark)), "left_semi").withColumn(its_mark, mark())
+    repeated = repeated.dropDuplicates(["doc_id", its_mark]).drop(its_mark)
     return without(left, twice).unionByName(repeated)
 
 
 @tidy
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.contaminated(docs.withColumn("row_mark", F.xxhash64("doc_id", "text")).select(F.col("row_mark").alias("doc_id"), "text"), benchmark)
-    gone = written(found.select(F.col("doc_id").alias("gone")).distinct(), "dropped")
-    return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("gone"), "left_anti")
+    row = F.xxhash64("doc_id", "text")
+    found = decontam.contaminated(docs.select(row.alias("doc_id"), "text"), benchmark)
+    name = unused(docs, "gone")
+    gone = written(found.select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    return docs.join(gone, row == F.col(name), "left_anti")
 
 
 @tidy
