@@ -39,6 +39,8 @@ from lexigrain.llm.shared import written
 
 #: Sets whose search is one task's work, and 64-bit shingle hashes in them (128 MB).
 BLOCK, BLOCK_TOKENS = 4000, 16_000_000
+#: Rows, and bytes of pivots' sets, that are broadcast.
+FEW_ROWS, FEW_BYTES = 100_000, 32 << 20
 RATIO = 1.5
 #: A set meets those of its own band and of three bands above it: sizes up to 1.5 ** 3 = 3.375 times its own.
 LEAST_PERCENT = 30
@@ -223,8 +225,8 @@ def fingerprint_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
     return documents.select("text").mapInArrow(run, "h long, node long")
 
 
-def with_sets(members: DataFrame, documents: DataFrame, n: int) -> DataFrame:
-    """``members`` (doc_id, node, cluster, ...) with ``tokens``: the set as packed 64-bit hashes."""
+def with_sets(members: DataFrame, documents: DataFrame, n: int, few: bool = False) -> DataFrame:
+    """``members`` (doc_id, node, cluster, ...) with ``tokens``: the set as packed 64-bit hashes. ``few``: they can be broadcast."""
     extra = [c for c in members.columns if c != "doc_id"]  # rows of one doc_id with another set are left out
     schema = members.drop("doc_id").schema
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", tokens binary"
@@ -238,7 +240,7 @@ def with_sets(members: DataFrame, documents: DataFrame, n: int) -> DataFrame:
                 at = pa.array(lo + own)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in extra), pa.array(t, pa.binary())], names=[*extra, "tokens"])
 
-    return documents.select("doc_id", "text").join(members, "doc_id").select(*extra, "text").mapInArrow(run, out)
+    return documents.select("doc_id", "text").join(F.broadcast(members) if few else members, "doc_id").select(*extra, "text").mapInArrow(run, out)
 
 
 def unpack(x: bytes) -> np.ndarray:
@@ -293,7 +295,8 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, bloc
     first = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
     members = first.join(clusters, "node").join(shared, "node", "left").select("doc_id", "node", "n_shingles", "cluster", F.coalesce("shared", F.lit(0)).alias("shared"))
     size = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.max_by("node", F.struct("shared", "node")).alias("pivot"))
-    members = written(with_sets(members.join(size, "cluster").select("doc_id", "node", "cluster", "n", "total", "pivot"), docs, n), "members")
+    thin = written(members.join(size, "cluster").select("doc_id", "node", "cluster", "n", "total", "pivot"), "members")
+    members = written(with_sets(thin, docs, n), "member-sets")
 
     # small clusters: one group each
     zero, yes = F.lit(0).cast("long"), F.lit(True)
@@ -302,9 +305,14 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, bloc
     small = members.filter(~big).select("cluster", zero.alias("block"), zero.alias("chunk"), "node", "tokens", F.lit(False).alias("near"), yes.alias("indexed"), yes.alias("asked"))
     found = searched(small, percent)
 
-    large = members.filter(big)
-    if not large.isEmpty():
-        large = written(near_pivot(large, percent), "large")
+    heads = thin.filter(big & (F.col("node") == F.col("pivot")))
+    n_heads = heads.count()
+    if n_heads:
+        pivots = written(with_sets(heads, docs, n, n_heads <= FEW_ROWS).select("cluster", F.col("tokens").alias("pivot_tokens")), "pivots")
+        # sets stay where they are and are held against their pivot on the fly, or are stored once more where the pivots are many
+        few = (pivots.agg(F.sum(F.octet_length("pivot_tokens"))).first()[0] or 0) <= FEW_BYTES
+        large = near_pivot(members.filter(big), pivots, percent, few)
+        large = large if few else written(large, "large")
         found = found.unionAll(large.filter("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         asked = large.groupBy("cluster").agg(F.count_if(~F.col("near")).alias("asked_n"), F.sum(F.when(~F.col("near"), F.octet_length("tokens") / 8)).alias("asked_total"))
         pieces = lambda c, t: F.greatest(F.lit(1), F.ceil(F.col(c) / block), F.ceil(F.col(t) / BLOCK_TOKENS)).cast("long")
@@ -326,8 +334,8 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, bloc
     )
 
 
-def near_pivot(large: DataFrame, percent: int) -> DataFrame:
-    """Adds ``near``: does the set link with its cluster's pivot."""
+def near_pivot(large: DataFrame, pivots: DataFrame, percent: int, few: bool) -> DataFrame:
+    """Adds ``near``: does the set link with its cluster's pivot (cluster, pivot_tokens). ``few``: these can be broadcast."""
     names = ["node", "cluster", "n", "total", "pivot", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,5 +347,4 @@ def near_pivot(large: DataFrame, percent: int) -> DataFrame:
                 flag.append(100 * k >= percent * (len(x) + len(y) - k))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(flag, pa.bool_())], names=[*names, "near"])
 
-    pivots = large.filter("node = pivot").select("cluster", F.col("tokens").alias("pivot_tokens"))
-    return large.join(pivots, "cluster").select(*names, "pivot_tokens").mapInArrow(run, "node long, cluster long, n long, total long, pivot long, tokens binary, near boolean")
+    return large.join(F.broadcast(pivots) if few else pivots, "cluster").select(*names, "pivot_tokens").mapInArrow(run, "node long, cluster long, n long, total long, pivot long, tokens binary, near boolean")
