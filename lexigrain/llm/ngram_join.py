@@ -5,7 +5,9 @@ Jaccard similarity of at least ``percent`` differ in few shingles, so, with the
 dealt into a few more parts than that by hash, some part is equal in both: each set
 files one fingerprint per part (by size band, so both use the same parts), and sets that
 share a fingerprint meet in a cluster. Shingles that many documents share do not bring
-others together, as a fingerprint holds several.
+others together, as a fingerprint holds several. Short sets could have all that they share in
+differing parts, so they also meet by their rarest shingles, of which two sets with enough
+in common always share one.
 
 In a cluster the sets are indexed by shingle and each is searched by DivideSkip: the
 short inverted lists are merged and counted, sets that reach the overlap less the number
@@ -97,8 +99,10 @@ def fingerprints(s: Sets, use: np.ndarray, percent: int) -> tuple[np.ndarray, np
 
     Sets of s and l >= s shingles that link have l <= s / t and differ in at most
     s (1 - t) / t shingles, t = percent / 100. Band i holds such pairs with s in
-    [b(i), b(i + 1)); its number of parts exceeds the differences by a quarter and 8, so
-    an equal part that is not empty is there even if some parts are.
+    [b(i), b(i + 1)); its number of parts exceeds the differences by a quarter and 8. An
+    equal part that is not empty is there unless all common shingles fall into differing
+    parts: for sets from ``sure_size`` on as unlikely as two equal hashes; links of shorter
+    ones come together by ``prefix_rows``.
     """
     b = band_starts(int(s.size.max(initial=1)))
     parts = -(-5 * b[1:] * (100 - percent) // (4 * percent)) + 8
@@ -225,6 +229,44 @@ def fingerprint_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
     return documents.select("text").mapInArrow(run, "h long, node long")
 
 
+def sure_size(percent: int) -> int:
+    """From this size of the smaller set on, all common shingles of a link fall into differing parts with a chance under 1e-12."""
+    t, s = percent / 100, 1
+    while True:
+        differ = s * (1 - t) / t
+        if (differ / (1.25 * differ + 8)) ** (t * s) < 1e-12:
+            return s
+        s += 1
+
+
+def short_sets(documents: DataFrame, n: int, most: int) -> DataFrame:
+    """(node, size, token) of the sets of up to ``most`` shingles, each set once in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _lo, _hi, buf, offs in chunks(batch.column("text")):
+                s = Sets(buf, offs, n)
+                node = s.identity()
+                own = np.zeros(len(node), bool)
+                own[np.unique(node, return_index=True)[1]] = True
+                own &= (s.size > 0) & (s.size <= most)
+                k = own[s.doc]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[s.doc[k]].view(np.int64), s.size[s.doc[k]], s.tokens[k].view(np.int64))], names=["node", "size", "token"])
+
+    return documents.select("text").mapInArrow(run, "node long, size long, token long").distinct()
+
+
+def prefix_rows(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """(h, node) that bring all links together whose smaller set is short, where parts could miss some: of two sets with an overlap
+    of o, the rarest size - o + 1 shingles of each have one in common. Rare ones are in few lists, so common shingles gather no crowd."""
+    most = sure_size(percent) * 100 // percent
+    tokens = written(short_sets(documents, n, most), "short-sets")
+    common = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("node").orderBy("n", "token")  # at most ``most`` rows
+    ranked = tokens.join(common, "token").withColumn("rank", F.row_number().over(rarest))
+    return ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).select(F.xxhash64("token", F.lit(1)).alias("h"), "node")
+
+
 def with_sets(members: DataFrame, documents: DataFrame, n: int, few: bool = False) -> DataFrame:
     """``members`` (doc_id, node, cluster, ...) with ``tokens``: the set as packed 64-bit hashes. ``few``: they can be broadcast."""
     extra = [c for c in members.columns if c != "doc_id"]  # rows of one doc_id with another set are left out
@@ -288,7 +330,8 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, bloc
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry)
     sets = written(set_rows(docs, n, list(carry)), "sets")
     least = F.min("node").over(Window.partitionBy("h"))
-    edges = fingerprint_rows(docs, n, percent).withColumn("to", least).filter("node <> to").groupBy("node", "to").count()
+    keys = fingerprint_rows(docs, n, percent).unionAll(prefix_rows(docs, n, percent))
+    edges = keys.withColumn("to", least).filter("node <> to").groupBy("node", "to").count()
     edges = written(edges, "meetings")
     clusters = connected_components(edges.select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("component", "cluster")
     shared = edges.groupBy("node").agg(F.sum("count").alias("shared"))

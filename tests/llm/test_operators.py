@@ -107,6 +107,34 @@ def test_ngram_join_at_the_threshold(spark, n, percent, size):
     assert out == brute_components(rows, n, percent) == [(2 * k + j, size + j, 2 * k) for k in range(3) for j in range(2)]
 
 
+@pytest.mark.parametrize("percent", [50, 60, 75, 80, 90, 95])
+def test_no_link_of_short_sets_is_lost(spark, percent):
+    """Pairs of sets of up to 12 shingles (one word each) of every size and overlap, the same common words apart from the pair's own."""
+    rows, want = [], []
+    for a in range(1, 13):
+        for b in range(a, 13):
+            for o in range(0, a + 1):
+                k = len(rows)
+                w = lambda x, y: [f"{x}{k}w{i}" for i in range(y)]  # noqa: B023, E731
+                both = w("b", max(0, o - 1)) + ["common"] * (o > 0)
+                rows += [(k, " ".join(both + w("l", a - o)), "en", "s", 1), (k + 1, " ".join(both + w("r", b - o)), "en", "s", 1)]
+                # links through the common word alone join other pairs, too: those are for the brute force
+                want.append((k, 100 * o >= percent * (a + b - o)))
+    out = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(frame(spark, rows), 1, percent).collect()}
+    assert [(k, out[k] == out[k + 1]) for k, linked in want if linked] == [(k, True) for k, linked in want if linked]
+    assert len({out[k] for k in out}) > 100
+
+
+def test_many_small_pairs_at_the_threshold(spark):
+    """8 and 9 words, four of five shingles in common: of such pairs parts alone lose some in ten thousand."""
+    rows = []
+    for k in range(4000):
+        w = [f"p{k}w{i}" for i in range(9)]
+        rows += [(2 * k, " ".join(w[:8]), "en", "s", 1), (2 * k + 1, " ".join(w), "en", "s", 1)]
+    out = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(frame(spark, rows), 5, 80).collect()}
+    assert all(out[2 * k + 1] == 2 * k for k in range(4000))
+
+
 def test_divide_skip_is_exact():
     r = np.random.default_rng(7)
     base = r.integers(0, 2**63, 60).astype(U)
