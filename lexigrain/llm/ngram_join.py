@@ -359,7 +359,8 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, bloc
         found = found.unionAll(large.filter("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         asked = large.groupBy("cluster").agg(F.count_if(~F.col("near")).alias("asked_n"), F.sum(F.when(~F.col("near"), F.octet_length("tokens") / 8)).alias("asked_total"))
         pieces = lambda c, t: F.greatest(F.lit(1), F.ceil(F.col(c) / block), F.ceil(F.col(t) / BLOCK_TOKENS)).cast("long")
-        cut = large.join(asked.filter("asked_n > 0"), "cluster").withColumns({"blocks": pieces("n", "total"), "chunks": pieces("asked_n", "asked_total")})
+        asked = written(asked.filter("asked_n > 0"), "asked")
+        cut = large.join(F.broadcast(asked) if n_heads <= FEW_ROWS else asked, "cluster").withColumns({"blocks": pieces("n", "total"), "chunks": pieces("asked_n", "asked_total")})
         numbers = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
         indexed = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("chunk", numbers("chunks")).withColumns({"indexed": yes, "asked": F.lit(False)})
         queries = cut.filter(~F.col("near")).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))).withColumn("block", numbers("blocks")).withColumns({"indexed": F.lit(False), "asked": yes})
