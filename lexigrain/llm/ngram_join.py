@@ -27,6 +27,7 @@ like any copies; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -357,14 +358,20 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, bloc
         large = near_pivot(members.filter(big), pivots, percent, few)
         large = large if few else written(large, "large")
         found = found.unionAll(large.filter("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        asked = large.groupBy("cluster").agg(F.count_if(~F.col("near")).alias("asked_n"), F.sum(F.when(~F.col("near"), F.octet_length("tokens") / 8)).alias("asked_total"))
         pieces = lambda c, t: F.greatest(F.lit(1), F.ceil(F.col(c) / block), F.ceil(F.col(t) / BLOCK_TOKENS)).cast("long")
-        asked = written(asked.filter("asked_n > 0"), "asked")
-        cut = large.join(F.broadcast(asked) if n_heads <= FEW_ROWS else asked, "cluster").withColumns({"blocks": pieces("n", "total"), "chunks": pieces("asked_n", "asked_total")})
+        asked = large.groupBy("cluster").agg(F.count_if(~F.col("near")).alias("asked_n"), F.coalesce(F.sum(F.when(~F.col("near"), F.octet_length("tokens") / 8)), F.lit(0)).alias("asked_total"), F.first("n").alias("n_"), F.first("total").alias("total_"))
+        asked = written(asked.filter("asked_n > 0").withColumns({"blocks": pieces("n_", "total_"), "chunks": pieces("asked_n", "asked_total")}).drop("n_"), "asked")
+        cut = large.join(F.broadcast(asked) if n_heads <= FEW_ROWS else asked, "cluster")
         numbers = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
         indexed = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("chunk", numbers("chunks")).withColumns({"indexed": yes, "asked": F.lit(False)})
         queries = cut.filter(~F.col("near")).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))).withColumn("block", numbers("blocks")).withColumns({"indexed": F.lit(False), "asked": yes})
-        found = found.unionAll(searched(indexed.select(*columns).unionAll(queries.select(*columns)), percent))
+        # every block meets every chunk; in rounds, each of which moves about as much as the sets themselves
+        moved, own = asked.agg(F.sum(F.col("total_") * F.col("chunks") + F.col("asked_total") * F.col("blocks")), F.sum("total_")).first()
+        rounds = max(1, math.ceil(moved / own)) if own else 0
+        for r in range(rounds):
+            mine = F.pmod(F.xxhash64("cluster", "block", "chunk"), F.lit(rounds)) == r
+            rows = indexed.filter(mine).select(*columns).unionAll(queries.filter(mine).select(*columns))
+            found = found.unionAll(written(searched(rows, percent), "links-of-round"))
 
     found = written(found, "links")
     joined = connected_components(found).withColumnRenamed("component", "label")
