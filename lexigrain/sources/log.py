@@ -10,6 +10,7 @@ The rename must fail if its target is there, as it does on HDFS and local file s
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,14 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the session's ``spark.checkpoint.dir``."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """A new path under the session's ``spark.checkpoint.dir``; where none is set and all runs on one machine, under a temporary folder that becomes it."""
+    sc, setting = spark.sparkContext, "spark.checkpoint.dir"
+    found = spark.conf.get(setting, None) or sc.getConf().get(setting) or sc.getCheckpointDir()
     if not found:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"{setting} must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrain-"))
+        found = sc.getCheckpointDir()
     return f"{found}/{name}-{uuid.uuid4().hex}"
 
 
