@@ -40,8 +40,8 @@ from lexigrain.llm.arrays import BASE, LOWER, U, Sums, chunks, grams, mix, range
 from lexigrain.llm.components import connected_components
 from lexigrain.llm.shared import written
 
-#: Sets whose search is one task's work, and 64-bit shingle hashes in them (128 MB).
-BLOCK, BLOCK_TOKENS = 4000, 16_000_000
+#: Sets whose search is one task's work, and 64-bit shingle hashes in them (32 MB, some six times that while they are indexed).
+BLOCK, BLOCK_TOKENS = 2000, 4_000_000
 #: Rows, and bytes of pivots' sets, that are broadcast.
 FEW_ROWS, FEW_BYTES = 100_000, 32 << 20
 RATIO = 1.5
