@@ -4,7 +4,7 @@ Stages take (spark, docs, sf_dir) and return a DataFrame that is written and rea
 for the next one. All but the last return the columns of ``documents``:
 
 1. quality_rules: documents that the base rules or the tokeniser bands reject go; bands are
-   fitted on the labels table, or, where there is none, those given in ``BANDS``.
+   fitted on all of the labels table, or, where there is none, those given in ``BANDS``.
 2. line_dedup: of lines that are near-equal (edit similarity of 0.9) across the corpus one
    stays; documents left without any word go.
 3. ngram_jaccard_join: of each group of documents linked by five-word shingles at a
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrain.llm import decontam, line_dedup, ngram_join, packing, quality
-from lexigrain.llm.queries import BANDS, PIECES, RANKS, fitted_bands
+from lexigrain.llm.queries import BANDS, PIECES, RANKS
 from lexigrain.llm.shared import clear, collected, exists, written
 from lexigrain.llm.vocab import vocabulary_path
 
@@ -72,8 +72,8 @@ def tidy(stage: Stage) -> Stage:
 @tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = f"{sf_dir}/labels.parquet"
-    bands = fitted_bands(docs, spark.read.parquet(labels)) if exists(spark, labels) else BANDS
-    return quality.kept_documents(docs, bands, vocabulary_path(PIECES), vocabulary_path(RANKS))
+    good = spark.read.parquet(labels) if exists(spark, labels) else None
+    return quality.kept_documents(docs, BANDS, vocabulary_path(PIECES), vocabulary_path(RANKS), good)
 
 
 @tidy

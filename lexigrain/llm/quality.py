@@ -6,11 +6,11 @@ entropy of its tokens; the latter is divided by the most that so many tokens can
 A document is rejected if a measure lies outside the band of its language and script (its
 most frequent script, by the leading bytes of its letters).
 
-Bands are fitted on a bounded sample of labelled good documents (``fit_bands``): each
-measure's middle is a line over the logarithm of the number of tokens, its spread f² + s² /
+Bands are fitted on all documents labelled good (``fit_bands``), from the counts that are
+judged afterwards, so that each text is counted once: each measure's middle is a line over the logarithm of the number of tokens, its spread f² + s² /
 tokens, and the band reaches ``width`` spreads to either side; so short documents have wide
-bands. Languages with fewer than ``LEAST_ROWS`` sample rows take the bands of all rows
-together; with no sample at all, bands reject nothing. Bands can also be given (``Band``);
+bands. Languages with fewer than ``LEAST_ROWS`` labelled rows take the bands of all rows
+together; with none at all, bands reject nothing. Bands can also be given (``Band``);
 these widen in proportion for documents under ``FULL_TOKENS`` tokens.
 
 Defined results: a null or empty text has no words, all counts 0, null measures and script, and
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.arrays import EXACT, SPACE, Sums, chunks, covered, grams, per_doc, repeated, words
+from lexigrain.llm.shared import written
 from lexigrain.llm.vocab import piece_tokens, rank_tokens
 
 COUNTS = (
@@ -42,8 +43,8 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 5
 MEASURES = ["chars_per_token", "chars_per_token_2", "byte_share", "evenness"]
-#: Labelled documents that bands are fitted on, at most; rows from which a language and script has bands of its own.
-SAMPLE_ROWS, LEAST_ROWS = 5000, 30
+#: Rows from which a language and script has bands of its own.
+LEAST_ROWS = 30
 #: Spreads to either side, and the least spread of any measure.
 WIDTH, LEAST_SPREAD = 5.0, 0.02
 FULL_TOKENS = 100
@@ -165,15 +166,15 @@ def judged(counted: DataFrame, bands: dict[str, Band]) -> DataFrame:
     return df.withColumn("band_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.col("band_failed"))
 
 
-def label_sample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` of the documents labelled good, chosen by the hash of their ids."""
+def label_sample(documents: DataFrame, labels: DataFrame, rows: int | None = None) -> DataFrame:
+    """The documents labelled good, all of them unless ``rows`` says how many, which are chosen by the hash of their ids."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = good if rows is None else good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return documents.join(chosen, "doc_id", "left_semi")
 
 
 def fit_bands(counted: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """(lang, script, bands) of a bounded table of counts; one row with nulls is that of all together.
+    """(lang, script, bands) of a table of counts; one row with nulls is that of all together.
 
     ``bands`` maps a measure to its line (level, slope over ln tokens) and spread (fixed, per_token).
     """
@@ -184,6 +185,7 @@ def fit_bands(counted: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     group = ["kind", "measure"]
     line = rows.groupBy(*group).agg(F.regr_slope("v", "u").alias("slope"), F.avg("v").alias("mean_v"), F.avg("u").alias("mean_u"), F.count("*").alias("n"))
     line = line.select(*group, "n", F.coalesce("slope", F.lit(0.0)).alias("slope"), "mean_v", "mean_u").withColumn("level", F.col("mean_v") - F.col("slope") * F.col("mean_u"))
+    line = written(line, "lines")  # a row per kind and measure: Spark broadcasts it, and the rows are not dealt out by kind
     rest = rows.join(line, group).withColumn("e", F.pow(F.col("v") - F.col("level") - F.col("slope") * F.col("u"), 2))
     spread = rest.groupBy(*group, "n", "level", "slope").agg(F.regr_slope("e", "r").alias("per_token"), F.regr_intercept("e", "r").alias("fixed"), F.avg("e").alias("mean_e"))
     falls = F.coalesce(F.col("per_token") > 0, F.lit(False))
@@ -194,11 +196,11 @@ def fit_bands(counted: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
 
 
 def judged_by_fit(counted: DataFrame, fitted: DataFrame, width: float = WIDTH) -> DataFrame:
-    """As ``judged``, by fitted bands. These are at most ``SAMPLE_ROWS / LEAST_ROWS`` rows, so they are broadcast."""
+    """As ``judged``, by fitted bands, a row per language and script; Spark broadcasts them where their size allows."""
     fitted = fitted.withColumnsRenamed({"lang": "fit_lang", "script": "fit_script", "bands": "fit_bands"})
     own = fitted.filter("fit_lang is not null and fit_script is not null")
     common = fitted.filter("fit_lang is null and fit_script is null").select("fit_bands").first()
-    df = measured(counted).join(F.broadcast(own), (F.col("lang") == F.col("fit_lang")) & (F.col("script") == F.col("fit_script")), "left")
+    df = measured(counted).join(own, (F.col("lang") == F.col("fit_lang")) & (F.col("script") == F.col("fit_script")), "left")
     kind = own.schema["fit_bands"].dataType
     whole = F.lit(None).cast(kind) if common is None else F.from_json(F.lit(json.dumps({k: v.asDict() for k, v in common[0].items()})), kind)
     df = df.withColumn("fit_bands", F.coalesce("fit_bands", whole))
@@ -210,10 +212,18 @@ def judged_by_fit(counted: DataFrame, fitted: DataFrame, width: float = WIDTH) -
     return df.withColumn("band_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.col("band_failed")).drop("fit_lang", "fit_script", "fit_bands")
 
 
-def kept_documents(documents: DataFrame, bands: dict[str, Band] | DataFrame, pieces: str, ranks: str) -> DataFrame:
-    """The rows of ``documents`` that pass given or fitted bands, with their columns as they are."""
+def fitted_to(counted: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bands from all rows of ``counted`` that are labelled good."""
+    return written(fit_bands(label_sample(counted, labels)), "bands")
+
+
+def kept_documents(documents: DataFrame, bands: dict[str, Band] | DataFrame, pieces: str, ranks: str, labels: DataFrame | None = None) -> DataFrame:
+    """The rows of ``documents`` that pass given or fitted bands, with their columns as they are. With ``labels``, bands are fitted to these."""
     carry = documents.columns
     held = {c: f"own_{k}" for k, c in enumerate(carry) if c in own_columns()}  # clashing names stand aside meanwhile
     counted = counts(documents.withColumnsRenamed(held), pieces, ranks, [held.get(c, c) for c in carry])
+    if labels is not None:
+        counted = written(counted, "counted")
+        bands = fitted_to(counted.select("doc_id", "lang", *(x.split()[0] for x in COUNTS.split(", "))), labels)
     df = judged(counted, bands) if isinstance(bands, dict) else judged_by_fit(counted, bands)
     return df.filter("kept").select(*[F.col(held.get(c, c)).alias(c) for c in carry])
