@@ -34,20 +34,13 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm.arrays import chunks
 from lexigrain.llm.packing import token_rows
-from lexigrain.llm.vocab import SIMPLE, Encoded, WordTokens
+from lexigrain.llm.vocab import SIMPLE, Encoded, WordTokens, byte_letters
 
 NEVER = np.iinfo(np.int64).max
 #: Words normalised in one call.
 JOINED = 512
 
 
-def byte_letters() -> list[str]:
-    """The printable letter by which byte-level vocabularies write each byte: its own if it prints, else the next free one from U+0100."""
-    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = iter(range(0x100, 0x200))
-    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
-
-
 class ForcedBoundaryBpe:
     """A vocabulary as tables: symbols (a byte, or 256 more for one that ends a word), cuts, merges."""
 

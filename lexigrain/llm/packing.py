@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm.arrays import chunks, words
 from lexigrain.llm.shared import written
-from lexigrain.llm.vocab import WordTokens, word_bpe_tokens
+from lexigrain.llm.vocab import WordTokens, only, word_bpe_tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -41,9 +41,12 @@ def token_rows(tokens: WordTokens, buf: np.ndarray, offs: np.ndarray) -> tuple[n
     start, end, doc = words(buf, offs)
     data = buf.tobytes()
     data = data if b"<|" in data else data.lower()
-    last, before = buf[end - 1], buf[np.maximum(end - 2, 0)] | 0x20
-    mark = ((last == 44) | (last == 46)) & (end - start > 1) & (before >= 97) & (before <= 122)
-    rows = tokens.rows([data[a:b] for a, b in zip(start.tolist(), (end - mark).tolist(), strict=True)] + [b",", b"."])
+    last, before, lead = buf[end - 1], buf[np.maximum(end - 2, 0)], buf[np.maximum(end - 3, 0)]
+    letter = ((before | 0x20) >= 97) & ((before | 0x20) <= 122)
+    letter |= (end - start > 2) & (lead == 0xC3) & (before >= 0x80) & (before <= 0xBF) & (before != 0x97) & (before != 0xB7)  # À to ÿ
+    mark = ((last == 44) | (last == 46)) & (end - start > 1) & letter
+    n = len(data)
+    rows = tokens.rows_of(data + b",.", np.append(start, [n, n + 1]), np.append(end - mark, [n + 1, n + 2]))
     comma, stop = rows[-2:]
     out = np.repeat(rows[:-2], 1 + mark)
     own = np.cumsum(1 + mark)[mark] - 1
@@ -55,6 +58,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = 2048, closing_
     """One row per piece, without the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(word_bpe_tokens)
         tokens = word_bpe_tokens(path)
         for batch in batches:
             doc = batch.column("doc_id")

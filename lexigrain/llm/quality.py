@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm.arrays import EXACT, SPACE, Sums, chunks, covered, grams, per_doc, repeated, words
 from lexigrain.llm.shared import written
-from lexigrain.llm.vocab import piece_tokens, rank_tokens
+from lexigrain.llm.vocab import only, piece_tokens, rank_tokens
 
 COUNTS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -74,6 +74,7 @@ def counts(documents: DataFrame, pieces: str, ranks: str, carry: list[str]) -> D
     """The columns ``carry`` of ``documents``, and ``COUNTS``; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(piece_tokens, rank_tokens)
         (first, is_byte), second = piece_tokens(pieces), rank_tokens(ranks)
         for batch in batches:
             for lo, hi, buf, offs in chunks(batch.column("text")):
@@ -101,8 +102,7 @@ def counts(documents: DataFrame, pieces: str, ranks: str, carry: list[str]) -> D
                 in_repeat = covered(len(start), at[twice], WINDOW)
 
                 data = buf.tobytes()
-                ws = [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                r1, r2 = first.rows(ws), second.rows(ws)
+                r1, r2 = first.rows_of(data, start, end), second.rows_of(data, start, end)
                 ids = first.tokens(r1)
                 t_doc = np.repeat(doc, first.length[r1])
                 n_tok = np.bincount(t_doc, minlength=hi - lo)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import json
 import os
 import re
 from collections.abc import Callable
@@ -9,10 +12,11 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from lexigrain.llm.arrays import ranges
 
-#: Words kept in a Python worker's memory (about 75 MB), and bytes of words and ids; then it starts anew.
+#: Words kept in a Python worker's memory (about 75 MB), and bytes of words and ids; beyond that, those seldom used go.
 MAX_WORDS, MAX_BYTES = 300_000, 40_000_000
 
 #: Words in an order of the encoder's choice, all their ids, and how many ids each has.
@@ -41,11 +45,25 @@ class WordTokens:
         self.index: dict[bytes, int] = {}
         self.held = 0
         self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        #: Of each word, the calls that used it, the one that made room last included.
+        self.used = np.zeros(0, np.int32)
+
+    def make_room(self) -> None:
+        """Keeps the words that more than one call used, at most half of what may be held: the most used ones."""
+        known, size, used = list(self.index), self.length * 4 + np.fromiter(map(len, self.index), np.int64, len(self.index)), self.used
+        keep = np.flatnonzero(used > 1)
+        keep = keep[np.argsort(-used[keep], kind="stable")][: self.max_words // 2]
+        keep = np.sort(keep[np.cumsum(size[keep]) <= MAX_BYTES // 2])
+        flat, n = self.tokens(keep), self.length[keep]
+        self.reset()
+        self.index = {known[k]: i for i, k in enumerate(keep.tolist())}
+        self.start, self.length, self.flat, self.held = np.cumsum(n) - n, n, flat, int(size[keep].sum())
+        self.used = np.ones(len(keep), np.int32)
 
     def rows(self, words: list[bytes]) -> np.ndarray:
-        """The row of each word, new words first encoded."""
+        """The row of each word, new words first encoded. Rows hold until the next call."""
         if len(self.index) > self.max_words or self.held > MAX_BYTES:
-            self.reset()
+            self.make_room()
         fresh = list(set(words).difference(self.index))
         if fresh:
             fresh, flat, n = self.encode(fresh)
@@ -55,7 +73,27 @@ class WordTokens:
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
             self.length = np.concatenate([self.length, n])
             self.flat = np.concatenate([self.flat, flat])
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int32)])
+        out = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        now = np.zeros(len(self.used), bool)
+        now[out] = True
+        self.used += now
+        return out
+
+    def rows_of(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """As ``rows``, for the words data[start:end]: equal ones of up to seven bytes are looked up once."""
+        n = end - start
+        few = np.flatnonzero(n < 8)
+        eight = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + bytes(8), np.uint8), 8)[start[few]]
+        # the bytes, zeros behind them, and their number
+        key = np.ascontiguousarray(eight).view("<u8").ravel() & ((np.uint64(1) << (8 * n[few]).astype(np.uint64)) - np.uint64(1)) | n[few].astype(np.uint64) << np.uint64(56)
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        ask = np.concatenate([few[first], np.flatnonzero(n >= 8)])
+        got = self.rows([data[a:b] for a, b in zip(start[ask].tolist(), end[ask].tolist(), strict=True)])
+        out = np.empty(len(n), np.int64)
+        out[few] = got[: len(first)][of]
+        out[n >= 8] = got[len(first) :]
+        return out
 
     def tokens(self, rows: np.ndarray) -> np.ndarray:
         """All ids of these rows, one after the other."""
@@ -86,37 +124,62 @@ def rank_encoder(path: str) -> Callable:
 
 #: Letters that normalisation and pre-tokenising leave whole.
 SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Such letters, then marks that make no contraction or special token: two pre-tokens, or one.
+PARTS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@[-`{-~]*)")
+
+
+def byte_letters() -> list[str]:
+    """The printable letter by which byte-level vocabularies write each byte: its own if it prints, else the next free one from U+0100."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
+
+
+def plain_steps(path: str) -> bool:
+    """Does a ``tokenizers`` file lower the case, compose, cut letters from marks, write bytes as letters, and nothing else?"""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps, cuts = ((spec.get(a) or {}).get(b, []) for a, b in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    return (
+        [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"}
+        and [s["type"] for s in cuts] == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+        and cuts[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+        and all("<" in t["content"] for t in spec["added_tokens"])
+    )
 
 
 def word_bpe_encoder(path: str) -> Callable:
     """A ``tokenizers`` BPE file with word ends whose pre-tokens never cross white space.
 
-    Words of plain letters are encoded joined by blanks and told apart by their word
-    ends; all others one by one. Both give the ids that the whole text would give.
+    Words of plain letters and marks go to its model at once where its other steps are known
+    to only lower the case and part the two; all others one by one through all steps. Both give
+    the ids that the whole text would give.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    vocab = tok.get_vocab()
-    is_end = np.zeros(max(vocab.values()) + 1, bool)
-    is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def alone(ws: list[bytes]) -> Encoded:
-        return packed(ws, [x.ids for x in tok.encode_batch_fast([w.decode("utf-8", "replace") for w in ws], add_special_tokens=False)])
+    model, letters, plain = tok.model, dict(enumerate(byte_letters())), plain_steps(path)
 
     def encode(ws: list[bytes]) -> Encoded:
-        plain = [w for w in ws if w.isalpha() or SIMPLE.fullmatch(w.decode("utf-8", "replace"))]
-        rest = list(set(ws).difference(plain)) if len(plain) < len(ws) else []
-        parts = [alone(rest)]
-        for k in range(0, len(plain), 512):
-            part = plain[k : k + 512]
-            x = tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids
-            ids = np.array(x, np.int32)
-            ends = np.flatnonzero(is_end[ids]) + 1
-            parts.append((part, ids, np.diff(ends, prepend=0)) if len(ends) == len(part) else alone(part))
-        words, flat, n = zip(*parts, strict=True)
-        return list(chain.from_iterable(words)), np.concatenate(flat), np.concatenate(n)
+        done, ids, rest = [], [], []
+        for w in ws:
+            text = w.decode("utf-8", "replace")
+            parts = plain and PARTS.fullmatch(text)
+            if not parts:
+                rest.append((w, text))
+                continue
+            out = []
+            for part in parts.groups():
+                if part:
+                    part = part.lower()
+                    out += [x.id for x in model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(letters))]
+            done.append(w)
+            ids.append(out)
+        if rest:
+            ids += [x.ids for x in tok.encode_batch_fast([t for _, t in rest], add_special_tokens=False)]
+        return packed(done + [w for w, _ in rest], ids)
 
     return encode
 
@@ -138,3 +201,18 @@ def piece_tokens(path: str) -> tuple[WordTokens, np.ndarray]:
 @cache
 def rank_tokens(path: str) -> WordTokens:
     return WordTokens(rank_encoder(path), MAX_WORDS // 2)
+
+
+LOADERS = (word_bpe_tokens, piece_tokens, rank_tokens)
+
+
+def only(*used: Callable) -> None:
+    """Gives back the memory of all vocabularies but those of the loaders ``used``: a Python worker serves one operator after another."""
+    others = [f for f in LOADERS if f not in used and f.cache_info().currsize]
+    for f in others:
+        f.cache_clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not every C library has it
+            trim(0)
