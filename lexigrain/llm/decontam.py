@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm.arrays import BASE, LOWER, U, Sums, chunks, mix, words
 from lexigrain.llm.shared import written
+from lexigrain.llm.vocab import only
 
 SCHEMA = "doc_id long, item_id long, doc_start long, item_start long, n_tokens long, n_matched long, n_hits long"
 #: Weight 6; every pattern of up to two substitutions in thirteen tokens leaves one of them whole somewhere.
@@ -142,6 +143,7 @@ def suspects(docs: DataFrame, field: np.ndarray, masks: tuple[str, ...]) -> Data
     bits = 64 * len(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         f = sent.value.view(np.uint8)
         for batch in batches:
             for lo, hi, buf, offs in chunks(batch.column("text")):

@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from lexigrain.llm.arrays import BASE, U, Sums, byte_table, chunks, grams, mix, per_doc, ranges, words
 from lexigrain.llm.components import connected_components, roots
 from lexigrain.llm.shared import written
+from lexigrain.llm.vocab import only
 from lexigrain.llm.windows import POS_BITS, gathered
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -456,6 +457,7 @@ def line_rows(docs: DataFrame, min_words: int, bits: int | None, percent: int) -
     """Every judged line: (h, doc_id, place); the first of a batch also has its text, ``sim``, ``bag``, ``chars``, ``n_tokens``, and without ``bits`` its ``keys``, ``short_keys`` and ``near`` lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             ids, marks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "mark"))
             known: set[int] = set()

@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from lexigrain.llm import vocab
+from lexigrain.llm import ngram_join, vocab
 from lexigrain.llm.arrays import chunks, words
 from lexigrain.llm.packing import token_rows
+from tests.llm.test_operators import frame
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -60,3 +61,13 @@ def test_another_operator_gives_the_vocabulary_back():
     assert vocab.word_bpe_tokens.cache_info().currsize
     vocab.only(vocab.piece_tokens, vocab.rank_tokens)
     assert not vocab.word_bpe_tokens.cache_info().currsize
+
+
+def test_the_bit_field_of_members_needs_no_python_beside_the_sets(spark):
+    """A task of the n-gram join runs one Python worker, and members all pass."""
+    docs = frame(spark, [(k, f"word{k} and more", "en", "s", 1) for k in range(500)])
+    got = ngram_join.only_marked(docs, docs.filter("doc_id % 50 = 7"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and got.columns == docs.columns
+    left = [x.doc_id for x in got.collect()]
+    assert len(left) == len(set(left)) < 250 and {k for k in range(500) if k % 50 == 7} <= set(left)
