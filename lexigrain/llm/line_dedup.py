@@ -50,7 +50,7 @@ from lexigrain.llm.arrays import BASE, U, Sums, byte_table, chunks, grams, mix,
 from lexigrain.llm.components import connected_components, roots
 from lexigrain.llm.shared import written
 from lexigrain.llm.vocab import only
-from lexigrain.llm.windows import POS_BITS, gathered
+from lexigrain.llm.windows import POS_BITS
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DROP = bytes.maketrans(b"123456789", b"000000000")
@@ -783,22 +783,24 @@ def remove_lines(documents: DataFrame, min_words: int = 5, bits: int | None = No
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text", mark.alias("mark"))
     seen, firsts = group_firsts(docs, min_words, bits, percent)
     gone = seen.select("h", "doc_id", "place").join(firsts, "h").filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.place") != F.col("place")))
-    gone = gathered(gone.select("doc_id", "place"))
+    mask = F.lit((1 << POS_BITS) - 1)
+    gone = gone.groupBy("doc_id", F.shiftright("place", POS_BITS).alias("own_mark")).agg(F.collect_list(F.col("place").bitwiseAND(mask)).alias("own"))
 
     # columns by number, so that no name of the input is in the way
     names = documents.columns
     plain = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
     key, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
-    joined = plain.withColumn("own_id", key).join(gone.withColumnRenamed("doc_id", "own_id").hint("merge"), "own_id", "left")
-    own = F.filter("places", lambda p: F.shiftright(p, POS_BITS) == F.shiftrightunsigned(F.xxhash64(text), 40))
-    joined = joined.withColumn("own", F.transform(own, lambda p: p.bitwiseAND(F.lit((1 << POS_BITS) - 1))))
-    cut = F.coalesce(F.size("own") > 0, F.lit(False))
-    lines = F.split(text, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col("own"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i.cast("int"))), "\n")
+    joined = plain.withColumns({"own_id": key, "own_mark": F.when(text.isNotNull(), F.shiftrightunsigned(F.xxhash64(text), 40))})
+    joined = joined.join(gone.withColumnRenamed("doc_id", "own_id").hint("merge"), ["own_id", "own_mark"], "left")
+    cut = F.col("own").isNotNull()
+    # a column that is used twice is made once a row; inside the functions below it would be made once a line
+    joined = joined.withColumn("lines", F.when(cut, F.split(text, "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("lines").cast("long") - 1), F.col("own"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i.cast("int"))), "\n")
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     joined = joined.withColumns({
         "new": F.when(cut, kept).otherwise(text),
-        "n_lines": F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
+        "n_lines": F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(breaks + 1).cast("long"),
         "n_removed_lines": F.when(cut, F.size("own")).otherwise(0).cast("long"),
     })
     return joined.select(*[F.col("new" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(names)], "n_lines", "n_removed_lines")

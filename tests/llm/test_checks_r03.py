@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
-from lexigrain.llm import ngram_join, vocab
+from lexigrain.llm import line_dedup, ngram_join, vocab
 from lexigrain.llm.arrays import chunks, words
 from lexigrain.llm.packing import token_rows
 from tests.llm.test_operators import frame
@@ -71,3 +73,14 @@ def test_the_bit_field_of_members_needs_no_python_beside_the_sets(spark):
     assert "ArrowEvalPython" not in plan and got.columns == docs.columns
     left = [x.doc_id for x in got.collect()]
     assert len(left) == len(set(left)) < 250 and {k for k in range(500) if k % 50 == 7} <= set(left)
+
+
+def test_a_text_is_split_once_not_once_a_line(spark):
+    """What is left of a text is put together from lines that were cut once a row; the bounds of rows of one doc_id hold."""
+    rows = [(1, "a line that stands here twice\nown one", "en", "s", 1), (2, "\n".join([*(f"{chr(97 + k % 26) * 9} {k}" for k in range(40)), "a line that stands here twice", ""]), "en", "s", 1), (2, None, "en", "s", 1), (None, "a line that stands here twice", "en", "s", 1)]
+    got = line_dedup.remove_lines(frame(spark, rows))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and not re.search(r"lambdafunction\([^\n]{0,40}split\(", plan)
+    out = {(x.doc_id, x.text is None): x for x in got.collect()}
+    assert out[2, False].text == rows[1][1].replace("\na line that stands here twice", "") and (out[2, False].n_lines, out[2, False].n_removed_lines) == (42, 1)
+    assert out[1, False].text == rows[0][1] and out[None, False].text == rows[3][1] and out[2, True].n_removed_lines == 0
