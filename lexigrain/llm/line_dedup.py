@@ -48,12 +48,15 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm.arrays import BASE, U, Sums, byte_table, chunks, grams, mix, per_doc, ranges, words
 from lexigrain.llm.components import connected_components, roots
+from lexigrain.llm.ngram_join import only_marked
 from lexigrain.llm.shared import written
 from lexigrain.llm.vocab import only
 from lexigrain.llm.windows import POS_BITS
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DROP = bytes.maketrans(b"123456789", b"000000000")
+#: ``DROP``, with blanks alike.
+PLAIN = bytes.maketrans(b"123456789\t\v\f\r", b"000000000    ")
 #: Lines that a key of SimHash blocks may hold by chance before one more block is used.
 CROWD = 64
 #: SimHash bits in which lines that meet may differ; tokens of a shingle; hash classes of shingles.
@@ -86,6 +89,19 @@ PUNCT = np.zeros(256, bool)
 PUNCT[list(PUNCTUATION)] = True
 
 
+def per_row(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of n values from begin on."""
+    c = np.concatenate([[0], np.cumsum(values)])
+    return c[begin + n] - c[begin]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """A place of each value."""
+    o = np.argsort(values)
+    v = values[o]
+    return o[np.concatenate([[True], v[1:] != v[:-1]])[: len(o)]]
+
+
 def simhash(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """SimHashes of sequences of hashes: majority of the bits of their different members, ties to 0.
 
@@ -94,8 +110,7 @@ def simhash(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """
     line = np.repeat(np.arange(len(n)), n)
     h = values[ranges(begin, n)]
-    once = np.unique(mix(h ^ (line.astype(U) + U(1)) * BASE), return_index=True)[1]
-    once.sort()
+    once = np.sort(distinct(mix(h ^ (line.astype(U) + U(1)) * BASE)))
     h, line = mix(h[once] ^ U(0x1B873593CC9E2D51)), line[once]
     n = np.bincount(line, minlength=len(n))
     if not len(h):
@@ -130,19 +145,23 @@ class Lines:
         bounds = np.searchsorted(w_start, np.searchsorted(kept, self.start))
         n = np.searchsorted(w_start, self.line_ends) - bounds
         self.judged = np.flatnonzero(n >= max(1, min_words))
-        self.n_words = n[self.judged]
+        self.n_words, self.first = n[self.judged], bounds[self.judged]
         power = np.cumprod(np.concatenate([[U(1)], np.full(max(int(n.max(initial=1)), 1), BASE, U)]), dtype=U)
         at = ranges(np.zeros(len(self.judged), np.int64), self.n_words)
-        self.words = w[ranges(bounds[self.judged], self.n_words)]
+        self.words = w[ranges(self.first, self.n_words)]
         self.begin = np.cumsum(self.n_words) - self.n_words
         self.hash = mix(np.add.reduceat(mix(self.words) * power[at], self.begin) + self.n_words.astype(U)) if len(self.judged) else w[:0]
 
     def word_simhash(self, rows: np.ndarray) -> np.ndarray:
         return simhash(self.words, self.begin[rows], self.n_words[rows])
 
-    def texts(self, data: bytes, rows: np.ndarray) -> list[bytes]:
-        at = self.judged[rows]
-        return [normal(data[a:b]) for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+    def texts(self, rows: np.ndarray) -> list[bytes]:
+        """The lines as ``normal`` makes them."""
+        data = self.bytes.tobytes().lower().translate(PLAIN)
+        begin, end = self.w_start[self.first[rows]], self.w_end[self.first[rows] + self.n_words[rows] - 1]
+        length = per_row(self.w_end - self.w_start, self.first[rows], self.n_words[rows])
+        single = end - begin == length + self.n_words[rows] - 1  # one blank between words
+        return [data[a:b] if one else b" ".join(data[a:b].split()) for a, b, one in zip(begin.tolist(), end.tolist(), single.tolist(), strict=True)]
 
 
 class Tokens:
@@ -180,25 +199,29 @@ class Tokens:
         self.bag = np.zeros(n, U)
         self.bag[few] = (np.minimum(counts, 15).astype(U) << (U(4) * np.arange(16, dtype=U))).sum(axis=1, dtype=U)
         self.sim = simhash(self.hash, self.begin, self.n)
+        self.kinds: tuple | None = None
 
     def shared(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
         """Which pairs of lines have ``percent`` of their characters in tokens of both; short lines do in any case."""
         out = (self.n[i] <= SHORT) | (self.n[j] <= SHORT)
-        known: dict[int, dict[int, int]] = {}
-
-        def weights(k: int) -> dict[int, int]:
-            if k not in known:
-                w: dict[int, int] = {}
-                span = slice(self.begin[k], self.begin[k] + self.n[k])
-                for h, n in zip(self.hash[span].tolist(), self.weight[span].tolist(), strict=True):
-                    w[h] = w.get(h, 0) + n
-                known[k] = w
-            return known[k]
-
-        for k in np.flatnonzero(~out).tolist():
-            x, y = weights(int(i[k])), weights(int(j[k]))
-            both = sum(min(x[h], y[h]) for h in x.keys() & y.keys())
-            out[k] = 100 * both >= percent * max(sum(x.values()), sum(y.values()))
+        if self.kinds is None:
+            # each line's tokens once, with their characters; lines in order
+            known, token = np.unique(self.hash, return_inverse=True)
+            own, line = np.unique(self.line * len(known) + token, return_inverse=True)
+            per = np.bincount(own // max(len(known), 1), minlength=len(self.n))
+            self.kinds = own, len(known), np.bincount(line, self.weight, len(own)).astype(np.int64), np.cumsum(per) - per, per
+        own, known, weight, begin, per = self.kinds
+        total = np.bincount(self.line, self.weight, len(self.n)).astype(np.int64)
+        todo = np.flatnonzero(~out)
+        step = 20_000
+        for k in range(0, len(todo), step):
+            k = todo[k : k + step]
+            x, y = np.where(per[i[k]] <= per[j[k]], (i[k], j[k]), (j[k], i[k]))
+            of, of_pair = ranges(begin[x], per[x]), np.repeat(np.arange(len(k)), per[x])
+            want = own[of] + ((y - x) * known)[of_pair]
+            found = np.minimum(np.searchsorted(own, want), len(own) - 1)
+            both = np.where(own[found] == want, np.minimum(weight[of], weight[found]), 0)
+            out[k] = 100 * np.bincount(of_pair, both, len(k)).astype(np.int64) >= percent * np.maximum(total[x], total[y])
         return out
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +253,7 @@ class Tokens:
                 key.append(int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest()))
         out.append((np.array(line, np.int64), np.array(key, U), np.ones(len(key), bool)))
         line, key, short = (np.concatenate(x) for x in zip(*out, strict=True))
-        once = np.unique(mix(key ^ (line.astype(U) + U(1)) * BASE), return_index=True)[1]
+        once = distinct(mix(key ^ (line.astype(U) + U(1)) * BASE))
         return line[once], key[once], short[once]
 
 
@@ -323,7 +346,12 @@ def joined_under_keys(key: np.ndarray, sim: np.ndarray, meets: Meets) -> np.ndar
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or more than ``most`` if it is more: bit vectors over the shorter text."""
+    """Levenshtein distance, or more than ``most`` if it is more.
+
+    Bit vectors along the diagonals that ``most`` edits can reach: a column's window of the
+    shorter text moves on by one row. Along a diagonal distances never fall, so that
+    of the last cell's diagonal ends the search.
+    """
     if len(a) > len(b):
         a, b = b, a
     lo = 0
@@ -336,26 +364,23 @@ def edit_distance(a: str, b: str, most: int) -> int:
     m, n = len(a), len(b)
     if not m or n - m > most:
         return n
+    below = min((most - (n - m)) // 2, m)  # diagonals below the last cell's
+    above = n - m + below
     at: dict[str, int] = {}
     for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    full, last = (1 << m) - 1, 1 << (m - 1)
-    up, down, score = full, 0, m  # where the column steps up or down
-    for k, c in enumerate(b, 1):
-        eq = at.get(c, 0)
-        flat = eq | down
-        zero = (((eq & up) + up) ^ up) | eq
-        right = down | ~(zero | up) & full
-        left = up & zero
-        if right & last:
+        at[c] = at.get(c, 0) | 1 << (above + i)
+    full, last = (1 << (above + below + 1)) - 1, 1 << below
+    up, down, score = full >> above << above, 0, 0  # where the column steps up or down
+    for k, c in enumerate(b):
+        eq = at.get(c, 0) >> k & full
+        zero = (((eq & up) + up) ^ up | eq | down) & full
+        if not zero & last:
             score += 1
-        elif left & last:
-            score -= 1
-        if score - (n - k) > most:
-            return most + 1
-        right = right << 1 | 1
-        up = (left << 1 | ~(flat | right)) & full
-        down = right & flat & full
+            if score > most:
+                return score
+        right, left = down | (zero | up) ^ full, zero & up
+        zero >>= 1
+        up, down = left | (zero | right) ^ full, zero & right
     return score
 
 
@@ -363,93 +388,25 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
-def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Levenshtein distances of pairs of which no text is empty: ``edit_distance`` in lanes of 64 characters, all pairs a column at a time."""
-    m, n = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-    order = np.argsort(-n, kind="stable")  # pairs that end leave at the back
-    m, n = m[order], n[order]
-    a, b = [a[k] for k in order], [b[k] for k in order]
-    count, columns, lanes = len(a), int(n[0]), -(-int(m.max()) // 64)
-    known, symbol = np.unique(np.concatenate(a), return_inverse=True)
-    kinds = len(known) + 1
-    at = ranges(np.zeros(count, np.int64), m)
-    sets = np.zeros((lanes, count * kinds), U)
-    np.bitwise_or.at(sets, (at >> 6, np.repeat(np.arange(count) * kinds, m) + symbol), U(1) << (at & 63).astype(U))
-    flat = np.concatenate(b)
-    k = np.searchsorted(known, flat)
-    k[known[np.minimum(k, kinds - 2)] != flat] = kinds - 1
-    rows = np.zeros((columns, count), np.int64)
-    rows[ranges(np.zeros(count, np.int64), n), np.repeat(np.arange(count), n)] = k
-    rows += np.arange(count) * kinds
-    up, down = np.full((lanes, count), U(0xFFFFFFFFFFFFFFFF)), np.zeros((lanes, count), U)
-    rises, falls = np.zeros((2, lanes, count), U)
-    score, pair = m.copy(), np.arange(count)
-    end, bit = (m - 1) >> 6, ((m - 1) & 63).astype(U)
-    alive = np.searchsorted(-n, -np.arange(columns), side="left")
-    one, top = U(1), U(63)
-    for row, z in zip(rows, alive.tolist(), strict=True):
-        row = row[:z]
-        plus, minus = np.ones(z, U), np.zeros(z, U)
-        for w in range(lanes):
-            eq = sets[w].take(row)
-            p, q = up[w, :z], down[w, :z]
-            same = eq | q
-            eq |= minus
-            zero = (((eq & p) + p) ^ p) | eq
-            right = rises[w, :z]
-            np.bitwise_or(q, ~(zero | p), out=right)
-            left = falls[w, :z]
-            np.bitwise_and(p, zero, out=left)
-            here = (right << one) | plus
-            plus = right >> top
-            down[w, :z] = here & same
-            up[w, :z] = (left << one) | minus | ~(same | here)
-            minus = left >> top
-        score[:z] += ((rises[end[:z], pair[:z]] >> bit[:z]) & one).astype(np.int64) - ((falls[end[:z], pair[:z]] >> bit[:z]) & one).astype(np.int64)
-    out = np.empty(count, np.int64)
-    out[order] = score
-    return out
-
-
-#: Pairs from which, and characters up to which, pairs are compared many at a time, and cells of their symbol sets.
-MANY, MANY_CHARS, MANY_CELLS = 48, 1024, 4_000_000
-
-
-def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shorter and the longer text without what they begin and end with alike."""
-    if len(a) > len(b):
-        a, b = b, a
-    n = len(a)
-    unlike = np.flatnonzero(a != b[:n])
+def alike(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many characters both texts begin with, and end with after these."""
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
     lo = int(unlike[0]) if len(unlike) else n
-    a, b = a[lo:], b[lo:]
-    n = len(a)
-    unlike = np.flatnonzero(a[::-1] != b[::-1][:n])
-    hi = int(unlike[0]) if len(unlike) else n
-    return a[: n - hi], b[: len(b) - hi]
+    a, b, n = a[lo:], b[lo:], n - lo
+    unlike = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
+    return lo, int(unlike[0]) if len(unlike) else n
 
 
 def similar(pairs: list[tuple[str, str]], percent: int) -> np.ndarray:
     """Which pairs of texts have enough edit similarity."""
-    most = np.array([(100 - percent) * max(len(a), len(b)) // 100 for a, b in pairs], np.int64)
-    rest = [trimmed(code_points(a), code_points(b)) for a, b in pairs]
-    m, n = (np.array([len(x[k]) for x in rest], np.int64) for k in (0, 1))
-    out = n <= most  # what is left may be replaced as a whole
-    todo = np.flatnonzero(~out & (m > 0) & (n - m <= most))
-    size = m[todo]
-    # lanes double from group to group
-    group = np.where(size > MANY_CHARS, 0, 1 + np.ceil(np.log2(-(-size // 64))).astype(np.int64))
-    for g in np.unique(group).tolist():
-        own = todo[group == g]
-        if g == 0 or len(own) < MANY:
-            for k in own.tolist():
-                out[k] = edit_distance(*pairs[k], int(most[k])) <= most[k]
-            continue
-        own = own[np.argsort(m[own], kind="stable")]
-        step = max(MANY, MANY_CELLS // (2 ** (g - 1) * 128))
-        for k in range(0, len(own), step):
-            part = own[k : k + step].tolist()
-            out[part] = edit_distances(*([rest[i][side] for i in part] for side in (0, 1))) <= most[part]
+    out = np.zeros(len(pairs), bool)
+    for k, (a, b) in enumerate(pairs):
+        longer = max(len(a), len(b))
+        most = (100 - percent) * longer // 100
+        lo, hi = alike(code_points(a), code_points(b))
+        # what is left may be replaced as a whole
+        out[k] = longer - lo - hi <= most or edit_distance(a[lo : len(a) - hi], b[lo : len(b) - hi], most) <= most
     return out
 
 
@@ -468,7 +425,7 @@ def line_rows(docs: DataFrame, min_words: int, bits: int | None, percent: int) -
                 once = np.sort(once[fresh]) if len(once) else once
                 known.update(x.hash[once].tolist())
                 d = x.doc[x.judged]
-                full = full_rows(x, buf.tobytes(), once, bits, percent)
+                full = full_rows(x, once, bits, percent)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.hash.view(np.int64)), pa.array(ids[lo + d]), pa.array((marks[lo + d] << POS_BITS) | x.number[x.judged]), *(c.take(at) for at in [inverse(once, len(x.hash))] for c in full)],
                     schema=LINES,
@@ -493,9 +450,9 @@ def per_line(line: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(line, minlength=n))]).astype(np.int32)), pa.array(values[o].view(np.int64)))
 
 
-def full_rows(x: Lines, data: bytes, once: np.ndarray, bits: int | None, percent: int) -> list[pa.Array]:
+def full_rows(x: Lines, once: np.ndarray, bits: int | None, percent: int) -> list[pa.Array]:
     """What ``line_rows`` gives for the first occurrences."""
-    texts = x.texts(data, once)
+    texts = x.texts(once)
     n = len(texts)
     line = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
     if bits is not None:
@@ -548,21 +505,24 @@ def block_keys(blocks: int, bits: int):
 def met(lines: DataFrame, per_line: int, count: int, reach: int, percent: int) -> DataFrame:
     """(a, b): enough pairs of lines to join all that meet under a key."""
     parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * per_line // ROWS_PER_TASK + 1)
-    columns = ["h", "sim", "bag", "chars"]
-    rows = lines.select(*columns, F.lit(False).alias("short"), F.explode("keys").alias("key")).unionAll(lines.select(*columns, F.lit(True).alias("short"), F.explode("short_keys").alias("key")))
+    # of what tells lines apart a key needs one: SimHashes, or, for short lines (characters as complement), bags
+    keyed = lambda keys, apart, chars: lines.select("h", F.col(apart).alias("apart"), chars.alias("chars"), F.explode(keys).alias("key"))
+    rows = keyed("keys", "sim", F.col("chars")).unionAll(keyed("short_keys", "bag", F.bitwise_not("chars")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        h, sim, bag, chars, short, key = (t.column(c).to_numpy() for c in (*columns, "short", "key"))
-        o = np.lexsort((h, key))
-        o = o[np.concatenate([[True], (key[o][1:] != key[o][:-1]) | (h[o][1:] != h[o][:-1])])]  # batches repeat lines
+        h, apart, chars, key = (t.column(c).to_numpy() for c in ("h", "apart", "chars", "key"))
+        o = np.argsort(key)
         alone = np.concatenate([[True], key[o][1:] != key[o][:-1], [True]])
         o = o[~(alone[1:] & alone[:-1])]
-        key, h, sim, bag, chars, short = (x[o] for x in (key, h, sim.view(U), bag.view(U), chars, short))
-        to = joined_under_keys(key, sim, Meets(sim, bag, chars, short, reach, percent))
+        o = o[np.lexsort((h[o], key[o]))]
+        o = o[np.concatenate([[True], (key[o][1:] != key[o][:-1]) | (h[o][1:] != h[o][:-1])])[: len(o)]]  # batches repeat lines
+        key, h, apart, chars = (x[o] for x in (key, h, apart.view(U), chars))
+        short = chars < 0
+        to = joined_under_keys(key, apart, Meets(apart, apart, np.where(short, ~chars, chars), short, reach, percent))
         i = np.flatnonzero(to != np.arange(len(to)))
         yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(h[to[i]])], names=["a", "b"])
 
@@ -748,7 +708,7 @@ def cluster_links(members: DataFrame, count: int, reach: int, percent: int) -> D
 def group_firsts(docs: DataFrame, min_words: int, bits: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
     """(all judged occurrences, (h, first) for every line that stands more than once in its group)."""
     seen = written(line_rows(docs, min_words, bits, percent), "lines")
-    lines = seen.filter("line is not null")
+    lines = seen.filter("chars is not null")
     n = lines.count()
     reach = REACH if bits is None else bits
     if bits is None:
@@ -761,7 +721,9 @@ def group_firsts(docs: DataFrame, min_words: int, bits: int | None, percent: int
     clusters = connected_components(pairs).withColumnRenamed("node", "h").withColumnRenamed("component", "cluster")
     shared = pairs.groupBy(F.col("b").alias("h")).agg(F.count("*").alias("shared"))
     clusters = clusters.join(shared, "h", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    members = written(clusters.join(lines.select(*LINE), "h").dropDuplicates(["h"]), "members")
+    ends = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h")))
+    texts = only_marked(lines.select(*LINE), ends, "h")
+    members = written(clusters.join(texts, "h").dropDuplicates(["h"]), "members")
     size = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("chars").alias("total"), F.max_by("h", F.struct("shared", "h")).alias("pivot"))
     links = written(cluster_links(members.drop("shared").join(size, "cluster"), members.count(), reach, percent), "links")
     labels = connected_components(links).withColumnRenamed("node", "h").withColumnRenamed("component", "label")
