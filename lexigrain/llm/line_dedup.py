@@ -24,9 +24,9 @@ The search has two forms:
 
 Lines that meet, directly or by way of others, form a cluster, and each cluster is searched
 where its texts are: pairs that meet and are not yet joined are held against each other.
-Clusters over ``BLOCK`` lines or ``BLOCK_CHARS`` characters are cut: lines linked with the
-cluster's pivot need no search among themselves; the rest are searched, in chunks, against
-every block.
+Clusters over ``BLOCK`` lines or ``BLOCK_CHARS`` characters are cut into blocks by length: first
+each block is searched, then those pairs of blocks whose lengths allow links, where lines
+that are joined by then, or by being linked with the cluster's pivot, need no search among themselves.
 
 Defined results: null text stays null and has no lines; lines without a word stay; rows
 equal in doc_id and text count as one document; rows with a null doc_id stay as they
@@ -43,13 +43,13 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.llm.arrays import BASE, U, Sums, byte_table, chunks, grams, mix, per_doc, ranges, words
 from lexigrain.llm.components import connected_components, roots
 from lexigrain.llm.ngram_join import only_marked
-from lexigrain.llm.shared import written
+from lexigrain.llm.shared import noted, released, written
 from lexigrain.llm.vocab import only
 from lexigrain.llm.windows import POS_BITS
 
@@ -66,9 +66,13 @@ LONG, SHORT, TINY = 8, 10, 4
 LONG_WORD, PIECE = 16, 6
 #: Lines of more tokens than ``SHORT`` are compared if the share of characters in common tokens is at most so much below ``percent``.
 SLACK = 10
+#: Classes of tokens whose characters bound those in common.
+TOKEN_BINS = 128
 #: Rows of a key in one batch from which those close to the middle one are joined to it at once, before the shuffle.
 FEW = 8
 ROWS_PER_TASK, LINES_PER_TASK = 1_000_000, 16_000
+#: Edits from which pairs are compared one by one, characters of pairs that are compared at once, and pairs per word of a bit vector from which that pays.
+WIDE, CELLS, SOME = 256, 1_000_000, 32
 #: Lines and characters of a cluster that are one task's work; lines of clusters that are searched together with others, and of these at a time.
 BLOCK, BLOCK_CHARS, SMALL, HELD = 4000, 4_000_000, 12, 20_000
 
@@ -209,13 +213,16 @@ class Tokens:
             known, token = np.unique(self.hash, return_inverse=True)
             own, line = np.unique(self.line * len(known) + token, return_inverse=True)
             per = np.bincount(own // max(len(known), 1), minlength=len(self.n))
-            self.kinds = own, len(known), np.bincount(line, self.weight, len(own)).astype(np.int64), np.cumsum(per) - per, per
-        own, known, weight, begin, per = self.kinds
-        total = np.bincount(self.line, self.weight, len(self.n)).astype(np.int64)
+            bins = np.bincount(self.line * TOKEN_BINS + (self.hash % U(TOKEN_BINS)).astype(np.int64), self.weight, len(self.n) * TOKEN_BINS)
+            total = np.bincount(self.line, self.weight, len(self.n)).astype(np.int64)
+            self.kinds = own, len(known), np.bincount(line, self.weight, len(own)).astype(np.int64), np.cumsum(per) - per, per, total, bins.astype(np.int32).reshape(-1, TOKEN_BINS)
+        own, known, weight, begin, per, total, bins = self.kinds
         todo = np.flatnonzero(~out)
         step = 20_000
         for k in range(0, len(todo), step):
             k = todo[k : k + step]
+            # tokens in common are so in their bins as well
+            k = k[100 * np.minimum(bins[i[k]], bins[j[k]]).sum(axis=1) >= percent * np.maximum(total[i[k]], total[j[k]])]
             x, y = np.where(per[i[k]] <= per[j[k]], (i[k], j[k]), (j[k], i[k]))
             of, of_pair = ranges(begin[x], per[x]), np.repeat(np.arange(len(k)), per[x])
             want = own[of] + ((y - x) * known)[of_pair]
@@ -398,15 +405,109 @@ def alike(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return lo, int(unlike[0]) if len(unlike) else n
 
 
+def low_bits(n: np.ndarray, word: int) -> np.ndarray:
+    """A word of 64 bits of numbers whose lowest n bits are set."""
+    return np.where(n >= 64 * word + 64, ~U(0), (U(1) << np.clip(n - 64 * word, 0, 63).astype(U)) - U(1))
+
+
+def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Which pairs have at most ``most`` edits: ``edit_distance`` of all side by side, its bit vectors as words of 64 bits.
+
+    A text of ``b`` is as long as its partner or longer, by at most ``most``; the longest come first.
+    """
+    m, n = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    below = np.minimum((most - (n - m)) // 2, m)
+    above = n - m + below
+    w = -(-int((above + below + 1).max()) // 64)
+    # where each character stands in the different texts of a, behind w empty words
+    number = {x: k for k, x in enumerate(dict.fromkeys(a))}
+    size = np.array([len(x) for x in number], np.int64)
+    own, flat = code_points("".join(number)), code_points("".join(b))
+    known, sort = np.unique(own, return_inverse=True)
+    per, span = len(known) + 1, 2 * w + int(m.max()) // 64 + 2
+    at = 64 * w + ranges(np.zeros(len(size), np.int64), size)
+    there = np.zeros(len(size) * per * span, U)
+    np.add.at(there, (np.repeat(np.arange(len(size)), size) * per + sort) * span + (at >> 6), U(1) << (at & 63).astype(U))
+    found = np.searchsorted(known, flat)
+    kind = np.where(np.append(known, 0)[found] == flat, found, len(known)) * span
+    kind[found == len(known)] = len(known) * span
+    column = np.zeros((int(n.max()), len(b)), np.int64)
+    column[ranges(np.zeros(len(n), np.int64), n), np.repeat(np.arange(len(n)), n)] = kind
+    base = np.array([number[x] for x in a], np.int64) * (per * span)
+    full = [low_bits(above + below + 1, x) for x in range(w)]
+    last = [np.where(below >> 6 == x, U(1) << (below & 63).astype(U), U(0)) for x in range(w)]
+    up, down = [f & ~low_bits(above, x) for x, f in enumerate(full)], [np.zeros(len(a), U) for _ in range(w)]
+    out, pair, score = np.zeros(len(a), bool), np.arange(len(a)), np.zeros(len(a), np.int64)
+    ends = -n
+    for k in range(int(n.max())):
+        c = int(np.searchsorted(ends, -k))  # texts that have not ended
+        if k % 32 == 31:
+            alive = np.flatnonzero(score[:c] <= most[:c])
+            if 4 * len(alive) < 3 * c:
+                out[pair[c:]] = score[c:] <= most[c:]
+                n, column, base, above, most, pair, score = n[alive], column[:, alive], base[alive], above[alive], most[alive], pair[alive], score[alive]
+                full, last, up, down = ([x[alive] for x in y] for y in (full, last, up, down))
+                ends, c = -n, len(alive)
+        if not c:
+            break
+        at = 64 * w + k - above[:c]
+        first, shift = base[:c] + column[k, :c] + (at >> 6), (at & 63).astype(U)
+        got, carry, zero = [there[first + x] for x in range(w + 1)], None, []
+        for x in range(w):
+            u, f = up[x][:c], full[x][:c]
+            eq = (got[x] >> shift | got[x + 1] << U(1) << (U(63) - shift)) & f
+            total = (eq & u) + u
+            if w > 1:
+                more = total < u
+                if carry is not None:
+                    total += carry
+                    more |= total < carry
+                carry = more.astype(U)
+            zero.append((total ^ u | eq | down[x][:c]) & f)
+        hit = zero[0] & last[0][:c]
+        for x in range(1, w):
+            hit |= zero[x] & last[x][:c]
+        score[:c] += hit == 0
+        for x in range(w):
+            u, f, z = up[x][:c], full[x][:c], zero[x] >> U(1)
+            right, left = down[x][:c] | (zero[x] | u) ^ f, zero[x] & u
+            if x + 1 < w:
+                z |= zero[x + 1] << U(63)
+            up[x], down[x] = left | (z | right) ^ f, z & right
+    out[pair] = score <= most
+    return out
+
+
 def similar(pairs: list[tuple[str, str]], percent: int) -> np.ndarray:
     """Which pairs of texts have enough edit similarity."""
     out = np.zeros(len(pairs), bool)
+    together: dict[int, list[tuple[int, ...]]] = {}  # by words of a bit vector: length, place, characters alike at both ends
     for k, (a, b) in enumerate(pairs):
         longer = max(len(a), len(b))
         most = (100 - percent) * longer // 100
         lo, hi = alike(code_points(a), code_points(b))
         # what is left may be replaced as a whole
-        out[k] = longer - lo - hi <= most or edit_distance(a[lo : len(a) - hi], b[lo : len(b) - hi], most) <= most
+        if longer - lo - hi <= most:
+            out[k] = True
+        elif most < WIDE:
+            together.setdefault(most // 64 + 1, []).append((longer, k, lo, hi))
+        else:
+            out[k] = edit_distance(a[lo : len(a) - hi], b[lo : len(b) - hi], most) <= most
+    for w, some in together.items():
+        some.sort(reverse=True)
+        while some:
+            step = max(1, CELLS // some[0][0])
+            n, at, lo, hi = (np.array(x) for x in zip(*some[:step], strict=True))
+            some, most = some[step:], (100 - percent) * n // 100
+            if len(at) < SOME * w:
+                for k, e, x, y in zip(*(z.tolist() for z in (at, most, lo, hi)), strict=True):
+                    out[k] = edit_distance(*(t[x : len(t) - y] for t in pairs[k]), e) <= e
+                continue
+            short, long = zip(*(sorted(pairs[k], key=len) for k in at.tolist()), strict=True)
+            ok = n - np.array([len(x) for x in short]) <= most
+            short, long = ([x for x, use in zip(side, ok.tolist(), strict=True) if use] for side in (short, long))
+            if short:
+                out[at[ok]] = within(short, long, most[ok])
     return out
 
 
@@ -623,8 +724,8 @@ LINE = ["h", "line", "sim", "bag", "chars", "n_tokens"]
 
 
 def searched(rows: DataFrame, parts: int, reach: int, percent: int) -> DataFrame:
-    """Links (a, b) within each group (cluster, block, chunk), in so many tasks: the more lines a task has, the more pairs it compares at a time."""
-    columns = [*GROUP, *LINE, "near", "indexed", "asked"]
+    """Links (a, b) within each group (cluster, block, chunk) between lines not ``joined`` alike, in so many tasks: the more lines a task has, the more pairs it compares at a time."""
+    columns = [*GROUP, *LINE, "joined", "indexed", "asked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream():
@@ -651,16 +752,14 @@ def searched(rows: DataFrame, parts: int, reach: int, percent: int) -> DataFrame
             h = sorted(one)
             if len(h) < 2:
                 continue
-            near, indexed, asked = (np.array([one[k][c] for k in h], bool) for c in (5, 6, 7))
-            if len(h) <= SMALL and indexed.all() and asked.all() and not near.any():
+            indexed, asked = (np.array([one[k][c] for k in h], bool) for c in (6, 7))
+            label = np.unique([one[k][5] for k in h], return_inverse=True)[1]
+            if len(h) <= SMALL and indexed.all() and asked.all() and label.max() == len(h) - 1:
                 held += [(number, k, one[k]) for k in h]
                 if len(held) > HELD:
                     yield from batch_of([x[1] for x in held], links_in_small(np.array([x[0] for x in held]), *lines([x[2] for x in held]), percent, slack))
                     held = []
                 continue
-            label = np.arange(len(h))
-            own = np.flatnonzero(near)
-            label[own] = own[0] if len(own) else 0
             text, meets = lines([one[k] for k in h])
             yield from batch_of(h, spanning_links(text, meets, label, np.flatnonzero(asked), np.flatnonzero(indexed), percent, slack))
         if held:
@@ -683,26 +782,49 @@ def near_pivot(large: DataFrame, percent: int) -> DataFrame:
     return large.join(pivots, "cluster").mapInArrow(run, f"{schema}, near boolean")
 
 
+def blocks_by_length(large: DataFrame) -> DataFrame:
+    """Adds ``block``: the lines of a cluster in order of length, cut after about ``BLOCK`` of them or ``BLOCK_CHARS`` characters."""
+    own = F.greatest(F.lit(1 / BLOCK), F.col("chars") / BLOCK_CHARS)
+    per = large.groupBy("cluster", "chars").agg(F.count("*").alias("alike"), F.sum(own).alias("size"))
+    shorter = Window.partitionBy("cluster").orderBy("chars").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("before", F.coalesce(F.sum("size").over(shorter), F.lit(0.0)))
+    at = F.col("before") + F.pmod(F.xxhash64("h"), F.col("alike")) / F.col("alike") * F.col("size")
+    return large.join(per, ["cluster", "chars"]).withColumn("block", F.floor(at).cast("long")).drop("alike", "size", "before")
+
+
+def block_pairs(large: DataFrame, percent: int) -> DataFrame:
+    """(cluster, block, chunk): pairs of different blocks, the one of shorter lines first, whose lengths allow links."""
+    range_ = large.groupBy("cluster", "block").agg(F.min("chars").alias("least"), F.max("chars").alias("most"))
+    range_ = written(range_, "blocks")
+    other = range_.select("cluster", F.col("block").alias("chunk"), F.col("least").alias("from"))
+    near = F.col("from") - F.col("most") <= F.floor((100 - percent) * F.col("from") / 100)
+    return range_.join(other, "cluster").filter((F.col("block") < F.col("chunk")) & near).select(*GROUP)
+
+
 def cluster_links(members: DataFrame, count: int, reach: int, percent: int) -> DataFrame:
     """Links among ``count`` rows of ``members``: (h, cluster, n, total, pivot, ``LINE``)."""
-    zero, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
+    yes = F.lit(True)
     big = (F.col("n") > BLOCK) | (F.col("total") > BLOCK_CHARS)
-    small = members.filter(~big).withColumns({"block": zero, "chunk": zero, "near": no, "indexed": yes, "asked": yes})
-    columns = [*GROUP, *LINE, "near", "indexed", "asked"]
+    zero = F.lit(0).cast("long")
+    small = members.filter(~big).withColumns({"block": zero, "chunk": zero, "joined": F.col("h"), "indexed": yes, "asked": yes})
+    columns = [*GROUP, *LINE, "joined", "indexed", "asked"]
     found = searched(small.select(*columns), count // LINES_PER_TASK + 1, reach, percent)
     large = members.filter(big)
     if large.isEmpty():
         return found
     large = written(near_pivot(large, percent), "large-clusters")
-    found = found.unionAll(large.filter("near and h <> pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b")))
-    left = large.groupBy("cluster").agg(F.count_if(~F.col("near")).alias("left_n"), F.sum(F.when(~F.col("near"), F.col("chars"))).alias("left_chars")).filter("left_n > 0")
-    pieces = lambda n, c: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(c) / BLOCK_CHARS)).cast("long")
-    cut = large.join(left, "cluster").withColumns({"blocks": pieces("n", "total"), "chunks": pieces("left_n", "left_chars")})
-    numbers = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
-    indexed = cut.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks"))).withColumn("chunk", numbers("chunks")).withColumns({"indexed": yes, "asked": no})
-    asked = cut.filter(~F.col("near")).withColumn("chunk", F.pmod(F.xxhash64("h", F.lit(1)), F.col("chunks"))).withColumn("block", numbers("blocks")).withColumns({"indexed": no, "asked": yes})
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.unionAll(searched(indexed.select(*columns).unionAll(asked.select(*columns)), parts, reach, percent))
+    large = written(blocks_by_length(large).withColumn("joined", F.when(F.col("near"), F.col("pivot")).otherwise(F.col("h"))), "blocks-of-lines")
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * count // BLOCK)
+    within_ = searched(large.withColumns({"chunk": F.col("block"), "indexed": yes, "asked": yes}).select(*columns), parts, reach, percent)
+    within_ = written(within_.unionAll(large.filter("near and h <> pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b"))), "links-in-blocks")
+    pairs = written(block_pairs(large, percent), "block-pairs")
+    parts = max(parts, pairs.count())
+    component = connected_components(within_).select(F.col("node").alias("h"), F.col("component"))
+    lines = large.drop("chunk").join(component, "h", "left").withColumn("joined", F.coalesce("component", "h"))
+    asked = lines.join(pairs, ["cluster", "block"]).withColumns({"indexed": ~yes, "asked": yes})
+    indexed = lines.withColumnRenamed("block", "chunk").join(pairs, ["cluster", "chunk"]).withColumns({"indexed": yes, "asked": ~yes})
+    across = searched(asked.select(*columns).unionAll(indexed.select(*columns)), parts, reach, percent)
+    return found.unionAll(within_).unionAll(across)
 
 
 def group_firsts(docs: DataFrame, min_words: int, bits: int | None, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -743,10 +865,13 @@ def remove_lines(documents: DataFrame, min_words: int = 5, bits: int | None = No
     documents = documents.drop("n_lines", "n_removed_lines").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     mark = F.shiftrightunsigned(F.xxhash64("text"), 40)  # rows of one doc_id with different texts stay apart
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text", mark.alias("mark"))
-    seen, firsts = group_firsts(docs, min_words, bits, percent)
-    gone = seen.select("h", "doc_id", "place").join(firsts, "h").filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.place") != F.col("place")))
-    mask = F.lit((1 << POS_BITS) - 1)
-    gone = gone.groupBy("doc_id", F.shiftright("place", POS_BITS).alias("own_mark")).agg(F.collect_list(F.col("place").bitwiseAND(mask)).alias("own"))
+    with released(documents.sparkSession):  # of all that is written on the way this alone is needed later
+        seen, firsts = group_firsts(docs, min_words, bits, percent)
+        gone = seen.select("h", "doc_id", "place").join(firsts, "h").filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.place") != F.col("place")))
+        mask = F.lit((1 << POS_BITS) - 1)
+        gone = gone.groupBy("doc_id", F.shiftright("place", POS_BITS).alias("own_mark")).agg(F.collect_list(F.col("place").bitwiseAND(mask)).alias("own"))
+        gone = written(gone, "removed", keep=True)
+    noted(gone)
 
     # columns by number, so that no name of the input is in the way
     names = documents.columns
