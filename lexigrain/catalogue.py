@@ -169,7 +169,11 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def character_class(exclude: frozenset[int] = frozenset()) -> str:
-    """A Java regular-expression class of the catalogue's characters, ranges merged."""
+    """A Java regular-expression class of the catalogue's characters, ranges merged.
+
+    Java tries range after range, so those beyond the Latin letters stand behind one range around them, in groups that do so
+    again: most characters of a text are then told by a few comparisons.
+    """
     cps = [e.code_point for e in entries() if e.code_point not in exclude]
     runs: list[list[int]] = []
     for c in cps:
@@ -177,7 +181,10 @@ def character_class(exclude: frozenset[int] = frozenset()) -> str:
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    return "[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]"
+    members = lambda g: "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in g)
+    around = lambda g, inner: rf"[\x{{{g[0][0]:X}}}-\x{{{g[-1][1]:X}}}&&[{inner}]]" if g else ""
+    low, high = ([r for r in runs if (r[1] < 0x300) == side] for side in (True, False))
+    return f"[{members(low)}{around(high, ''.join(around(g, members(g)) for g in (high[k : k + 8] for k in range(0, len(high), 8))))}]"
 
 
 def duckdb_values() -> str:

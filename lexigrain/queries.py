@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexigrain.catalogue import catalogue, duckdb_values
 from lexigrain.functions import render, strings
 from lexigrain.functions import text as T
+from lexigrain.llm.shared import written
 from lexigrain.operators import fixes, legacy, office, regions, repair, report, scan, styles, transform
 from lexigrain.plans.applying import RepairStore
 from lexigrain.plans.audit import audit
@@ -350,7 +351,8 @@ def editor_levels(spark, sf_dir):
 def _plan(spark, sf_dir):
     docs = planted(documents(spark, sf_dir))
     items = repair.proposed(docs, scan.find_all(docs), "doc_id")
-    return docs, repair.approved(items, mechanical=True, ambiguous=("IDEOGRAPHIC SPACE",), rationale="registered query")
+    items = repair.approved(items, mechanical=True, ambiguous=("IDEOGRAPHIC SPACE",), rationale="registered query")
+    return docs, written(items, "plan")  # its users read it several times: it is scanned for once
 
 
 DECIDED = "CASE WHEN safety = 'semantic' THEN 'refused' WHEN fix NOT IN ('remove', 'replace') THEN 'kept' WHEN safety = 'mechanical' OR name = 'IDEOGRAPHIC SPACE' THEN 'approved' ELSE 'kept' END"
